@@ -50,10 +50,10 @@ _NORM = np.sqrt(np.maximum(sum(DECAY ** (2 * (a + b + 1)) * np.maximum(np.arange
 class Training:
     """Parameters. `sample`: labelled documents at most, the first by a hash of doc_id, a third of them toxic where there are so many."""
 
-    sample: int = 6000
+    sample: int = 3600
     witnesses: int = 1500
     clean_spans: int = 6000
-    landmarks: int = 256
+    landmarks: int = 160
     group: int = 5
     broken: int = 150
     pool: int = 60_000
@@ -169,22 +169,20 @@ def fit(toxic: list[list[str]], clean: list[list[str]], how: Training = Training
     if not toxic or not clean:
         return NOTHING
     rng = np.random.default_rng(how.seed)
-    docs = {0: clean, 1: toxic}
+    docs = {1: toxic, 0: clean}
     seen: dict[int, dict[str, int]] = {0: {}, 1: {}}
     counts: dict[int, dict[str, int]] = {0: {}, 1: {}}
-    groups_of: dict[str, set[str]] = {}
     for y, some in docs.items():
         for words in some:
             for w in words:
                 counts[y][w] = counts[y].get(w, 0) + 1
-                if w not in groups_of:
-                    groups_of[w] = _groups(w, how.group)
-            for g in set().union(*(groups_of[w] for w in words)):
-                seen[y][g] = seen[y].get(g, 0) + 1
+            for g in {g for w in words for g in _groups(w, how.group)}:
+                if y or g in seen[1]:
+                    seen[y][g] = seen[y].get(g, 0) + 1
     rate = {g: np.log((n + 0.1) / len(toxic) / ((seen[0].get(g, 0) + 0.5) / len(clean))) * np.sqrt(n) for g, n in seen[1].items()}
 
     def best(w: str) -> float:
-        return max(rate.get(g, 0.0) for g in groups_of[w])
+        return max(rate.get(g, 0.0) for g in _groups(w, how.group))
 
     found: dict[str, float] = {}
     for words in toxic:
@@ -254,7 +252,7 @@ def document_spans(texts) -> list[list[str]]:
 
 
 def train(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Model:
-    """A machine from the labelled rows of docs that aren't held out: at most `sample` rows' distinct spans reach the driver, of no more than 3,000 spans a row."""
+    """A machine from the labelled rows of docs that aren't held out: at most `sample` rows' distinct spans reach the driver, of no more than 1,500 spans a row."""
     known = docs.select("doc_id").where(~held_out(F.col("doc_id"))).join(
         labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("y")), "doc_id"
     )
@@ -265,12 +263,13 @@ def train(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Mod
 
     @F.pandas_udf("string")
     def distinct_spans(texts: pd.Series) -> pd.Series:
-        return pd.Series(["\n".join(ws[:: max(1, -(-len(ws) // 3000))]) for ws in document_spans(texts)])
+        return pd.Series(["\n".join(ws[:: max(1, -(-len(ws) // 1500))]) for ws in document_spans(texts)])
 
     rows = docs.select("doc_id", "text").join(picked, "doc_id").select("doc_id", "y", distinct_spans("text").alias("w")).collect()
     unique = {(r["y"], r["w"]): r for r in sorted(rows, key=lambda r: -r["doc_id"])}  # copies count once
     rows = sorted(unique.values(), key=lambda r: r["doc_id"])
-    return fit(*([r["w"].split("\n") for r in rows if r["y"] == y and r["w"]] for y in (1, 0)), how)
+    one: dict[str, str] = {}  # each distinct span is held once
+    return fit(*([[one.setdefault(w, w) for w in r["w"].split("\n")] for r in rows if r["y"] == y and r["w"]] for y in (1, 0)), how)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:

@@ -22,6 +22,8 @@ from memloom.llm.common import replacing
 
 WINDOW = 13
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same with A to Z, to count words without lower-casing.
+ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Bytes of benchmark text up to which its windows are broadcast; they take at most about `window` + 1 times as much.
 BROADCAST_TEXT = 2 << 20
 
@@ -79,7 +81,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, per_hit:
     )
     by = by.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), covered(F.col("spans")).cast("long").alias("n_hit"), "items")
     base = replacing(docs, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "_id", "_mark", "items")
-    base = base.withColumn("n_words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    base = base.withColumn("n_words", F.coalesce(F.regexp_count("text", F.lit(ANY_CASE)), F.lit(0)).cast("long"))
     out = base.join(by, base["doc_id"].eqNullSafe(by["_id"]) & (F.xxhash64(base["text"]) == by["_mark"]), "left")
     out = out.withColumns({
         "n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"),

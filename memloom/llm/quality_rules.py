@@ -47,33 +47,37 @@ def words(text: Column) -> Column:
     return F.filter(found, lambda w: w != "")
 
 
+def bound(value: Column, body) -> Column:
+    """body of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _repeated(w: Column) -> Column:
-    """Places of words in windows of three that occur again: sorted window keys next to an equal one, then the union of their places."""
-    n = F.size(w)
-    starts = F.sequence(F.lit(0), n - 3)
+    """How many places of words lie in windows of three that occur again.
+
+    Window keys with their positions are sorted; those next to an equal one occur again, and their places are united.
+    """
+    begin = F.struct(F.lit(0).alias("end"), F.lit(0).alias("total"))
 
     def key(i: Column) -> Column:
         return F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
 
-    low = F.lit((1 << POSITION_BITS) - 1)
-    packed = F.sort_array(F.transform(starts, lambda i: key(i).bitwiseAND(F.lit(-1 << POSITION_BITS)).bitwiseOR(i.cast("long"))))
-    pairs = F.sort_array(F.transform(starts, lambda i: F.struct(key(i).alias("h"), i.alias("i"))))
-
-    def places(sorted_keys: Column, same, place) -> Column:
-        # an element is repeated if it equals the one before or after it
-        m = F.size(sorted_keys)
-        hit = F.filter(sorted_keys, lambda x, i: F.coalesce(same(x, F.get(sorted_keys, i - 1)), F.lit(False)) | F.coalesce(same(x, F.get(sorted_keys, i + 1)), F.lit(False)))
-        return F.sort_array(F.transform(hit, lambda x: place(x)))
-
-    short = places(packed, lambda x, y: F.shiftright(x, POSITION_BITS) == F.shiftright(y, POSITION_BITS), lambda x: x.bitwiseAND(low).cast("int"))
-    long = places(pairs, lambda x, y: x["h"] == y["h"], lambda x: x["i"])
-    at = F.when(n < 3, F.array().cast("array<int>")).when(n < 1 << POSITION_BITS, short).otherwise(long)
-    begin = F.struct(F.lit(0).alias("end"), F.lit(0).alias("total"))
+    def again(keys: Column, same) -> Column:
+        return F.filter(keys, lambda x, i: F.coalesce(same(x, F.get(keys, i - 1)), F.lit(False)) | F.coalesce(same(x, F.get(keys, i + 1)), F.lit(False)))
 
     def add(acc: Column, x: Column) -> Column:
         return F.struct((x + 3).alias("end"), (acc["total"] + x + 3 - F.greatest(acc["end"], x)).alias("total"))
 
-    return F.aggregate(at, begin, add, lambda acc: acc["total"])
+    def total(at: Column) -> Column:
+        return F.aggregate(F.sort_array(at), begin, add, lambda acc: acc["total"])
+
+    starts = F.sequence(F.lit(0), F.size(w) - 3)
+    high, low = F.lit(-1 << POSITION_BITS), F.lit((1 << POSITION_BITS) - 1)
+    packed = F.sort_array(F.transform(starts, lambda i: key(i).bitwiseAND(high).bitwiseOR(i.cast("long"))))
+    pairs = F.sort_array(F.transform(starts, lambda i: F.struct(key(i).alias("h"), i.alias("i"))))
+    short = bound(packed, lambda keys: total(F.transform(again(keys, lambda x, y: x.bitwiseAND(high) == y.bitwiseAND(high)), lambda x: x.bitwiseAND(low).cast("int"))))
+    long = bound(pairs, lambda keys: total(F.transform(again(keys, lambda x, y: x["h"] == y["h"]), lambda x: x["i"])))
+    return F.when(F.size(w) < 3, F.lit(0)).when(F.size(w) < 1 << POSITION_BITS, short).otherwise(long)
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -85,7 +89,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         "word_chars": F.char_length(F.array_join("_w", "")).cast("long"),
         "n_symbols": F.coalesce(F.regexp_count("text", F.lit("[#*$%&|<>]")), F.lit(0)).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_repeat_words": _repeated(F.col("_w")).cast("long"),
+        "n_repeat_words": bound(F.col("_w"), _repeated).cast("long"),
     }).drop("_w", "_lines")
     return base.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
@@ -96,22 +100,32 @@ def vector() -> list[Column]:
     return [F.log1p(F.col("n_words").cast("double")), chars / n, F.sqrt(F.col("n_symbols") / chars), F.sqrt(F.col("n_dup_lines") / n), F.sqrt(F.col("n_repeat_words") / n)]
 
 
-def _distance(d: int, floor: tuple[float, ...]) -> Column:
-    """Squared Mahalanobis distance of x0.. from m0.. under covariances c00.., by Cholesky factors made in expressions."""
-    low: dict[tuple[int, int], Column] = {}
-    z: list[Column] = []
-    total = F.lit(0.0)
+def factored(estimates: DataFrame, floor: tuple[float, ...]) -> DataFrame:
+    """estimates with wij, the inverse of the covariance's Cholesky factor, column by column: squared distance is a sum of squares."""
+    d, out = len(floor), estimates
     for i in range(d):
         for j in range(i + 1):
-            v = F.col(f"c{j}{i}") + (F.lit(floor[i] ** 2) if i == j else F.lit(0.0))
+            v = F.col(f"c{j}{i}") + F.lit(floor[i] ** 2 if i == j else 0.0)
             for k in range(j):
-                v = v - low[i, k] * low[j, k]
-            low[i, j] = F.sqrt(F.greatest(v, F.lit(1e-12))) if i == j else v / low[j, j]
-        y = F.col(f"x{i}") - F.col(f"m{i}")
-        for k in range(i):
-            y = y - low[i, k] * z[k]
-        z.append(y / low[i, i])
-        total = total + z[i] * z[i]
+                v = v - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(v, F.lit(1e-12))) if i == j else v / F.col(f"l{j}{j}"))
+    for i in range(d):
+        for j in range(i + 1):
+            v = F.lit(float(i == j))
+            for k in range(j, i):
+                v = v - F.col(f"l{i}{k}") * F.col(f"w{k}{j}")
+            out = out.withColumn(f"w{i}{j}", v / F.col(f"l{i}{i}"))
+    return out.select(*[c for c in out.columns if c[0] not in "lc"])
+
+
+def _distance(d: int) -> Column:
+    """Squared Mahalanobis distance of x0.. from m0.. ."""
+    total = F.lit(0.0)
+    for i in range(d):
+        z = F.lit(0.0)
+        for j in range(i + 1):
+            z = z + F.col(f"w{i}{j}") * (F.col(f"x{j}") - F.col(f"m{j}"))
+        total = total + F.pow(z, F.lit(2.0))
     return total
 
 
@@ -128,16 +142,16 @@ def verdicts(stats: DataFrame, rules: Rules = Rules()) -> DataFrame:
         got = rows.groupBy(*keys).agg(*sums)
         return got.select(*keys, "n", *[f"m{i}" for i in range(d)], *[(F.col(f"s{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")).alias(f"c{i}{j}") for i, j in pairs])
 
-    now = cut(estimate(good))
+    now = cut(factored(estimate(good), rules.floor))
     sizes = now.select(*keys, F.col("n").alias("all"))
     for _ in range(rules.steps):
-        far = good.join(now.drop("n"), keys).withColumn("bin", F.floor(F.log2(_distance(d, rules.floor) + 1e-3) * rules.bins))
+        far = good.join(now.drop("n"), keys).withColumn("bin", F.floor(F.log2(_distance(d) + 1e-3) * rules.bins))
         bins = far.groupBy(*keys, "bin").agg(F.count("*").alias("k"))
         upto = bins.withColumn("upto", F.sum("k").over(Window.partitionBy(*keys).orderBy("bin"))).join(sizes, keys)
         edge = upto.where(F.col("upto") >= rules.share * F.col("all")).groupBy(*keys).agg(F.min("bin").alias("edge"))
-        now = cut(estimate(far.join(edge, keys).where(F.col("bin") <= F.col("edge")).select(*keys, *[f"x{i}" for i in range(d)])))
+        now = cut(factored(estimate(far.join(edge, keys).where(F.col("bin") <= F.col("edge")).select(*keys, *[f"x{i}" for i in range(d)])), rules.floor))
     final = now.drop("n").join(sizes, keys)
-    out = numbered.join(final, keys, "left").withColumn("_d", _distance(d, rules.floor))
+    out = numbered.join(final, keys, "left").withColumn("_d", _distance(d))
     out = out.withColumn("kept", ~F.col("base_failed") & ((F.coalesce("all", F.lit(0)) < rules.least) | (F.coalesce("_d", F.lit(0.0)) <= rules.cutoff)))
     return out.select(*stats.columns, "kept")
 

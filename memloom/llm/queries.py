@@ -62,8 +62,8 @@ b AS (SELECT item_id, regexp_extract_all({_LOWER}, '{WORD}') AS w FROM benchmark
 g AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, array_to_string(w[i:i + 12], ' ') AS gram, len(w[i:i + 12]) AS n
       FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 12, 1))) AS i FROM b WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM g),
-at AS (SELECT doc_id, n, w, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, sizes WHERE len(w) >= n),
-hit AS (SELECT doc_id, i, at.n AS n, item FROM at JOIN g ON g.n = at.n AND g.gram = array_to_string(at.w[i:i + at.n - 1], ' ')),
+spot AS (SELECT doc_id, n, w, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, sizes WHERE len(w) >= n),
+hit AS (SELECT doc_id, i, spot.n AS n, item FROM spot JOIN g ON g.n = spot.n AND g.gram = array_to_string(spot.w[i:i + spot.n - 1], ' ')),
 places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM hit) GROUP BY doc_id),
 items AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS listed FROM hit GROUP BY doc_id)
 SELECT d.doc_id AS doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import decontamination, language_id, near_dedup, packing, quality_classifier, quality_rules, toxicity
-from memloom.llm.common import held_out, table
+from memloom.llm import chat_format, decontamination, language_id, license_scan, near_dedup, packing, quality_classifier, quality_rules, token_files, toxicity
+from memloom.llm.common import held_out, scratch, table
 
 WORD = decontamination.WORD
 
@@ -29,6 +29,14 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: source/lang/doc_id.txt; one in 50 is a license file of its source's directory."""
+    name = F.when(F.col("doc_id") % 50 == 0, F.concat_ws("/", "source", F.concat(F.lit("LICENSE-"), F.col("doc_id").cast("string")))).otherwise(
+        F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    )
+    return license_scan.scan(table(spark, sf_dir, "documents").select(name.alias("path"), "text"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -44,17 +52,29 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return judged.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.render(table(spark, sf_dir, "conversations"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "token-files")
+    token_files.write(table(spark, sf_dir, "documents"), path)
+    return token_files.read(spark, path)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).select("doc_id", *quality_rules.BASE, "base_failed", "kept")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_classifier, op2_simhash_near_dedup, op3_toxicity, op5_best_fit_packing, op6_language_id, op7_benchmark_decontamination, op10_quality_rules)
+    for f in (op1_quality_classifier, op2_simhash_near_dedup, op3_toxicity, op4_license_scan, op5_best_fit_packing, op6_language_id, op7_benchmark_decontamination, op8_chat_format, op9_token_files, op10_quality_rules)
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_TEMPLATES = ", ".join(f"('{name}', '{word}', CAST({share!r} AS DOUBLE), CAST({idf!r} AS DOUBLE))" for name, word, share, idf in license_scan.weights())
+
 ORACLE_SQL: dict[str, str] = {
     "op7_benchmark_decontamination": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{WORD}') AS w FROM documents),
@@ -69,5 +89,32 @@ items AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT it
 SELECT d.doc_id AS doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) AS contaminated
 FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    "op4_license_scan": rf"""
+WITH t(license, word, share, idf) AS (VALUES {_TEMPLATES}),
+files AS (SELECT CASE WHEN doc_id % 50 = 0 THEN source || '/LICENSE-' || doc_id ELSE source || '/' || lang || '/' || doc_id || '.txt' END AS path, text FROM documents),
+cut AS (SELECT path, string_split(text, chr(10)) AS parts FROM files),
+lines AS (SELECT path, generate_subscripts(parts, 1) AS line, unnest(parts) AS said FROM cut),
+said AS (SELECT path, line, unnest(regexp_extract_all(lower(said), '{license_scan._WORD}')) AS word FROM lines WHERE regexp_matches(said, '{license_scan.ANCHORS}')),
+counts AS (SELECT path, line, word, count(*) AS n FROM said GROUP BY ALL),
+idf AS (SELECT word, max(idf) AS idf FROM t GROUP BY word),
+weighed AS (SELECT path, line, word, n * coalesce(idf, 1 + ln((1 + {len(license_scan.TEMPLATES)}) / 2.0)) AS x FROM counts LEFT JOIN idf USING (word)),
+norms AS (SELECT path, line, sqrt(sum(x * x)) AS norm FROM weighed GROUP BY ALL),
+scores AS (SELECT path, license, round(max(dot / norm), 6) AS score FROM (SELECT path, line, license, sum(x * share) AS dot FROM weighed JOIN t USING (word) GROUP BY ALL) JOIN norms USING (path, line) GROUP BY ALL),
+own AS (SELECT path, license, score FROM scores WHERE score >= {license_scan.THRESHOLD} QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, license) = 1),
+dirs AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, license, score FROM own WHERE regexp_matches(path, '(^|/)LICENSE[^/]*$') QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, path) = 1)
+SELECT f.path AS path, coalesce(o.license, a.license, b.license) AS license, coalesce(o.score, a.score, b.score) AS score,
+       CASE WHEN o.license IS NOT NULL THEN 'own' WHEN coalesce(a.license, b.license) IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+       CASE WHEN o.license IS NULL THEN coalesce(a.dir, b.dir) END AS from_path
+FROM files f LEFT JOIN own o USING (path) LEFT JOIN dirs a ON a.dir = regexp_replace(f.path, '/[^/]*$', '') LEFT JOIN dirs b ON b.dir = split_part(f.path, '/', 1)
+""",
+    "op8_chat_format": """
+WITH turns AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+convs AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS said FROM turns GROUP BY conv_id),
+classes AS (SELECT said, min(conv_id) AS conv_id, count(*) AS copies FROM convs GROUP BY said),
+kept AS (SELECT * FROM classes a WHERE NOT EXISTS (SELECT 1 FROM classes b WHERE len(b.said) > len(a.said) AND b.said[1:len(a.said)] = a.said))
+SELECT conv_id, len(said) AS n_turns, copies,
+       list_aggregate(list_transform(said, lambda x: '<|im_start|>' || coalesce(x.role, 'user') || chr(10) || coalesce(x.text, '') || '<|im_end|>' || chr(10)), 'string_agg', '') AS rendered
+FROM kept
 """,
 }

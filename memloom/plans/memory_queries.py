@@ -1,0 +1,320 @@
+"""Queries of the memory table, conversations, chunks, streams' batch twins and settings, with their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from memloom.functions import routing, text
+from memloom.operators import chunking, conversation, metadata, store
+from memloom.plans.catalog import query, table
+from memloom.streaming import sse
+
+#: documents as memories with tags from labels: quality 1 is keep, toxic 1 is bad; times count up by the minute.
+MEMORIES = """memories AS (SELECT d.doc_id AS id, text, source AS collection, lang AS category,
+  concat_ws(',', CASE WHEN quality = 1 THEN 'keep' END, CASE WHEN toxic = 1 THEN 'bad' END) AS tags,
+  strftime(TIMESTAMP '2024-01-01' + to_minutes(CAST(d.doc_id AS BIGINT)), '%Y-%m-%dT%H:%M:%SZ') AS timestamp,
+  '{"n":' || n_chars || ',"lang":"' || lang || '"}' AS metadata FROM documents d LEFT JOIN labels l USING (doc_id))"""
+
+
+def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    base = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+    tags = metadata.with_flag(metadata.with_flag(F.lit(""), "keep", F.col("quality") == 1), "bad", F.col("toxic") == 1)
+    when = F.timestamp_seconds(F.lit(1704067200) + 60 * F.col("doc_id"))
+    return base.select(
+        F.col("doc_id").alias("id"), "text", F.col("source").alias("collection"), F.col("lang").alias("category"), tags.alias("tags"), text.iso_utc(when).alias("timestamp"),
+        F.to_json(F.struct(F.col("n_chars").alias("n"), "lang")).alias("metadata"),
+    )
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations")
+
+
+@query("SELECT count(*) AS n FROM documents")
+def count_memories(spark, sf_dir):
+    return memories(spark, sf_dir).agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT source AS collection FROM documents")
+def collections_distinct(spark, sf_dir):
+    return memories(spark, sf_dir).select("collection").distinct()
+
+
+@query("SELECT doc_id AS id, source AS collection FROM documents WHERE source IN ('src1', 'src2')")
+def collection_filter(spark, sf_dir):
+    from memloom.operators.retrieval import in_collections
+
+    return memories(spark, sf_dir).where(in_collections(["src1", "src2"])).select("id", "collection")
+
+
+@query(f"WITH {MEMORIES} SELECT id, text, 0.0::DOUBLE AS score, metadata, timestamp FROM memories WHERE collection = 'src1' ORDER BY id")
+def load_all_by_collection(spark, sf_dir):
+    return memories(spark, sf_dir).where("collection = 'src1'").select("id", "text", F.lit(0.0).alias("score"), "metadata", "timestamp").orderBy("id")
+
+
+@query(f"WITH {MEMORIES} SELECT id, tags FROM memories")
+def tags_from_flags(spark, sf_dir):
+    return memories(spark, sf_dir).select("id", "tags")
+
+
+@query(f"WITH {MEMORIES} SELECT id, timestamp FROM memories WHERE collection = 'src0' AND category = 'en' AND tags ILIKE '%KEEP%' ORDER BY timestamp DESC, id LIMIT 20")
+def metadata_search(spark, sf_dir):
+    return metadata.search_by_metadata(memories(spark, sf_dir), {"collection": "src0", "category": "en"}, 20, tag="KEEP").select("id", "timestamp")
+
+
+@query(f"WITH {MEMORIES} SELECT id FROM memories WHERE timestamp >= '2024-01-01T02:00:00Z' AND timestamp < '2024-01-01T10:00:00Z'")
+def temporal_range(spark, sf_dir):
+    return metadata.search_by_metadata(memories(spark, sf_dir), after="2024-01-01T02:00:00Z", before="2024-01-01T10:00:00Z").select("id")
+
+
+@query(f"WITH {MEMORIES} SELECT id, tags FROM memories WHERE tags ILIKE '%BaD%'")
+def tag_ilike(spark, sf_dir):
+    return metadata.search_by_metadata(memories(spark, sf_dir), tag="BaD").select("id", "tags")
+
+
+@query("SELECT event_id FROM events WHERE CAST(json_extract(props, '$.k') AS DOUBLE) = 3 AND json_type(props, '$.k') IN ('UBIGINT', 'BIGINT', 'DOUBLE')")
+def metadata_json_equality(spark, sf_dir):
+    return table(spark, sf_dir, "events").where(metadata.json_equals(F.col("props"), "k", 3)).select("event_id")
+
+
+@query(
+    """SELECT doc_id AS id, source AS collection, lang AS category, 'a,b' || CASE WHEN doc_id % 2 = 0 THEN ',keep' ELSE '' END AS tags, '{"n":"' || n_chars || '"}' AS metadata,
+'{"n":"' || n_chars || '","collection":"' || source || '","category":"' || lang || '","tags":"a,b' || CASE WHEN doc_id % 2 = 0 THEN ',keep' ELSE '' END || '"}' AS merged FROM documents"""
+)
+def metadata_split_merge(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    packed = F.to_json(F.struct(F.col("n_chars").alias("n"), F.col("source").alias("collection"), F.col("lang").alias("category"), F.array(F.lit("a"), F.lit("b")).alias("tags"), (F.col("doc_id") % 2 == 0).alias("keep")))
+    split = metadata.split_metadata(docs.select(F.col("doc_id").alias("id"), packed.alias("metadata"))).drop("meta_timestamp")
+    return metadata.merge_metadata(split.withColumn("m", F.col("metadata")), "m").withColumnRenamed("m", "merged")
+
+
+@query("SELECT doc_id, replace('see /home/ann/' || source || ' and /home/ann/' || lang || ' in /home/ann', '/home/ann/', '~/') AS text FROM documents")
+def path_normalize(spark, sf_dir):
+    said = F.concat(F.lit("see /home/ann/"), "source", F.lit(" and /home/ann/"), "lang", F.lit(" in /home/ann"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.short_home(said, "/home/ann").alias("text"))
+
+
+@query("SELECT doc_id, CASE WHEN strlen(text) > 200 THEN substring(text, 1, 200) || '...' ELSE text END AS preview FROM documents WHERE lang = 'en' AND strlen(text) = length(text)")
+def preview_200(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("lang = 'en'").where(F.octet_length("text") == F.length("text"))
+    return docs.select("doc_id", text.preview(F.col("text")).alias("preview"))
+
+
+@query(f"WITH {MEMORIES} SELECT id FROM memories WHERE NOT (id % 3 = 0 AND NOT contains(tags, 'keep'))")
+def keep_protected_delete(spark, sf_dir):
+    m = memories(spark, sf_dir)
+    return store.delete(m, m.where("id % 3 = 0").select("id"))[0].select("id")
+
+
+@query(f"WITH {MEMORIES} SELECT id AS memory_id, category AS token FROM memories WHERE NOT (id % 3 = 0 AND NOT contains(tags, 'keep'))")
+def delete_cascade_postings(spark, sf_dir):
+    m = memories(spark, sf_dir)
+    deleted = store.delete(m, m.where("id % 3 = 0").select("id"))[1]
+    return store.cascade(m.select(F.col("id").alias("memory_id"), F.col("category").alias("token")), deleted)
+
+
+@query(f"WITH {MEMORIES} SELECT id FROM memories WHERE NOT (collection = 'src0' AND timestamp < '2024-01-01T12:00:00Z' AND NOT contains(tags, 'keep'))")
+def retention_purge(spark, sf_dir):
+    from datetime import datetime, timezone
+
+    m = memories(spark, sf_dir).withColumn("collection", F.when(F.col("collection") == "src0", "conversation").otherwise(F.col("collection")))
+    return store.purge(m, 12, datetime(2024, 1, 2, tzinfo=timezone.utc)).select("id")
+
+
+@query(
+    f"""WITH {MEMORIES} SELECT id, CASE WHEN id % 5 = 0 AND NOT contains(tags, 'keep') THEN 'new ' || id ELSE text END AS text, timestamp,
+CASE WHEN id % 5 = 0 AND NOT contains(tags, 'keep') THEN 'memory' ELSE collection END AS collection FROM memories"""
+)
+def update_text(spark, sf_dir):
+    m = memories(spark, sf_dir)
+    changes = m.where("id % 5 = 0").select("id", F.concat(F.lit("new "), F.col("id").cast("string")).alias("text"), F.lit("{}").alias("metadata"))
+    return store.update_text(m, changes).select("id", "text", "timestamp", "collection")
+
+
+@query("SELECT 1000 + row_number() OVER (ORDER BY text, doc_id) AS id, text, 'memory' AS collection FROM (SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text)")
+def store_append(spark, sf_dir):
+    batch = table(spark, sf_dir, "documents").select("text").distinct().withColumn("metadata", F.lit("{}"))
+    return store.new_rows(batch, 1001).select("id", "text", "collection")
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")
+def latest_version_upsert(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
+    old, new = e.where("event_id % 2 = 0"), e
+    return store.upsert(store.latest(old, "user_id", order="event_id"), store.latest(new, "user_id", order="event_id"), "user_id")
+
+
+_PAIRS = r"""pairs AS (SELECT conv_id, turn, trim(text) AS user_text, CASE WHEN next_role = 'assistant' THEN trim(next_text) ELSE '' END AS assistant_text FROM
+  (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> '' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user')"""
+
+
+@query(f"WITH {_PAIRS} SELECT * FROM pairs")
+def turn_pairing(spark, sf_dir):
+    return conversation.pair_turns(turns(spark, sf_dir))
+
+
+@query(f"WITH {_PAIRS} SELECT conv_id, turn, user_text AS user_part, assistant_text AS assistant_part FROM pairs")
+def exchange_roundtrip(spark, sf_dir):
+    joined = conversation.pair_turns(turns(spark, sf_dir)).select("conv_id", "turn", conversation.exchange(F.col("user_text"), F.col("assistant_text")).alias("x"))
+    user, reply = conversation.exchange_parts(F.col("x"))
+    return joined.select("conv_id", "turn", user.alias("user_part"), reply.alias("assistant_part"))
+
+
+@query(
+    f"WITH {_PAIRS} SELECT conv_id, string_agg('**User:** ' || user_text || chr(10) || chr(10) || '**Assistant:** ' || assistant_text || chr(10) || chr(10), '' ORDER BY turn) AS rendered FROM pairs GROUP BY conv_id"
+)
+def conversation_render(spark, sf_dir):
+    return conversation.render(conversation.pair_turns(turns(spark, sf_dir)))
+
+
+@query(
+    """SELECT conv_id, turn, role FROM conversations WHERE role = 'system'
+UNION ALL SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE role <> 'system') WHERE r <= 4"""
+)
+def last_n_turns(spark, sf_dir):
+    return conversation.last_turns(turns(spark, sf_dir), 2).select("conv_id", "turn", "role")
+
+
+@query("SELECT conv_id, arg_max(text, turn) AS last_user FROM conversations WHERE role = 'user' GROUP BY conv_id")
+def last_user_message(spark, sf_dir):
+    return conversation.last_user_message(turns(spark, sf_dir))
+
+
+@query(
+    """SELECT conv_id, turn, before AS user_text, text AS assistant_text FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)
+WHERE role = 'assistant' AND before IS NOT NULL"""
+)
+def unsummarized_pairs(spark, sf_dir):
+    return conversation.unsummarized(turns(spark, sf_dir))
+
+
+@query(
+    r"""SELECT conv_id, turn, n FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'user' AND length(text) BETWEEN 10 AND 500
+AND NOT contains(text, '<relevant-memories>') AND NOT (starts_with(text, '<') AND contains(text, '</'))
+AND regexp_matches(text, '(?i)remember|zapamatuj|pamatuj|prefer|like|love|hate|want|need|my\s+\w+\s+is|is\s+my|i (always|never|usually)|important|decision|decided')) WHERE n <= 3"""
+)
+def auto_capture(spark, sf_dir):
+    return conversation.captured(turns(spark, sf_dir), text.worth_capturing(F.col("text"))).select("conv_id", "turn", "n")
+
+
+_MARKDOWN = "'# ' || lang || chr(10) || chr(10) || 'about  ' || source || chr(10) || chr(10) || '## ' || source || chr(10) || chr(10) || replace(text, chr(10), chr(10) || chr(10))"
+
+
+def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = F.concat(F.lit("# "), "lang", F.lit("\n\nabout  "), "source", F.lit("\n\n## "), "source", F.lit("\n\n"), F.replace("text", F.lit("\n"), F.lit("\n\n")))
+    return table(spark, sf_dir, "documents").select("doc_id", made.alias("text"))
+
+
+@query(f"SELECT doc_id, regexp_replace(regexp_replace({_MARKDOWN}, ' {{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g') AS cleaned FROM documents")
+def clean_markdown(spark, sf_dir):
+    return markdown(spark, sf_dir).select("doc_id", text.clean_markdown(F.col("text")).alias("cleaned"))
+
+
+_PARAGRAPHS = f"""paras AS (SELECT doc_id, list_transform(list_filter(string_split_regex(regexp_replace({_MARKDOWN}, '^\\n+', ''), '\\n\\n+'), lambda p: p NOT IN ('', chr(10))), lambda p: regexp_replace(p, '[\\n\\r ]+$', '')) AS paragraphs FROM documents)"""
+
+
+@query(f"WITH {_PARAGRAPHS} SELECT doc_id, len(paragraphs) AS n, array_to_string(paragraphs, '|') AS said FROM paras")
+def paragraph_split(spark, sf_dir):
+    p = markdown(spark, sf_dir).select("doc_id", text.paragraphs(F.col("text")).alias("p"))
+    return p.select("doc_id", F.size("p").cast("long").alias("n"), F.array_join("p", "|").alias("said"))
+
+
+@query("SELECT doc_id, 2 AS level, lang || ' » ' || source AS section FROM documents WHERE trim(replace(text, chr(10), '')) <> ''")
+def heading_stack(spark, sf_dir):
+    """The headings open above each document's last paragraph."""
+    last = markdown(spark, sf_dir).select("doc_id", F.element_at(chunking.annotated(F.col("text")), -1).alias("a"))
+    return last.select("doc_id", F.element_at("a.heads", -1)["level"].alias("level"), F.array_join(F.transform("a.heads", lambda h: text.heading_text(h["line"])), " » ").alias("section"))
+
+
+@query()
+def chunk_markdown(spark, sf_dir):
+    return chunking.chunk_rows(markdown(spark, sf_dir))
+
+
+@query(
+    """WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)
+SELECT doc_id, CAST(generate_subscripts(parts, 1) AS INTEGER) AS chunk, CAST(len(parts) AS INTEGER) AS total_chunks FROM p WHERE text_ok""".replace(" WHERE text_ok", "")
+)
+def chunk_ordinals(spark, sf_dir):
+    cut = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("p"))
+    return cut.select("doc_id", F.size("p").alias("total_chunks"), F.posexplode("p").alias("i", "x")).select("doc_id", (F.col("i") + 1).alias("chunk"), "total_chunks")
+
+
+@query(
+    """WITH e AS (SELECT user_id, event_id, epoch_us(date_trunc('second', ts)) // 1000000 AS s FROM events),
+b AS (SELECT *, CASE WHEN s - lag(s) OVER w <= 600 THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY user_id ORDER BY s, event_id)),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY s, event_id) AS session_no FROM b)
+SELECT user_id, CAST(session_no AS BIGINT) AS session_no, min(s) AS session_start, max(s) AS session_end, count(*) AS n_events FROM n GROUP BY user_id, session_no"""
+)
+def idle_sessions(spark, sf_dir):
+    return conversation.idle_sessions(table(spark, sf_dir, "events"))
+
+
+@query("SELECT c_custkey AS user_id, c_name AS username, o_orderkey AS token, strftime(o_orderdate, '%Y-%m-%d') AS expires FROM customer JOIN orders ON c_custkey = o_custkey WHERE strftime(o_orderdate, '%Y-%m-%d') > '1997-01-01'")
+def web_session_join(spark, sf_dir):
+    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("username"))
+    live = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("token"), F.col("o_custkey").alias("user_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("expires"))
+    return store.signed_in(users, live, "1997-01-01").select(F.col("id").alias("user_id"), "username", "token", "expires")
+
+
+def stream_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as token streams: an event for each turn, then the end."""
+    said = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices")))
+    each = turns(spark, sf_dir).select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), F.concat(F.lit("data: "), said, F.lit("\n\n")).alias("chunk"))
+    ends = each.groupBy("stream_id").agg((F.max("seq") + 1).alias("seq")).withColumn("chunk", F.lit("data: [DONE]\n\n"))
+    return each.unionByName(ends)
+
+
+@query("SELECT conv_id AS stream_id, string_agg(text, '' ORDER BY turn) AS text, TRUE AS done FROM conversations GROUP BY conv_id")
+def sse_accumulate(spark, sf_dir):
+    return sse.accumulate(stream_chunks(spark, sf_dir))
+
+
+@query("SELECT conv_id, turn, text AS content FROM conversations")
+def json_path_extract(spark, sf_dir):
+    body = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"))).alias("choices")))
+    return turns(spark, sf_dir).select("conv_id", "turn", routing.string_at(body, "choices[0].message.content").alias("content"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text ELSE '' END AS delta FROM conversations")
+def delta_filter(spark, sf_dir):
+    kind = F.when(F.col("turn") % 2 == 0, "content_block_delta").otherwise("ping")
+    event = F.to_json(F.struct(kind.alias("type"), F.struct("text").alias("delta")))
+    return turns(spark, sf_dir).select("conv_id", "turn", sse.delta_of(event, "delta.text", "type", "content_block_delta").alias("delta"))
+
+
+@query("SELECT c_custkey, sha256(c_name) AS token_hash FROM customer")
+def sha256_token(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", text.token_hash(F.col("c_name")).alias("token_hash"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_name GLOB 'b*' OR p_name GLOB '*green*' THEN 'first' WHEN p_name GLOB 'b*' OR p_name GLOB '?e*' THEN 'second' ELSE 'last' END AS endpoint FROM part")
+def glob_route(spark, sf_dir):
+    ends = spark.createDataFrame([(0, "first", "b*, *green*"), (1, "second", "b*,?e*"), (2, "last", "none")], "ord int, name string, models string")
+    asked = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("model"))
+    return routing.route(asked, ends).select("p_partkey", "endpoint")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size - 5 <= 0 OR p_size - 5 > 20 THEN 20 ELSE p_size - 5 END AS clamped FROM part")
+def clamp_ceiling(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", routing.clamped(F.col("p_size") - 5, 20).alias("clamped"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size * 1000 BETWEEN 1 AND 32767 THEN least(greatest(500, CAST(floor(p_size * 1000 * 4.0 * 25 / 100) AS INTEGER)), 20000) ELSE 20000 END AS budget FROM part")
+def persona_budget(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", routing.persona_budget(F.col("p_size") * 1000, 25, 20000).alias("budget"))
+
+
+@query(
+    """SELECT source, doc_id, running FROM (SELECT source, doc_id, sum(strlen(text)) OVER (PARTITION BY source ORDER BY doc_id) AS running,
+  max(CAST(over AS INTEGER)) OVER (PARTITION BY source ORDER BY doc_id) AS ended FROM (SELECT *, sum(strlen(text)) OVER (PARTITION BY source ORDER BY doc_id) > 40000 AS over FROM documents)) WHERE ended = 0"""
+)
+def persona_budget_prefix(spark, sf_dir):
+    """The documents of each source that fit a running budget, up to the first that doesn't."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("source").orderBy("doc_id")
+    run = table(spark, sf_dir, "documents").select("source", "doc_id", F.sum(F.octet_length("text")).over(w).alias("running"))
+    return run.withColumn("ended", F.max((F.col("running") > 40000).cast("int")).over(w)).where("ended = 0").drop("ended")

@@ -1,0 +1,153 @@
+import json
+from datetime import datetime, timezone
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from memloom.functions import embedding, routing
+from memloom.operators import conversation, metadata, retrieval, store
+from memloom.sources import files
+from memloom.streaming import sessions, sse
+
+MEMORY = "id long, text string, collection string, category string, tags string, timestamp string, metadata string"
+
+
+def memories(spark, *rows):
+    return spark.createDataFrame([(i, f"t{i}", c, "", tags, ts, meta) for i, (c, tags, ts, meta) in enumerate(rows)], MEMORY)
+
+
+def test_bm25_order(spark):
+    docs = spark.createDataFrame([(0, "the quick brown fox"), (1, "quick dogs"), (2, "search engines"), (3, "quick search of quick things")], "id long, text string")
+    terms = retrieval.query_terms(spark.createDataFrame([(0, "quick search")], "query_id long, text string"))
+    got = {r["memory_id"]: r["bm25"] for r in retrieval.bm25(retrieval.postings(docs), terms).collect()}
+    assert got[3] > got[1] and got[3] > got[2]
+    none = retrieval.query_terms(spark.createDataFrame([(0, "zzzznotfound")], "query_id long, text string"))
+    assert retrieval.bm25(retrieval.postings(docs), none).count() == 0
+
+
+def test_hybrid_applies_min_score_last(spark):
+    m = spark.createDataFrame([(1, "apple", "food", [1.0, 0.0]), (2, "apple tree", "food", [0.0, 1.0]), (3, "rock", "other", [1.0, 0.1])], "id long, text string, collection string, embedding array<float>")
+    q = spark.createDataFrame([(0, "apple", [1.0, 0.0])], "query_id long, text string, embedding array<float>")
+    posted = retrieval.postings(m)
+    how = retrieval.Blend(limit=2, min_score=0.5)
+    assert [r["id"] for r in retrieval.hybrid_search(m, posted, q, ["food"], how).collect()] == [1]
+    assert {r["id"] for r in retrieval.hybrid_search(m, posted, q, ["*"], how).collect()} == {1, 3}
+    assert retrieval.hybrid_search(m.limit(0), posted, q, None, how).count() == 0
+
+
+def test_metadata_round_trip(spark):
+    j = json.dumps({"category": "fact", "tags": ["test", "unit"], "keep": True, "x": 1})
+    split = metadata.split_metadata(spark.createDataFrame([(j,)], "metadata string")).head()
+    assert (split["collection"], split["category"], split["tags"], split["metadata"]) == ("memory", "fact", "test,unit,keep", '{"x":"1"}')
+    merged = metadata.merge_metadata(metadata.split_metadata(spark.createDataFrame([(j,)], "metadata string"))).head()["metadata"]
+    assert json.loads(merged) == {"x": "1", "collection": "memory", "category": "fact", "tags": "test,unit,keep"}
+
+
+def test_flags_and_protection(spark):
+    df = spark.createDataFrame([("bookkeeping",), ("a",), ("",), ("keep",)], "tags string")
+    got = df.select(metadata.with_flag(F.col("tags"), "keep", F.lit(True)).alias("t"), metadata.protected(F.col("tags")).alias("p"), metadata.protected_exactly(F.col("tags")).alias("e")).collect()
+    assert [tuple(r) for r in got] == [("bookkeeping", True, False), ("a,keep", False, False), ("keep", False, False), ("keep", True, True)]
+    old = spark.createDataFrame([(" a , keep,", True, True)], "t string, k boolean, b boolean")
+    assert old.select(metadata.backfilled_tags(F.col("t"), F.col("k"), F.col("b"))).head()[0] == "a,keep,bad"
+
+
+def test_metadata_search(spark):
+    rows = [("c", "", "2024-01-01T00:00:00Z", '{"kind":"fruit","n":1}'), ("c", "", "2024-01-02T00:00:00Z", '{"kind":"fruit","n":1.0}'), ("c", "Red", "2024-01-03T00:00:00Z", '{"kind":"car","n":"1"}'), ("d", "", "2024-01-04T00:00:00Z", None)]
+    m = memories(spark, *rows)
+    ids = lambda **k: [r["id"] for r in metadata.search_by_metadata(m, **k).collect()]
+    assert ids(fields={"kind": "fruit"}) == [1, 0] and ids(fields={"n": 1}) == [1, 0] and ids(fields={"n": "1"}) == [2]
+    assert ids(fields={"kind": "none"}) == [] and ids(fields={"kind": "fruit"}, limit=1) == [1]
+    assert ids(tag="rED") == [2] and ids(after="2024-01-02T00:00:00Z", before="2024-01-04T00:00:00Z") == [2, 1]
+    assert ids(fields={"kind": "fruit"}, limit=1, compat=True) == []
+
+
+def test_store_changes(spark):
+    m = memories(spark, ("c", "keep", "2024-01-01T00:00:00Z", None), ("conversation", "", "2024-01-01T00:00:00Z", None), ("conversation", "keep", "2024-01-01T00:00:00Z", None))
+    ids = spark.createDataFrame([(0,), (1,), (99,)], "id long")
+    left, gone = store.delete(m, ids)
+    assert {r["id"] for r in left.collect()} == {0, 2} and gone.count() == 1
+    assert store.delete(m, ids.limit(0))[1].count() == 0
+    posted = spark.createDataFrame([(0, "a"), (1, "b")], "memory_id long, token string")
+    assert [r["memory_id"] for r in store.cascade(posted, gone).collect()] == [0]
+    now = datetime(2024, 2, 1, tzinfo=timezone.utc)
+    assert {r["id"] for r in store.purge(m, 336, now).collect()} == {0, 2}
+    assert {r["id"] for r in store.purge(m, 336, now, compat=True).collect()} == {0}
+    changes = spark.createDataFrame([(0, "no", "{}"), (1, "yes", '{"category":"x"}')], "id long, text string, metadata string")
+    after = {r["id"]: r for r in store.update_text(m, changes).collect()}
+    assert after[0]["text"] == "t0" and after[1]["text"] == "yes" and after[1]["collection"] == "memory" and after[1]["timestamp"] == "2024-01-01T00:00:00Z"
+
+
+def test_store_new_rows(spark):
+    batch = spark.createDataFrame([(f"see /h/u/{i}", '{"timestamp":"t"}' if i else None) for i in range(50)], "text string, metadata string")
+    got = store.new_rows(batch, 10, "/h/u").collect()
+    assert sorted(r["id"] for r in got) == list(range(10, 60)) and all(r["text"].startswith("see ~/") for r in got)
+    assert sum(len(r["timestamp"]) == 20 for r in got) == 1
+
+
+def test_pairing(spark):
+    t = [("assistant", "early"), ("user", "a"), ("user", "b"), ("assistant", "c"), ("assistant", "d"), ("user", " "), ("system", "s"), ("user", "last")]
+    turns = spark.createDataFrame([(1, i, r, x) for i, (r, x) in enumerate(t)], "conv_id long, turn long, role string, text string")
+    assert [(r["user_text"], r["assistant_text"]) for r in conversation.pair_turns(turns).orderBy("turn").collect()] == [("a", ""), ("b", "c"), ("last", "")]
+    pair = spark.createDataFrame([("u\nx", "a\ny"), ("u", "")], "u string, a string").withColumn("x", conversation.exchange(F.col("u"), F.col("a")))
+    assert [tuple(r) for r in pair.select(*conversation.exchange_parts(F.col("x"))).collect()] == [("u\nx", "a\ny"), ("u", "")]
+    assert spark.createDataFrame([("only",)], "x string").select(*conversation.exchange_parts(F.col("x"))).head()[:] == ("only", "")
+
+
+def test_idle_gap(spark):
+    stamps = ["2024-01-01 00:00:00", "2024-01-01 00:10:00", "2024-01-01 00:20:01"]
+    e = spark.createDataFrame([(i, 1, s) for i, s in enumerate(stamps)], "event_id long, user_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert sorted(r["n_events"] for r in conversation.idle_sessions(e).collect()) == [1, 2]
+    assert sorted(r["n_events"] for r in sessions.idle_sessions(e).collect()) == [1, 2]
+
+
+def test_sse(spark):
+    event = lambda s: "data: " + json.dumps({"choices": [{"delta": {"content": s}}]})
+    whole = event("Hel") + "\n\n" + event("lo") + "\n\ndata: {bad\n\n: comment\n\ndata: [DONE]\n\n" + event("cut")
+    deltas, done, rest = sse.parse_events(whole)
+    assert ("".join(deltas), done, rest) == ("Hello", True, event("cut"))
+    assert sse.parse_events(event("x") + "\r\n\r\n")[0] == ["x"]
+    chunks = spark.createDataFrame([("s", i, whole[i * 7 : i * 7 + 7]) for i in range(len(whole) // 7 + 1)], "stream_id string, seq long, chunk string")
+    assert sse.accumulate(chunks).head()[:] == ("s", "Hello", True)
+
+
+def test_streams(spark, tmp_path):
+    event = "data: " + json.dumps({"choices": [{"delta": {"content": "hey"}}]}) + "\n\ndata: [DONE]\n\n"
+    spark.createDataFrame([("s", 0, event[:9]), ("s", 1, event[9:])], "stream_id string, seq long, chunk string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema("stream_id string, seq long, chunk string").parquet(str(tmp_path / "in"))
+    q = sse.accumulate_stream(live).writeStream.format("memory").queryName("sse_out").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert [(r["text"], r["final"]) for r in spark.table("sse_out").collect()] == [("hey", True)]
+    q = sessions.upsert_batches(live.select("stream_id", "seq"), str(tmp_path / "out"), ["stream_id"], "seq", str(tmp_path / "c2"))
+    q.awaitTermination(60)
+    assert spark.read.parquet(str(tmp_path / "out" / "v0")).collect()[0]["seq"] == 1
+
+
+def test_sources(spark, tmp_path):
+    lines = [{"type": "user", "timestamp": "2024-01-01T00:00:00Z", "message": {"content": "hi"}}, {"type": "assistant", "sessionId": "x", "message": {"content": [{"type": "text", "text": "yo"}, {"type": "tool", "text": "no"}]}}]
+    (tmp_path / "sess.jsonl").write_text("\n".join(map(json.dumps, lines)) + "\n\n{bad\n")
+    assert sorted((r["session_id"], r["role"], r["text"]) for r in files.jsonl_turns(spark, str(tmp_path / "sess.jsonl")).collect()) == [("sess", "user", "hi"), ("x", "assistant", "yo")]
+    one = [{"uuid": "u", "chat_messages": [{"sender": "human", "text": "q", "created_at": "t"}, {"sender": "assistant", "content": [{"type": "text", "text": "a"}]}]}]
+    for k, body in enumerate((one, {"conversations": one})):
+        (tmp_path / f"e{k}.json").write_text(json.dumps(body))
+        got = files.export_turns(spark, str(tmp_path / f"e{k}.json")).orderBy("seq").collect()
+        assert [(r["session_id"], r["role"], r["text"]) for r in got] == [("u", "user", "q"), ("u", "assistant", "a")]
+
+
+def test_embedding(spark):
+    a, b, c = (embedding.hashed(t) for t in ("the cat sat on the mat", "the cat sat on a mat", "stock prices fell"))
+    assert a @ b > a @ c and abs(np.linalg.norm(a) - 1) < 1e-4 and np.isfinite(embedding.hashed("")).all()
+    df = spark.createDataFrame([([1.0, 2.5],), (None,)], "v array<float>")
+    assert [r[0] for r in df.select(embedding.from_blob(embedding.to_blob("v"))).collect()] == [[1.0, 2.5], None]
+    hashed = spark.createDataFrame([("pw",)], "p string").select("p", embedding.password_hash("00" * 16, 1000)("p").alias("h"))
+    assert hashed.select(embedding.password_matches("p", "h"), embedding.password_matches(F.lit("no"), "h")).head()[:] == (True, False)
+
+
+def test_routing_and_settings(spark):
+    s = routing.load_settings("[search]\nlimit = 50 # many\nbm25_enabled = no\n; note\n[limits]\nmax_search_limit = 10\n")
+    assert s.limit == 10 and s.bm25_enabled is False
+    assert routing.load_settings("[search]\nlimit = 999\n").limit == 999
+    body = spark.createDataFrame([('{"a":[{"b":"x"}],"n":1}',), ("bad",)], "j string")
+    assert [r[:] for r in body.select(routing.string_at(F.col("j"), "a[0].b"), routing.string_at(F.col("j"), "n")).collect()] == [("x", ""), ("", "")]
+    asked = spark.createDataFrame([(1, "a.b"), (2, "axb"), (3, "zz")], "request_id int, model string")
+    ends = spark.createDataFrame([(0, "e0", " a.b ,q*"), (1, "e1", "a?b"), (2, "e2", "")], "ord int, name string, models string")
+    assert {r["request_id"]: r["endpoint"] for r in routing.route(asked, ends).collect()} == {1: "e0", 2: "e1", 3: "e2"}

@@ -12,7 +12,7 @@ as its worst sentence, and a logistic curve makes that a probability.
 A trained machine is linear in the subsequences, so its landmarks are folded into one weight for each three letters:
 exact, and scoring is linear in the text, with bounded memory.
 
-Defined results: a null, empty or wordless text has the score of the smallest margin; repeated rows score alike; an
+Defined results: a null, empty or wordless text has the score of the margin WORDLESS, below any clean word's; repeated rows score alike; an
 empty table gives no rows; without usable labels every score is 0; input columns named as outputs are replaced.
 """
 
@@ -42,7 +42,7 @@ _CODE[128:192] = 28 + (np.arange(64) & 15)
 _CODE[192:] = 28 + (np.arange(64) & 15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LONGEST = 4096
+_LONGEST, WORDLESS = 4096, -3.0
 _NORM = np.sqrt(np.maximum(sum(DECAY ** (2 * (a + b + 1)) * np.maximum(np.arange(_LONGEST + 1) - a - b, 0) for a, b in STEPS), DECAY**6))
 
 
@@ -134,10 +134,10 @@ class Model:
     offset: float
 
     def margins(self, texts) -> np.ndarray:
-        """Each text's largest margin over its spans; of a text without spans, the bias."""
+        """Each text's largest margin over its spans; of a text without spans, WORDLESS."""
         out = []
         for data, starts, ends in slices((None if t is None else t.lower() for t in texts), 1 << 19):
-            worst = np.full(len(starts), self.bias)
+            worst = np.full(len(starts), WORDLESS)
             data, starts, ends = joined(data, starts, ends)
             lo, hi = spans(data)
             if len(lo):
@@ -148,7 +148,7 @@ class Model:
                 a, b = np.searchsorted(lo, starts), np.searchsorted(lo, ends)
                 full = np.flatnonzero(b > a)
                 if len(full):
-                    worst[full] = np.maximum(worst[full], np.maximum.reduceat(each, a[full]))
+                    worst[full] = np.maximum.reduceat(each, a[full])
             out.append(worst)
         return np.concatenate(out) if out else np.zeros(0)
 

@@ -214,22 +214,31 @@ def fit(toxic: list[list[str]], clean: list[list[str]], how: Training = Training
         val, vec = np.linalg.eigh(marks @ marks.T + 1e-4 * np.eye(len(marks)))
         root = vec / np.sqrt(np.maximum(val, 1e-6)) @ vec.T
         words = witnesses + broken + some + hard
-        x = np.concatenate([kernel(words, marks) @ root, np.ones((len(words), 1))], axis=1)
-        y = np.where(np.arange(len(words)) < len(pos_share), 1.0, -1.0)
+        known = np.concatenate([kernel(words, marks) @ root, np.zeros((1, len(marks)))])  # the last: a span like none of the landmarks, clean
+        x = np.concatenate([known, np.ones((len(known), 1))], axis=1)
+        y = np.where(np.arange(len(known)) < len(pos_share), 1.0, -1.0)
         neg_share = np.sqrt([counts[0][w] for w in some + hard])
-        share = np.concatenate([0.5 * pos_share / pos_share.sum(), 0.5 * neg_share / neg_share.sum()])
-        w, active = np.zeros(x.shape[1]), np.ones(len(x), bool)
-        for _ in range(40):
+        share = np.concatenate([0.5 * pos_share / pos_share.sum(), 0.45 * neg_share / neg_share.sum(), [0.05]])
+        w = np.zeros(x.shape[1])
+
+        def loss(w: np.ndarray, x=x, y=y, share=share) -> float:
+            return float(share @ np.maximum(0, 1 - y * (x @ w)) ** 2 + how.ridge * (w @ w))
+
+        for _ in range(60):  # damped, as full steps can go round in circles
+            active = y * (x @ w) < 1
             part = x[active] * share[active, None]
-            w = np.linalg.solve(part.T @ x[active] + how.ridge * np.eye(x.shape[1]), part.T @ y[active])
-            before, active = active, y * (x @ w) < 1
-            if (before == active).all():
+            step = np.linalg.solve(part.T @ x[active] + how.ridge * np.eye(x.shape[1]), part.T @ y[active]) - w
+            size, now = 1.0, loss(w)
+            while size > 1e-4 and loss(w + size * step) > now:
+                size /= 2
+            if now - loss(w + size * step) <= 1e-9:
                 break
+            w = w + size * step
         model = Model(((root @ w[:-1]) @ marks).astype(np.float32), float(w[-1]), 1.0, 0.0)
         margins = model.margins(pool)
         worst = [pool[i] for i in np.argsort(-margins, kind="stable")[:2000] if margins[i] > -1]
         near, hard = worst + some, sorted(set(hard) | set(worst))[:6000]
-    each = np.concatenate([model.margins([" \x00 ".join(ws) for ws in docs[k]]) for k in (0, 1)])
+    each = np.concatenate([model.margins([" \x00\x00 ".join(ws) for ws in docs[k]]) for k in (0, 1)])
     y = np.concatenate([np.zeros(len(clean)), np.ones(len(toxic))])
     slope, offset = 3.0, 0.0
     for _ in range(300):  # the logistic curve, by gradient steps with a little shrinkage towards slope 3

@@ -111,17 +111,44 @@ def mapped(word: str) -> np.ndarray:
     return out / _NORM[min(len(data) - 4, _LONGEST)]
 
 
-def kernel(words: list[str], marks: np.ndarray, batch: int = 2000) -> np.ndarray:
-    """The kernel of each word, none empty, with each landmark: a row of marks, mapped."""
-    across, out = np.ascontiguousarray(marks.T), []
+@dataclass(frozen=True)
+class Landmarks:
+    """weight[row[subsequence], landmark]: the landmarks' mapped spans, over the subsequences that any of them has; the last row is zero."""
+
+    row: np.ndarray
+    weight: np.ndarray
+
+    @classmethod
+    def of(cls, words: list[str]) -> Landmarks:
+        each = []
+        for w in words:
+            full = mapped(w)
+            ids = np.flatnonzero(full)
+            each.append((ids, full[ids]))
+        used = np.unique(np.concatenate([ids for ids, _ in each]))
+        row = np.full(LETTERS**3, len(used), np.int32)
+        row[used] = np.arange(len(used))
+        weight = np.zeros((len(used) + 1, len(words)), np.float32)
+        for j, (ids, values) in enumerate(each):
+            weight[row[ids], j] = values
+        return cls(row, weight)
+
+    def folded(self, share: np.ndarray) -> np.ndarray:
+        """One weight for each subsequence: the landmarks', by share."""
+        return (self.weight @ share).astype(np.float32)[self.row]
+
+
+def kernel(words: list[str], marks: Landmarks, batch: int = 2000) -> np.ndarray:
+    """The kernel of each word, none empty, with each landmark."""
+    out = []
     for i in range(0, len(words), batch):
         data, starts, ends = _side_by_side(words[i : i + batch])
-        total = np.zeros((len(data), len(marks)), np.float32)
+        total = np.zeros((len(data), marks.weight.shape[1]), np.float32)
         for weight, ids, ok in triples(data, starts, ends):
             at = np.flatnonzero(ok)
-            total[at] += np.float32(weight) * across[ids[at]]
+            total[at] += np.float32(weight) * marks.weight[marks.row[ids[at]]]
         out.append(np.add.reduceat(total, starts - 1, axis=0) / _NORM[np.minimum(ends - starts + 1, _LONGEST)][:, None])
-    return np.concatenate(out) if out else np.zeros((0, len(marks)), np.float32)
+    return np.concatenate(out) if out else np.zeros((0, marks.weight.shape[1]), np.float32)
 
 
 @dataclass(frozen=True)
@@ -203,18 +230,18 @@ def fit(toxic: list[list[str]], clean: list[list[str]], how: Training = Training
     for i in range(len(witnesses)):
         if len(chosen) < how.landmarks * 2 // 3 and nearest[i] < 0.7:
             chosen.append(i)
-            nearest = np.maximum(nearest, kernel(witnesses, mapped(witnesses[i])[None])[:, 0])
+            nearest = np.maximum(nearest, kernel(witnesses, Landmarks.of([witnesses[i]]))[:, 0])
     broken = [w[:k] + "-.*_xz"[int(rng.integers(6))] + w[k:] for w in sorted(witnesses, key=lambda w: (-counts[1][w], w))[: how.broken] if len(w) > 3 for k in rng.permutation(len(w) - 1)[:2] + 1]
     pool = clean_words if len(clean_words) <= how.pool else [clean_words[i] for i in rng.choice(len(clean_words), how.pool, replace=False)]
     pos_share = np.sqrt([counts[1][w] for w in witnesses] + [0.5] * len(broken))
     hard: list[str] = []
     near = some
     for _ in range(how.rounds):
-        marks = np.stack([mapped(w) for w in [witnesses[i] for i in chosen] + near[: how.landmarks - len(chosen)]])
-        val, vec = np.linalg.eigh(marks @ marks.T + 1e-4 * np.eye(len(marks)))
+        marks = Landmarks.of([witnesses[i] for i in chosen] + near[: how.landmarks - len(chosen)])
+        val, vec = np.linalg.eigh(marks.weight.T @ marks.weight + 1e-4 * np.eye(marks.weight.shape[1]))
         root = vec / np.sqrt(np.maximum(val, 1e-6)) @ vec.T
         words = witnesses + broken + some + hard
-        known = np.concatenate([kernel(words, marks) @ root, np.zeros((1, len(marks)))])  # the last: a span like none of the landmarks, clean
+        known = np.concatenate([kernel(words, marks) @ root, np.zeros((1, len(root)))])  # the last: a span like none of the landmarks, clean
         x = np.concatenate([known, np.ones((len(known), 1))], axis=1)
         y = np.where(np.arange(len(known)) < len(pos_share), 1.0, -1.0)
         neg_share = np.sqrt([counts[0][w] for w in some + hard])
@@ -234,7 +261,7 @@ def fit(toxic: list[list[str]], clean: list[list[str]], how: Training = Training
             if now - loss(w + size * step) <= 1e-9:
                 break
             w = w + size * step
-        model = Model(((root @ w[:-1]) @ marks).astype(np.float32), float(w[-1]), 1.0, 0.0)
+        model = Model(marks.folded(root @ w[:-1]), float(w[-1]), 1.0, 0.0)
         margins = model.margins(pool)
         worst = [pool[i] for i in np.argsort(-margins, kind="stable")[:2000] if margins[i] > -1]
         near, hard = worst + some, sorted(set(hard) | set(worst))[:6000]

@@ -90,8 +90,7 @@ def test_string_kernel_by_brute_force():
         return out, toxicity._NORM[len(s)]
 
     words = ["idiot", "idxiot", "id-iot", "stoat", "a"]
-    marks = np.stack([toxicity.mapped(w) for w in words])
-    got = toxicity.kernel(words, marks)
+    got = toxicity.kernel(words, toxicity.Landmarks.of(words))
     for i, x in enumerate(words):
         for j, y in enumerate(words):
             (a, n), (b, m) = explicit(x), explicit(y)

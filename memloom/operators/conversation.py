@@ -82,12 +82,12 @@ def captured(turns: DataFrame, predicate: Column, most: int = 3, session: str =
     return turns.where("role = 'user'").where(predicate).withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
 
 
-def orphans(memories: DataFrame, now: str, minutes: int = 5) -> DataFrame:
+def orphans(memories: DataFrame, now: str, minutes: int = 5, source: str = "chat") -> DataFrame:
     """Stored chat turns, not of session mode, that are older than so many whole minutes."""
     j = F.col("metadata")
     age = F.floor((F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds(F.try_to_timestamp("timestamp"))) / 60)
     mode = F.coalesce(F.get_json_object(j, "$.mode"), F.lit(""))
-    return memories.where((F.col("category") == "conversation") & (F.get_json_object(j, "$.source") == "ragger-chat") & (mode != "session") & (age > minutes))
+    return memories.where((F.col("category") == "conversation") & (F.get_json_object(j, "$.source") == source) & (mode != "session") & (age > minutes))
 
 
 def idle_sessions(events: DataFrame, user: str = "user_id", ts: str = "ts", pause: int = 600) -> DataFrame:

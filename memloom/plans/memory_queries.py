@@ -318,3 +318,98 @@ def persona_budget_prefix(spark, sf_dir):
     w = Window.partitionBy("source").orderBy("doc_id")
     run = table(spark, sf_dir, "documents").select("source", "doc_id", F.sum(F.octet_length("text")).over(w).alias("running"))
     return run.withColumn("ended", F.max((F.col("running") > 40000).cast("int")).over(w)).where("ended = 0").drop("ended")
+
+
+@query(f"WITH {MEMORIES} SELECT id FROM memories WHERE category = 'en' AND collection <> 'src0' AND date_diff('second', CAST(timestamp AS TIMESTAMP), TIMESTAMP '2024-01-01 10:00:30') // 60 > 5")
+def orphaned_turns(spark, sf_dir):
+    """Stored chat turns that were never summarized: English memories stand for them, source src0 for session mode."""
+    mode = F.when(F.col("collection") == "src0", "session").otherwise("true")
+    made = F.to_json(F.struct(F.lit("chat").alias("source"), mode.alias("mode")))
+    m = memories(spark, sf_dir).withColumn("metadata", made).withColumn("category", F.when(F.col("category") == "en", "conversation"))
+    return conversation.orphans(m, "2024-01-01T10:00:30Z").select("id")
+
+
+@query("SELECT event_id FROM events WHERE user_id = 7 AND ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-20'")
+def turns_in_dates(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("session_id"), text.iso_utc(F.col("ts").cast("timestamp")).alias("timestamp"))
+    return conversation.filter_turns(e, 7, "2024-01-02", "2024-01-20").select("event_id")
+
+
+@query(
+    f"""WITH {_PAIRS} SELECT '=== ' || turn || '  [web:' || substring('session-' || conv_id, 1, 8) || '] ===' || chr(10) || 'User: ' || user_text ||
+CASE WHEN assistant_text <> '' THEN chr(10) || chr(10) || 'Assistant: ' || assistant_text ELSE '' END || chr(10) AS value FROM pairs"""
+)
+def archive_blocks(spark, sf_dir):
+    from memloom.sources.files import archive_lines
+
+    pairs = conversation.pair_turns(turns(spark, sf_dir)).withColumns({"session_id": F.concat(F.lit("session-"), F.col("conv_id").cast("string")), "source": F.lit("web"), "timestamp": F.col("turn").cast("string")})
+    return archive_lines(pairs)
+
+
+@query("SELECT conv_id, turn, trim(text) || chr(10) || chr(10) || 'more' AS said FROM conversations WHERE trim(text) <> ''")
+def content_blocks(spark, sf_dir):
+    from memloom.sources.files import content_text
+
+    block = lambda kind, said: F.struct(F.lit(kind).alias("type"), said.alias("text"))
+    content = F.to_json(F.array(block("text", F.trim("text")), block("image", F.lit("no")), block("text", F.lit(" ")), block("text", F.lit("more"))))
+    return turns(spark, sf_dir).where(F.trim("text") != "").select("conv_id", "turn", content_text(content).alias("said"))
+
+
+@query("SELECT c_custkey, replace(replace(rtrim(to_base64(CAST(c_name AS BLOB)), '='), '+', '-'), '/', '_') AS token FROM customer")
+def base64url_token(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", text.base64url(F.encode("c_name", "UTF-8")).alias("token"))
+
+
+@query("SELECT page_id, url LIKE '%localhost%' OR url LIKE '%127.0.0.%' OR url LIKE '%192.168.%' OR url LIKE '%10.%' OR url LIKE '%0.0.0.0%' AS is_local FROM pages")
+def local_urls(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", routing.is_local(F.col("url")).alias("is_local"))
+
+
+@query("SELECT conv_id, len(list_filter(list(role), lambda r: r = 'system')) AS n_system, len(list_filter(list(role), lambda r: r <> 'system')) AS n_messages FROM conversations GROUP BY conv_id")
+def request_bodies(spark, sf_dir):
+    """Request bodies of the second kind, which hoists system messages, counted back from their JSON."""
+    sent = F.array_sort(F.collect_list(F.struct("turn", "role", F.lit("x").alias("content"))))
+    body = turns(spark, sf_dir).groupBy("conv_id").agg(sent.alias("m")).select("conv_id", routing.request_body(F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))), F.lit("model"), "anthropic").alias("j"))
+    system = F.coalesce(F.size(F.split(F.get_json_object("j", "$.system"), "\n\n")), F.lit(0))
+    return body.select("conv_id", F.when(F.get_json_object("j", "$.system").isNull(), 0).otherwise(system).cast("long").alias("n_system"), F.json_array_length(F.get_json_object("j", "$.messages")).cast("long").alias("n_messages"))
+
+
+@query(f"WITH {MEMORIES} SELECT id, collection FROM memories QUALIFY row_number() OVER (PARTITION BY collection ORDER BY timestamp DESC, id DESC) <= 5")
+def retention_by_count(spark, sf_dir):
+    from memloom.operators.context import newest
+
+    return newest(memories(spark, sf_dir), 5).select("id", "collection")
+
+
+@query()
+def budgeted_sections(spark, sf_dir):
+    """Documents of each source as files, while they fit 20,000 bytes; the first that doesn't is cut at a paragraph."""
+    from memloom.operators.context import within_budget
+
+    files = markdown(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("session")), "doc_id")
+    return within_budget(files.withColumn("ord", F.col("doc_id")).withColumn("label", F.lit("file")), 20000)
+
+
+@query()
+def session_summaries(spark, sf_dir):
+    """Conversations rendered, then summarized without a model."""
+    from memloom.operators.context import summarizer
+
+    said = conversation.render(conversation.pair_turns(turns(spark, sf_dir)))
+    return said.select("conv_id", summarizer()(F.col("rendered")).alias("summary"))
+
+
+@query("SELECT doc_id AS id, vec_id IS NULL AS was_missing FROM documents LEFT JOIN embeddings ON vec_id = doc_id")
+def backfill_embeddings(spark, sf_dir):
+    """Rows without an embedding get one; the others keep theirs."""
+    from memloom.functions.embedding import embedder
+
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    m = docs.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id", "left")
+    return store.backfill(m, embedder()).select("id", (F.size("embedding") == 384).alias("was_missing"))
+
+
+@query("SELECT user_id, session_start, count(*) AS n FROM (SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS session_start FROM events) GROUP BY ALL")
+def usage_by_day(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.groupBy("user_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("session_start")).agg(F.count("*").alias("n"))

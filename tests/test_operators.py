@@ -151,3 +151,15 @@ def test_routing_and_settings(spark):
     asked = spark.createDataFrame([(1, "a.b"), (2, "axb"), (3, "zz")], "request_id int, model string")
     ends = spark.createDataFrame([(0, "e0", " a.b ,q*"), (1, "e1", "a?b"), (2, "e2", "")], "ord int, name string, models string")
     assert {r["request_id"]: r["endpoint"] for r in routing.route(asked, ends).collect()} == {1: "e0", 2: "e1", 3: "e2"}
+
+
+def test_budget(spark):
+    from memloom.operators.context import newest, summarizer, within_budget
+
+    files = spark.createDataFrame([("s", 0, "a" * 30, "A"), ("s", 1, "b" * 10 + "\n\n" + "c" * 10 + "\n\n" + "d" * 40, "B"), ("s", 2, "e", "C"), ("t", 0, "x" * 99, "X"), ("u", 0, " \n", "U"), ("u", 1, "ok  \n", "V")], "session string, ord int, text string, label string")
+    got = {(r["session"], r["ord"]): r["section"] for r in within_budget(files, 70).collect()}
+    assert got == {("s", 0): "a" * 30, ("s", 1): "b" * 10 + "\n\n" + "c" * 10 + "\n\n[... B truncated ...]", ("u", 1): "ok"}
+    said = spark.createDataFrame([("One. Two.\n\nThree",), (None,)], "t string")
+    assert [r[0] for r in said.select(summarizer()("t")).collect()] == ["One. Three.", ""]
+    m = memories(spark, *[("c", "", f"2024-01-0{i}T00:00:00Z", None) for i in range(1, 6)])
+    assert sorted(r["id"] for r in newest(m, 2).collect()) == [3, 4]

@@ -53,11 +53,12 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     grams = windows(benchmark, window).withColumn("id", F.sha2(F.array_join("gram", " "), 256))
     vocabulary = grams.select(F.explode("gram").alias("word")).distinct()
     said = docs.select("doc_id", F.xxhash64("text").alias("mark"), words(F.col("text")).alias("w"))
-    counts = said.select(F.explode("w").alias("word")).join(sent(vocabulary), "word").groupBy("word").agg(F.count("*").alias("n"))
+    # the outer forms spare a filter on the number of words, for which texts would be cut into words twice
+    counts = said.select(F.explode_outer("w").alias("word")).join(sent(vocabulary), "word").groupBy("word").agg(F.count("*").alias("n"))
     ranked = grams.select("id", F.posexplode("gram").alias("place", "word")).join(counts, "word")  # a word that no document has rules its window out
     prefix = ranked.groupBy("id").agg(F.min(F.struct("n", "word", "place")).alias("p"), F.count("*").alias("there"))
     lists = grams.join(prefix, "id").where(F.col("there") == F.size("gram")).select(F.col("p.word").alias("word"), F.col("p.place").alias("place"), "gram", "items")
-    found = said.select("doc_id", "mark", "w", F.posexplode("w").alias("pos", "word")).join(sent(lists), "word")
+    found = said.select("doc_id", "mark", "w", F.posexplode_outer("w").alias("pos", "word")).join(sent(lists), "word")
     at = F.col("pos") - F.col("place")
     inside = (at >= 0) & (at + F.size("gram") <= F.size("w"))
     return found.where(inside).where(F.slice("w", at + 1, F.size("gram")) == F.col("gram")).select("doc_id", "mark", at.alias("at"), F.size("gram").alias("n"), "items")
@@ -80,13 +81,13 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, per_hit:
         F.array_sort(F.collect_set(F.struct("at", "n"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
     )
     by = by.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), covered(F.col("spans")).cast("long").alias("n_hit"), "items")
-    base = replacing(docs, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "_id", "_mark", "items")
-    base = base.withColumn("n_words", F.coalesce(F.regexp_count("text", F.lit(ANY_CASE)), F.lit(0)).cast("long"))
-    out = base.join(by, base["doc_id"].eqNullSafe(by["_id"]) & (F.xxhash64(base["text"]) == by["_mark"]), "left")
+    base = replacing(docs, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "_id", "_mark", "_key", "items")
+    base = base.withColumn("_key", F.xxhash64("text")).withColumn("n_words", F.coalesce(F.regexp_count("text", F.lit(ANY_CASE)), F.lit(0)).cast("long"))
+    out = base.join(by, base["doc_id"].eqNullSafe(by["_id"]) & (base["_key"] == by["_mark"]), "left")
     out = out.withColumns({
         "n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"),
         "n_items": F.coalesce(F.size("items"), F.lit(0)).cast("long"),
         "items_sha256": F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256),
     })
-    out = out.withColumn("n_items", F.greatest("n_items", F.lit(0)).cast("long")).drop("_id", "_mark", "items")
+    out = out.withColumn("n_items", F.greatest("n_items", F.lit(0)).cast("long")).drop("_id", "_mark", "_key", "items")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (per_hit * F.col("n_hit") >= F.col("n_words")))

@@ -10,7 +10,7 @@ Bytes are of the lower-cased text; the commonest ones have letters of their own
 telling them apart.
 
 Defined results: a null text and one without a letter are `und` with score 0; ties go to the first language in order of
-name; an empty table gives no rows; without training rows all is `und`; input columns named as outputs are replaced.
+name; an empty table gives no rows; without training rows all is `und`; more than MOST_LANGUAGES values of lang are refused; input columns named as outputs are replaced.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from memloom.llm.common import held_out, replacing, slices, sums
 
 ORDER, LETTERS = 3, 40
+#: Languages at most; a model holds about 10 MB for each, and goes to every worker.
+MOST_LANGUAGES = 100
 UNKNOWN = "und"
 
 
@@ -94,7 +96,9 @@ def train(docs: DataFrame, how: Training = Training()) -> Model:
     """A model from text and non-null lang of rows that aren't held out: the driver gets counts of contexts only."""
     known = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     share = known.groupBy("lang").agg((F.lit(float(how.sample)) / F.count("*")).alias("share"))
-    picked = known.join(share, "lang").where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_003)) < F.col("share") * 1_000_003)
+    if share.count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    picked = known.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_003)) < F.col("share") * 1_000_003)
 
     def tally(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, np.ndarray] = {}

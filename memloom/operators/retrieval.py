@@ -126,7 +126,7 @@ def top(scored: DataFrame, how: Blend) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= how.limit).select("query_id", "id", "score", "bm25", "combined", "rank")
 
 
-def queries_fit(queries: DataFrame, most: int = 100_000) -> bool:
+def queries_fit(queries: DataFrame, most: int = 10_000) -> bool:
     """Whether a table of queries is of a size to send everywhere; it is counted."""
     return queries.limit(most + 1).count() <= most
 

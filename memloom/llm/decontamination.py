@@ -5,7 +5,8 @@ window only if it contains every word of it, so for this threshold (all of a win
 window's rarest by document counts over the whole corpus. Document words join those prefix words; a candidate's place is
 bound by where the prefix word stands in the window and by the document's length, and what remains is compared word for
 word. The window table goes to every executor only while the benchmark's own size, which is summed first, is small; beyond
-that it is an ordinary shuffled join, which adaptive execution splits where a word is common.
+that it is an ordinary shuffled join, which adaptive execution splits where a word is common. That join carries with each
+word the words that a window around it can reach, never a whole text.
 
 Defined results: a null text has no words (0 words, 0 hits, not contaminated); repeated rows get a row each; items without
 words have no windows; a null item_id hits but is not counted or listed; empty tables give no rows or no hits.
@@ -58,10 +59,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     ranked = grams.select("id", F.posexplode("gram").alias("place", "word")).join(counts, "word")  # a word that no document has rules its window out
     prefix = ranked.groupBy("id").agg(F.min(F.struct("n", "word", "place")).alias("p"), F.count("*").alias("there"))
     lists = grams.join(prefix, "id").where(F.col("there") == F.size("gram")).select(F.col("p.word").alias("word"), F.col("p.place").alias("place"), "gram", "items")
-    found = said.select("doc_id", "mark", "w", F.posexplode_outer("w").alias("pos", "word")).join(sent(lists), "word")
+    spots = said.select("doc_id", "mark", F.lit(0).alias("begin"), "w", F.posexplode_outer("w").alias("pos", "word"))
+    if not small:
+        begin = F.greatest(F.col("pos") - (window - 1), F.lit(0))
+        spots = spots.select("doc_id", "mark", begin.alias("begin"), F.slice("w", begin + 1, F.lit(2 * window - 1)).alias("w"), "pos", "word")
+    found = spots.join(sent(lists), "word")
     at = F.col("pos") - F.col("place")
-    inside = (at >= 0) & (at + F.size("gram") <= F.size("w"))
-    return found.where(inside).where(F.slice("w", at + 1, F.size("gram")) == F.col("gram")).select("doc_id", "mark", at.alias("at"), F.size("gram").alias("n"), "items")
+    inside = (at >= 0) & (at - F.col("begin") + F.size("gram") <= F.size("w"))
+    same = F.slice("w", at - F.col("begin") + 1, F.size("gram")) == F.col("gram")
+    return found.where(inside).where(same).select("doc_id", "mark", at.alias("at"), F.size("gram").alias("n"), "items")
 
 
 def covered(spans: Column) -> Column:

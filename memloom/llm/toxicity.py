@@ -7,7 +7,8 @@ letter is a mark of its start. The kernel is normalised by a function of a span'
 a toxic document is toxic if it holds a span whose letter groups mark toxic documents (its witness); all sentences of
 clean documents are clean. Landmarks are witnesses, unlike one another, and clean spans; the machine is a linear one,
 trained by Newton steps on the squared hinge loss, over the Nystroem map. A sentence scores as its worst span, a document
-as its worst sentence, and a logistic curve makes that a probability.
+as its worst sentence, and a logistic curve makes that a probability. Further distinct spans beyond the machine's margin,
+FURTHER at most, add what they exceed it by: several mild insults tell as much as one plain one.
 
 A trained machine is linear in the subsequences, so its landmarks are folded into one weight for each three letters:
 exact, and scoring is linear in the text, with bounded memory.
@@ -43,6 +44,8 @@ _CODE[192:] = 28 + (np.arange(64) & 15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LONGEST, WORDLESS = 4096, -3.0
+#: The margin beyond which further spans add to the worst one, chosen on a third of the training rows; how many such spans at most.
+MARGIN, FURTHER = 1.2, 2
 _NORM = np.sqrt(np.maximum(sum(DECAY ** (2 * (a + b + 1)) * np.maximum(np.arange(_LONGEST + 1) - a - b, 0) for a, b in STEPS), DECAY**6))
 
 
@@ -162,9 +165,13 @@ class Model:
 
     def margins(self, texts) -> np.ndarray:
         """Each text's largest margin over its spans; of a text without spans, WORDLESS."""
-        out = []
+        return self.evidence(texts)[0]
+
+    def evidence(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """Each text's largest margin, and by how much further distinct spans exceed MARGIN together."""
+        out, more = [], []
         for data, starts, ends in slices((None if t is None else t.lower() for t in texts), 1 << 19):
-            worst = np.full(len(starts), WORDLESS)
+            worst, further = np.full(len(starts), WORDLESS), np.zeros(len(starts))
             data, starts, ends = joined(data, starts, ends)
             lo, hi = spans(data)
             if len(lo):
@@ -176,11 +183,18 @@ class Model:
                 full = np.flatnonzero(b > a)
                 if len(full):
                     worst[full] = np.maximum.reduceat(each, a[full])
+                beyond = np.flatnonzero(each > MARGIN)
+                of = np.searchsorted(starts, lo[beyond], "right") - 1
+                for k in np.flatnonzero(np.bincount(of, minlength=len(starts)) > 1):
+                    values = np.unique(np.round(each[beyond[of == k]], 6))  # alike spans have one margin
+                    further[k] = (values[-1 - FURTHER : -1] - MARGIN).sum()
             out.append(worst)
-        return np.concatenate(out) if out else np.zeros(0)
+            more.append(further)
+        return (np.concatenate(out), np.concatenate(more)) if out else (np.zeros(0), np.zeros(0))
 
     def score(self, texts) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(texts) + self.offset, -30, 30)))
+        worst, further = self.evidence(texts)
+        return 1 / (1 + np.exp(-np.clip(self.slope * (worst + further) + self.offset, -30, 30)))
 
 
 NOTHING = Model(np.zeros(LETTERS**3, np.float32), 0.0, 0.0, -30.0)

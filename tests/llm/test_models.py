@@ -178,3 +178,13 @@ def test_long_text_is_scored_whole(labelled):
     docs, labels, *_ = labelled
     model = toxicity.train(docs, labels)
     assert model.margins([LONG + " idiot"])[0] > model.margins([LONG])[0]
+
+
+def test_further_spans_add_to_a_score(labelled):
+    docs, labels, *_ = labelled
+    model = toxicity.train(docs, labels)
+    clean = "an ananed here"
+    worst, further = model.evidence([f"{clean} idiot", f"{clean} idiot idiot", f"{clean} idiot scumbag", clean, ""])
+    assert further[0] == further[1] == further[3] == further[4] == 0 < further[2]
+    one, two = model.score([f"{clean} scumbag", f"{clean} idiot scumbag"])
+    assert two >= one and worst[2] == max(model.margins(["idiot", "scumbag"]))

@@ -1,8 +1,17 @@
 """License scans by sparse TF-IDF cosine and inheritance by path joins, in DataFrame operations only.
 
-Every line of every file is a header candidate if it has a word that only license templates make likely (an anchor). Its
-sparse TF-IDF vector, over the templates' words, is compared with each template's; a file's own license is the template
-of its best line at or above the threshold. A file whose name is that of a license file speaks for its directory, and a
+Three kinds of units of each file are compared with templates: its lines, its header blocks (runs of up to RUN adjoining
+paragraphs, which end at lines without a word and where comments begin or end) and the file as a whole. One-line TEMPLATES
+are compared with lines; the forms of `license_forms` (titles, notices, identifiers, full texts) with all three, by their
+distinct words, as long texts would be weighed by their commonest words otherwise. Copyright statements count as none of
+a unit's words. A file's own license is that of the best unit at or above the threshold: long forms (LONG words) go before
+short ones, and "all rights reserved" is what is left without a named license.
+
+Units that can't reach the threshold are left out beforehand, by two bounds that lose none: a unit without any of a
+template's anchors, chosen so that its other words have too small a share of its vector, and one with too few words that
+any form has (for full texts of BOOK words and more, that alone).
+
+A file whose name is that of a license file speaks for its directory, and a
 file without a license of its own takes that of the nearest ancestor directory that has one: file paths are exploded
 into their ancestors and joined with the directories.
 
@@ -14,12 +23,16 @@ repeated whole get a row each; an empty table gives no rows.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What headers of common licenses say.
+from memloom.llm.common import cut
+from memloom.llm.license_forms import forms
+
+#: What single lines of common licenses say.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted",
@@ -30,16 +43,21 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Proprietary": "All rights reserved.",
 }
+#: Words of the SQL's prefilter; the scan derives its own from the templates.
 ANCHORS = r"(?i)licen[sc]e|rights reserved|redistribution|\bGPL\b|\bcopyright\b"
 LICENSE_FILE = r"(?i)(^|/)(licen[sc]e|copying|copyright|notice)[^/]*$"
 THRESHOLD = 0.75
+#: Paragraphs of a header block at most; words of a form that counts as long, and of one that is sought in whole files by how many words there are of it.
+RUN, LONG, BOOK = 8, 25, 130
 _WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+_LEGAL = re.compile(r"licen|copyright|redistribut|warrant|rights|gpl|spdx|merchantab|sublicens|reserved")
+#: A copyright statement, to the end of its line or to "all rights reserved".
+_STATEMENT = r"(?:copyright[ \t]+(?:\(c\)|\x{A9}|(?=[0-9]{4}))|\(c\)[ \t]+copyright|\x{A9}[ \t]*(?=[0-9]{4}))[^\n]*?(?=all rights reserved|\n|$)"
+_COMMENT = r"[ \t]*(?://|#|--|;|%)"
 
 
 def weights(templates: dict[str, str] = TEMPLATES) -> list[tuple[str, str, float, float]]:
     """(template, word, its share of the template's unit vector, idf) from the templates alone; they're a fixed few."""
-    import re
-
     counted = {name: Counter(re.findall(_WORD, text.lower())) for name, text in templates.items()}
     df = Counter(w for c in counted.values() for w in c)
     idf = {w: 1 + math.log((1 + len(counted)) / (1 + n)) for w, n in df.items()}
@@ -50,23 +68,110 @@ def weights(templates: dict[str, str] = TEMPLATES) -> list[tuple[str, str, float
     return out
 
 
-def _table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(weights(templates), "license string, word string, share double, idf double"))
+def form_weights(known: tuple[tuple[str, str], ...]) -> list[tuple[str, int, bool, str, float, float]]:
+    """(license, form, whether it's long, word, its share of the form's unit vector, idf); each distinct word counts once."""
+    held = [(name, set(re.findall(_WORD, re.sub(_STATEMENT.replace(r"\x{A9}", "\xa9"), " ", text.lower(), flags=re.M)))) for name, text in known]
+    df = Counter(w for _, ws in held for w in ws)
+    idf = {w: 1 + math.log((1 + len(held)) / (1 + n)) for w, n in df.items()}
+    norms = [math.sqrt(sum(idf[w] ** 2 for w in ws)) for _, ws in held]
+    return [(name, k, len(ws) >= LONG, w, idf[w] / norms[k], idf[w]) for k, (name, ws) in enumerate(held) for w in sorted(ws)]
+
+
+def anchors(shares: dict[str, float], threshold: float) -> set[str]:
+    """Words of a form of which a unit that is like it has one: without them, too few of its words or too small a share of its vector is left.
+
+    A unit must have the threshold's share of a short form's words, so that a rare word alone doesn't make a title.
+    """
+    left, out = 1.0, set()
+    spare = len(shares) - least(len(shares), threshold)
+    for w in sorted(shares, key=lambda w: (not _LEGAL.search(w), len(w) < 4, -shares[w], w)):
+        if left < threshold**2 - 1e-9 or len(out) > spare:
+            break
+        out.add(w)
+        left -= shares[w] ** 2
+    return out
+
+
+def _rarest(shares: dict[str, float], threshold: float) -> set[str]:
+    """The same for one-line templates, which have no least number of words."""
+    left, out = 1.0, set()
+    for w in sorted(shares, key=lambda w: (not _LEGAL.search(w), len(w) < 4, -shares[w], w)):
+        if left < threshold**2 - 1e-9:
+            break
+        out.add(w)
+        left -= shares[w] ** 2
+    return out
 
 
-def headers(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """path, own_license and own_score of the files with a line like a template. A word that no template has weighs as one that a single template has."""
-    rare = 1 + math.log((1 + len(templates)) / 2)
-    lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("line", "said")).where(F.col("said").rlike(ANCHORS))
-    found = lines.select("path", "line", F.explode(F.regexp_extract_all(F.lower("said"), F.lit(f"({_WORD})"), F.lit(1))).alias("word"))
-    counts = found.groupBy("path", "line", "word").agg(F.count("*").alias("n"))
-    t = _table(files.sparkSession, templates)
-    idf = t.groupBy("word").agg(F.max("idf").alias("idf"))
-    weighed = counts.join(F.broadcast(idf), "word", "left").withColumn("x", F.col("n") * F.coalesce("idf", F.lit(rare)))
-    norms = weighed.groupBy("path", "line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = weighed.join(t.drop("idf"), "word").groupBy("path", "line", "license").agg(F.sum(F.col("x") * F.col("share")).alias("dot"))
-    cosine = dots.join(norms, ["path", "line"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= threshold)
-    best = cosine.groupBy("path").agg(F.min_by(F.struct("license", "score"), F.struct(-F.col("score"), "license")).alias("b"))
+def least(size: int, threshold: float) -> int:
+    """How many of its words a unit must have to be like a form of so many."""
+    return math.ceil((threshold if size < LONG else threshold**2) * size - 1e-9)
+
+
+def _literal(words) -> Column:
+    return F.split(F.lit(" ".join(sorted(words))), " ")
+
+
+def _words(said: Column) -> Column:
+    return F.regexp_extract_all(said, F.lit(f"({_WORD})"), F.lit(1))
+
+
+def units(files: DataFrame, short: list, long: list, threshold: float) -> DataFrame:
+    """path, unit, kind and said (lower case) of the units that may reach the threshold."""
+    ones: dict[str, dict[str, float]] = {}
+    for name, w, share, _ in short:
+        ones.setdefault(name, {})[w] = share
+    shares: dict[int, dict[str, float]] = {}
+    for _, k, _, w, share, _ in long:
+        shares.setdefault(k, {})[w] = share
+    small = [v for v in shares.values() if len(v) < BOOK]
+    book = min((least(len(v), threshold) for v in shares.values() if len(v) >= BOOK), default=1 << 30)
+    of_lines = _literal(set().union(*(_rarest(v, threshold) for v in ones.values())))
+    of_forms = _literal(set().union(*(anchors(v, threshold) for v in small)))
+    known = _literal({w for _, _, _, w, _, _ in long})
+    distinct = lambda said: F.array_distinct(_words(said))
+    marked = lambda said, marks: F.arrays_overlap(distinct(said), marks)
+    low = files.select("path", F.lower("text").alias("_low")).where("path IS NOT NULL AND text IS NOT NULL").withColumn("_distinct", distinct(F.col("_low")))
+    matched = F.size(F.array_intersect("_distinct", known))
+    whole = (F.size("_distinct") >= book) & (matched >= book) & (matched >= threshold**2 * F.size("_distinct") - 1e-6)
+    low = low.withColumns({"_book": whole, "_small": F.arrays_overlap("_distinct", of_forms), "_raw": F.arrays_overlap("_distinct", of_lines)})
+    low = low.where("_book OR _small OR _raw").withColumn("_plain", F.regexp_replace("_low", _STATEMENT, " "))
+    fenced = F.regexp_replace(F.regexp_replace("_plain", rf"(?m)^({_COMMENT}[^\n]*)\n(?!{_COMMENT})", "$1\n\n"), rf"(?m)^(?!{_COMMENT})([^\n]*)\n(?={_COMMENT})", "$1\n\n")
+    parts = F.when(F.col("_small"), F.split(fenced, r"\n[^a-z0-9]*\n")).otherwise(F.array().cast("array<string>"))
+    begins = F.transform("_parts", lambda p: marked(p, of_forms))
+    runs = F.flatten(F.transform(F.filter(F.transform("_begins", lambda x, i: F.when(x, i)), lambda i: i.isNotNull()), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(RUN), F.size("_parts") - i)), lambda n: F.array_join(F.slice("_parts", i + 1, n), "\n"))))
+    lines = lambda said, on, marks: F.when(F.col(on), F.filter(F.split(said, "\n"), lambda x: marked(x, marks))).otherwise(F.array().cast("array<string>"))
+    split = low.withColumn("_parts", parts).withColumn("_begins", begins)
+    split = split.select("path", lines("_low", "_raw", of_lines).alias("_lines"), F.array_distinct(F.concat(F.array("_plain"), runs, lines("_plain", "_small", of_forms))).alias("_larger"))
+    told = lambda said, kind: F.transform(said, lambda x: F.struct(x.alias("said"), F.lit(kind).alias("kind")))
+    each = split.select("path", F.explode(F.concat(told("_lines", "raw"), told("_larger", "form"))).alias("u")).select("path", "u.said", "u.kind")
+    words = distinct(F.col("said"))
+    enough = F.size(F.array_intersect(words, known)) >= threshold**2 * F.size(words) - 1e-6
+    return each.where((F.col("kind") == "raw") | enough).withColumn("unit", F.monotonically_increasing_id())
+
+
+def headers(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, known: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
+    """path, own_license and own_score of the files with a unit like a template. A word that no template has weighs as one that a single template has."""
+    known = forms() if known is None else known
+    spark, short, long = files.sparkSession, weights(templates), form_weights(known)
+    found = cut(units(files, short, long, threshold))
+    each = found.select("path", "unit", "kind", F.explode(_words(F.col("said"))).alias("word")).groupBy("path", "unit", "kind", "word").agg(F.count("*").alias("n"))
+
+    def scores(counts: DataFrame, t: DataFrame, n: int) -> DataFrame:
+        idf = t.groupBy("word").agg(F.max("idf").alias("idf"))
+        weighed = counts.join(F.broadcast(idf), "word", "left").withColumn("x", F.col("n") * F.coalesce("idf", F.lit(1 + math.log((1 + n) / 2))))
+        norms = weighed.groupBy("path", "unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+        dots = weighed.join(F.broadcast(t.drop("idf")), "word").groupBy("path", "unit", "license", "form", "long", "least").agg(F.sum(F.col("x") * F.col("share")).alias("dot"), F.count("*").alias("hits"))
+        return dots.where("hits >= least").join(norms, ["path", "unit"]).select("path", "license", "long", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
+
+    schema = "license string, form int, long boolean, word string, share double, idf double, least int"
+    sizes = Counter(row[1] for row in long)
+    one = spark.createDataFrame([(name, 0, False, w, share, idf, 1) for name, w, share, idf in short], schema)
+    cosine = scores(each.where("kind = 'raw'"), one, len(templates))
+    if known:
+        cosine = cosine.unionByName(scores(each.where("kind = 'form'").withColumn("n", F.lit(1)), spark.createDataFrame([(*row, least(sizes[row[1]], threshold)) for row in long], schema), len(known)))
+    order = F.struct(~F.col("long"), F.col("license") == "Proprietary", -F.col("score"), "license")
+    best = cosine.groupBy("path").agg(F.min_by(F.struct("license", "score"), order).alias("b"))
     return best.select("path", F.col("b.license").alias("own_license"), F.col("b.score").alias("own_score"))
 
 
@@ -82,7 +187,7 @@ def ancestors(path: Column) -> Column:
 
 def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """files' path with license, score, origin (own, inherited or none) and from_path (the directory it is inherited from)."""
-    own = headers(files, templates, threshold)
+    own = cut(headers(files, templates, threshold))
     speaking = own.where(F.col("path").rlike(LICENSE_FILE)).select(directory(F.col("path")).alias("dir"), "path", "own_license", "own_score")
     dirs = speaking.groupBy("dir").agg(F.min_by(F.struct("own_license", "own_score"), F.struct(-F.col("own_score"), "path")).alias("d"))
     paths = files.select("path")

@@ -16,6 +16,7 @@ rows get a row each; an empty table gives no rows; input columns named as output
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from itertools import combinations_with_replacement
 
@@ -32,16 +33,39 @@ POSITION_BITS = 16
 
 @dataclass(frozen=True)
 class Rules:
-    """Parameters. Cutoff: of squared distance, scaled; 45 is beyond the 1 - 1e-8 quantile of chi-squared with 5 degrees."""
+    """Parameters. Cutoff: of squared distance; the 0.999 quantile of chi-squared with 5 degrees, as covariances have their share's consistency factor."""
 
     share: float = 0.75
     steps: int = 3
-    cutoff: float = 45.0
+    cutoff: float = 20.515
     floor: tuple[float, ...] = (0.35, 0.35, 0.06, 0.10, 0.06)
     least: int = 30
     bins: int = 32
 
 
+def chi_squared(x: float, degrees: int) -> float:
+    """The distribution function, by its series."""
+    a, z = degrees / 2, x / 2
+    term = total = 1 / a
+    n = 0
+    while term > total * 1e-16:
+        n += 1
+        term *= z / (a + n)
+        total += term
+    return total * math.exp(a * math.log(z) - z - math.lgamma(a)) if x > 0 else 0.0
+
+
+def consistency(share: float, d: int) -> float:
+    """What a covariance of the share of normal rows that are nearest is too small by."""
+    if share >= 1:
+        return 1.0
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi_squared(mid, d) < share else (low, mid)
+    return share / chi_squared(low, d + 2)
+
+
 def words(text: Column) -> Column:
     found = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), f"^[{SPACE}]+|[{SPACE}]+$", ""), f"[{SPACE}]+")
     return F.filter(found, lambda w: w != "")
@@ -81,14 +105,15 @@ def _repeated(w: Column) -> Column:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """docs with the base counts and base_failed."""
-    base = replacing(docs, *BASE, "base_failed", "kept", "_w", "_lines")
+    """docs with the base counts, base_failed and _n_lines, the lines with words."""
+    base = replacing(docs, *BASE, "base_failed", "kept", "_w", "_lines", "_n_lines")
     base = base.withColumn("_w", words(F.col("text"))).withColumn("_lines", F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike(f"[^{SPACE}]")))
     base = base.withColumns({
         "n_words": F.size("_w").cast("long"),
         "word_chars": F.char_length(F.array_join("_w", "")).cast("long"),
         "n_symbols": F.coalesce(F.regexp_count("text", F.lit("[#*$%&|<>]")), F.lit(0)).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        "_n_lines": F.size("_lines").cast("long"),
         "n_repeat_words": bound(F.col("_w"), _repeated).cast("long"),
     }).drop("_w", "_lines")
     return base.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
@@ -97,15 +122,15 @@ def statistics(docs: DataFrame) -> DataFrame:
 def vector() -> list[Column]:
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     chars = F.greatest(F.col("word_chars"), F.lit(1)).cast("double")
-    return [F.log1p(F.col("n_words").cast("double")), chars / n, F.sqrt(F.col("n_symbols") / chars), F.sqrt(F.col("n_dup_lines") / n), F.sqrt(F.col("n_repeat_words") / n)]
+    return [F.log1p(F.col("n_words").cast("double")), chars / n, F.sqrt(F.col("n_symbols") / chars), F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("_n_lines"), F.lit(1))), F.sqrt(F.col("n_repeat_words") / n)]
 
 
-def factored(estimates: DataFrame, floor: tuple[float, ...]) -> DataFrame:
+def factored(estimates: DataFrame, floor: tuple[float, ...], scale: float = 1.0) -> DataFrame:
     """estimates with wij, the inverse of the covariance's Cholesky factor, column by column: squared distance is a sum of squares."""
     d, out = len(floor), estimates
     for i in range(d):
         for j in range(i + 1):
-            v = F.col(f"c{j}{i}") + F.lit(floor[i] ** 2 if i == j else 0.0)
+            v = F.col(f"c{j}{i}") * F.lit(scale) + F.lit(floor[i] ** 2 if i == j else 0.0)
             for k in range(j):
                 v = v - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(v, F.lit(1e-12))) if i == j else v / F.col(f"l{j}{j}"))
@@ -149,11 +174,11 @@ def verdicts(stats: DataFrame, rules: Rules = Rules()) -> DataFrame:
         bins = far.groupBy(*keys, "bin").agg(F.count("*").alias("k"))
         upto = bins.withColumn("upto", F.sum("k").over(Window.partitionBy(*keys).orderBy("bin"))).join(sizes, keys)
         edge = upto.where(F.col("upto") >= rules.share * F.col("all")).groupBy(*keys).agg(F.min("bin").alias("edge"))
-        now = cut(factored(estimate(far.join(edge, keys).where(F.col("bin") <= F.col("edge")).select(*keys, *[f"x{i}" for i in range(d)])), rules.floor))
+        now = cut(factored(estimate(far.join(edge, keys).where(F.col("bin") <= F.col("edge")).select(*keys, *[f"x{i}" for i in range(d)])), rules.floor, consistency(rules.share, d)))
     final = now.drop("n").join(sizes, keys)
     out = numbered.join(final, keys, "left").withColumn("_d", _distance(d))
     out = out.withColumn("kept", ~F.col("base_failed") & ((F.coalesce("all", F.lit(0)) < rules.least) | (F.coalesce("_d", F.lit(0.0)) <= rules.cutoff)))
-    return out.select(*stats.columns, "kept")
+    return out.select(*[c for c in stats.columns if c != "_n_lines"], "kept")
 
 
 def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:

@@ -1,14 +1,16 @@
 """Quality rules with robust multivariate outliers, in DataFrame operations only.
 
 Five counts of each text are made in its own row, without a shuffle. Texts that fail the base rules go; of the others, each
-(language, source) group gets a minimum-covariance-determinant estimate of five transformed statistics: starting from the
-group's mean and variances, concentration steps keep the `share` of its rows with the smallest Mahalanobis distance and
-estimate mean and covariance anew from those. A step is two small aggregations; the distance that the share reaches is
+(language, source) group gets a minimum-covariance-determinant estimate of five transformed statistics, of half of its rows.
+Three starts (medians and MADs; the correlations of squashed statistics; those of their spatial signs) are each
+brought to convergence by concentration steps: those keep the half with the smallest Mahalanobis distances and estimate mean
+and covariance anew from it. The start that ends with the smallest determinant is kept, and the estimate made once more
+from all rows at usual distances. A step is two small aggregations; the distance that the half reaches is
 read from a histogram of distances, so that no group meets in a task. A row is rejected if its final distance is beyond
 the cutoff.
 
-Each variance gets a floor, for statistics that are the same in nearly all rows of a group. Groups below `least` rows have
-no estimate and reject none.
+Each variance gets a floor, for statistics that are the same in nearly all rows of a group. Groups below `least` rows take
+the estimate of their language; languages below that have none and reject none.
 
 Defined results: a null text has no words and fails the base rules; a null language or source is a group of its own; repeated
 rows get a row each; an empty table gives no rows; input columns named as outputs are replaced.
@@ -33,10 +35,11 @@ POSITION_BITS = 16
 
 @dataclass(frozen=True)
 class Rules:
-    """Parameters. Cutoff: of squared distance; the 0.999 quantile of chi-squared with 5 degrees, as covariances have their share's consistency factor."""
+    """Parameters. Cutoff: of squared distance; the 0.999 quantile of chi-squared with 5 degrees, as covariances have their share's consistency factor. Usual: the 0.975 quantile, for the reweighting. Steps: at most."""
 
-    share: float = 0.75
-    steps: int = 3
+    share: float = 0.5
+    steps: int = 25
+    usual: float = 12.833
     cutoff: float = 20.515
     floor: tuple[float, ...] = (0.35, 0.35, 0.06, 0.10, 0.06)
     least: int = 30
@@ -140,6 +143,7 @@ def factored(estimates: DataFrame, floor: tuple[float, ...], scale: float = 1.0)
             for k in range(j, i):
                 v = v - F.col(f"l{i}{k}") * F.col(f"w{k}{j}")
             out = out.withColumn(f"w{i}{j}", v / F.col(f"l{i}{i}"))
+    out = out.withColumn("det", sum(F.log(f"l{i}{i}") for i in range(d)))
     return out.select(*[c for c in out.columns if c[0] not in "lc"])
 
 
@@ -154,29 +158,68 @@ def _distance(d: int) -> Column:
     return total
 
 
+def _middle(rows: DataFrame, keys: list[str], values: list[Column], prefix: str) -> DataFrame:
+    """The median of each value in each group, from a histogram with 256 bins a unit."""
+    long = rows.select(*keys, F.posexplode(F.array(*values)).alias("i", "x")).groupBy(*keys, "i", F.floor(F.col("x") * 256).alias("bin")).agg(F.count("*").alias("k"))
+    each = Window.partitionBy(*keys, "i")
+    upto = long.withColumns({"upto": F.sum("k").over(each.orderBy("bin")), "total": F.sum("k").over(each)})
+    half = upto.where("2 * upto >= total").groupBy(*keys, "i").agg(((F.min("bin") + 0.5) / 256).alias("v"))
+    return half.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, F.col("v"))).alias(f"{prefix}{i}") for i in range(len(values))])
+
+
 def verdicts(stats: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """stats (with lang, source and the base columns) with `kept`."""
     group = [F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("g1"), F.col("lang").isNull().alias("g2"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("g3"), F.col("source").isNull().alias("g4")]
-    keys, d = ["g1", "g2", "g3", "g4"], len(rules.floor)
+    narrow, d = ["g1", "g2", "g3", "g4"], len(rules.floor)
+    keys, xs = [*narrow, "pooled"], [f"x{i}" for i in range(d)]
+    every = [*keys, "start"]
     numbered = stats.select("*", *group, *[x.alias(f"x{i}") for i, x in enumerate(vector())])
-    good = numbered.where(~F.col("base_failed")).select(*keys, *[f"x{i}" for i in range(d)])
+    good = numbered.where(~F.col("base_failed")).select(*narrow, *xs)
+    counted = cut(good.groupBy(*narrow).agg(F.count("*").alias("own")))
+    few = counted.where(F.col("own") < rules.least)
+    of_language = good.join(few.select("g1", "g2").distinct(), ["g1", "g2"], "left_semi").withColumns({"g3": F.lit(""), "g4": F.lit(False), "pooled": F.lit(True)})
+    good = good.join(counted.where(F.col("own") >= rules.least).drop("own"), narrow, "left_semi").withColumn("pooled", F.lit(False)).unionByName(of_language)
+    sizes = cut(good.groupBy(*keys).agg(F.count("*").alias("all")))
     pairs = list(combinations_with_replacement(range(d), 2))
 
-    def estimate(rows: DataFrame) -> DataFrame:
+    def estimate(rows: DataFrame, by: list[str]) -> DataFrame:
         sums = [F.count("*").alias("n"), *[F.avg(f"x{i}").alias(f"m{i}") for i in range(d)], *[F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in pairs]]
-        got = rows.groupBy(*keys).agg(*sums)
-        return got.select(*keys, "n", *[f"m{i}" for i in range(d)], *[(F.col(f"s{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")).alias(f"c{i}{j}") for i, j in pairs])
-
-    now = cut(factored(estimate(good), rules.floor))
-    sizes = now.select(*keys, F.col("n").alias("all"))
-    for _ in range(rules.steps):
-        far = good.join(now.drop("n"), keys).withColumn("bin", F.floor(F.log2(_distance(d) + 1e-3) * rules.bins))
-        bins = far.groupBy(*keys, "bin").agg(F.count("*").alias("k"))
-        upto = bins.withColumn("upto", F.sum("k").over(Window.partitionBy(*keys).orderBy("bin"))).join(sizes, keys)
-        edge = upto.where(F.col("upto") >= rules.share * F.col("all")).groupBy(*keys).agg(F.min("bin").alias("edge"))
-        now = cut(factored(estimate(far.join(edge, keys).where(F.col("bin") <= F.col("edge")).select(*keys, *[f"x{i}" for i in range(d)])), rules.floor, consistency(rules.share, d)))
-    final = now.drop("n").join(sizes, keys)
-    out = numbered.join(final, keys, "left").withColumn("_d", _distance(d))
+        got = rows.groupBy(*by).agg(*sums)
+        return got.select(*by, "n", *[f"m{i}" for i in range(d)], *[(F.col(f"s{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")).alias(f"c{i}{j}") for i, j in pairs])
+
+    medians = cut(_middle(good, keys, [F.col(x) for x in xs], "m"))
+    deviations = _middle(good.join(medians, keys), keys, [F.abs(F.col(f"x{i}") - F.col(f"m{i}")) for i in range(d)], "a")
+    robust = cut(medians.join(deviations, keys).select(*keys, *[f"m{i}" for i in range(d)], *[F.sqrt(F.pow(1.4826 * F.col(f"a{i}"), F.lit(2.0)) + rules.floor[i] ** 2).alias(f"a{i}") for i in range(d)]))
+    z = [(F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"a{i}") for i in range(d)]
+    size = F.greatest(F.sqrt(sum(v * v for v in z)), F.lit(1e-9))
+    near = good.join(robust, keys)
+    bent = near.select(*keys, F.lit(1).alias("start"), *[F.tanh(v).alias(f"x{i}") for i, v in enumerate(z)]).unionByName(near.select(*keys, F.lit(2).alias("start"), *[(v / size).alias(f"x{i}") for i, v in enumerate(z)]))
+    of_bent = estimate(bent, every).drop(*[f"m{i}" for i in range(d)]).join(robust, keys)
+
+    def spread(i: int, j: int) -> Column:
+        return F.col(f"c{i}{j}") / F.sqrt(F.greatest(F.col(f"c{i}{i}") * F.col(f"c{j}{j}"), F.lit(1e-12))) * F.col(f"a{i}") * F.col(f"a{j}")
+
+    centre = [F.col(f"m{i}") for i in range(d)]
+    straight = robust.select(*keys, F.lit(0).alias("start"), F.lit(0).cast("long").alias("n"), *centre, *[(F.pow(f"a{i}", F.lit(2.0)) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in pairs])
+    turned = of_bent.select(*every, "n", *centre, *[(F.pow(f"a{i}", F.lit(2.0)) if i == j else spread(i, j)).alias(f"c{i}{j}") for i, j in pairs])
+    now = cut(factored(straight.unionByName(turned), rules.floor))
+    least = F.greatest(F.ceil(rules.share * F.col("all")), F.floor((F.col("all") + d + 1) / 2))
+    for step in range(rules.steps):
+        far = good.join(now.drop("n", "det"), keys).withColumn("bin", F.floor(F.log2(_distance(d) + 1e-3) * rules.bins))
+        bins = far.groupBy(*every, "bin").agg(F.count("*").alias("k"))
+        upto = bins.withColumn("upto", F.sum("k").over(Window.partitionBy(*every).orderBy("bin"))).join(sizes, keys)
+        edge = upto.where(F.col("upto") >= F.least(least, F.col("all"))).groupBy(*every).agg(F.min("bin").alias("edge"))
+        nearest = far.join(edge, every).where(F.col("bin") <= F.col("edge")).select(*every, *xs)
+        before, now = now, cut(factored(estimate(nearest, every), rules.floor, consistency(rules.share, d)))
+        if step and not now.join(before.select(*every, F.col("det").alias("was")), every).where(F.col("det") < F.col("was") - 1e-4).head(1):
+            break
+    names = [c for c in now.columns if c[0] in "mw"]
+    best = now.groupBy(*keys).agg(F.min_by(F.struct(*names), F.struct("det", "start")).alias("b")).select(*keys, "b.*")
+    usual = good.join(cut(best), keys).where(_distance(d) <= rules.usual).select(*keys, *xs)
+    final = cut(factored(estimate(usual, keys), rules.floor, consistency(chi_squared(rules.usual, d), d))).drop("n", "det").join(sizes, keys)
+    small = F.coalesce("own", F.lit(0)) < rules.least
+    placed = numbered.join(counted, narrow, "left").withColumns({"pooled": small, "g3": F.when(small, "").otherwise(F.col("g3")), "g4": ~small & F.col("g4")})
+    out = placed.join(final, keys, "left").withColumn("_d", _distance(d))
     out = out.withColumn("kept", ~F.col("base_failed") & ((F.coalesce("all", F.lit(0)) < rules.least) | (F.coalesce("_d", F.lit(0.0)) <= rules.cutoff)))
     return out.select(*[c for c in stats.columns if c != "_n_lines"], "kept")
 

@@ -24,3 +24,10 @@ def test_symbols_and_repeated_lines_are_rejected(spark):
     junk = [("s", 150, 750, 75, 10, 0)] * 4 + [("s", 150, 750, 1, 10, 5)] * 4
     kept = counted(spark, plain(200) + junk)
     assert all(kept[:200]) and not any(kept[200:])
+
+
+def test_clustered_junk_and_small_groups(spark):
+    """40 % of a source is junk of one kind; another source is too small for an estimate of its own."""
+    junk = [("s", 100 + (37 * i) % 150, 5 * (100 + (37 * i) % 150) + i % 60, 90 + i % 9, 10, 5) for i in range(120)]
+    kept = counted(spark, plain(180) + junk + plain(5, "t") + [("t", 150, 750, 95, 10, 5)])
+    assert all(kept[:180]) and not any(kept[180:300]) and all(kept[300:305]) and not kept[305]

@@ -111,13 +111,82 @@ def test_language(spark):
     assert language_id.train(docs.limit(0)).predict(["words"])[0] == ["und"]
 
 
-def test_code_lengths_are_of_a_distribution():
-    rng = np.random.default_rng(2)
-    counts = np.zeros(language_id.LETTERS ** (language_id.ORDER + 1))
-    letter = language_id.letters(np.bincount(np.frombuffer(b"the cat sat on the mat and ate", np.uint8), minlength=256))
-    np.add.at(counts, language_id.contexts(letter[np.frombuffer(b"the cat sat on the mat and ate" * 3, np.uint8)]), 1)
-    p = np.exp2(-language_id.code_lengths(counts).reshape(-1, language_id.LETTERS).astype(float))
-    assert (p[rng.integers(0, len(p), 2000)].sum(1) <= 1.0001).all() and p.min() > 0
+def tree_of(texts, **how):
+    count = {}
+    for t in texts:
+        data = language_id._GAP + t.encode()
+        for i in range(language_id.ORDER, len(data)):
+            w = int.from_bytes(data[i - language_id.ORDER : i + 1], "big")
+            count[w] = count.get(w, 0) + 1
+    strings = sorted(count)
+    return language_id.Tree.of(np.array(strings, np.uint64), np.array([count[w] for w in strings], float), language_id.Training(**how))
+
+
+def ppm(texts, least):
+    """P(byte | context) by recursion over dictionaries."""
+    seen = {}
+    for t in texts:
+        data = language_id._GAP + t.encode()
+        for i in range(language_id.ORDER, len(data)):
+            for k in range(language_id.ORDER + 1):
+                after = seen.setdefault(data[i - k : i], {})
+                after[data[i]] = after.get(data[i], 0) + 1
+
+    def p(context, x):
+        if context is None:
+            return 1 / 256
+        shorter = context[1:] if context else None
+        after = seen.get(context, {})
+        d, t = sum(after.values()), len(after)
+        if context and d < least:
+            return p(shorter, x)
+        if x in after:
+            return after[x] / (d + t)
+        return t / (d + t) * p(shorter, x) / (1 - sum(p(shorter, s) for s in after))
+
+    return p
+
+
+def test_code_lengths_by_brute_force():
+    en, de = ["the cat sat on the mat and ate", "a cat that sat"], ["die katze saß auf der matte", "der kater aß"]
+    block = language_id.Block(["de", "en"], [tree_of(de, least=2), tree_of(en, least=2)])
+    for text in ("the cat saß here", "x", "ж", ""):
+        data = language_id._GAP + text.encode()
+        want = [-sum(np.log2(p(data[i - language_id.ORDER : i], data[i])) for i in range(language_id.ORDER, len(data))) for p in (ppm(de, 2), ppm(en, 2))]
+        assert block.measure([text])[0] == pytest.approx(want, rel=1e-5, abs=1e-6)
+    assert block.measure(["the cat", None, "saß " * 300]).shape == (3, 2)
+
+
+def test_probabilities_sum_to_one():
+    block = language_id.Block(["en", "ru"], [tree_of(["the cat sat on the mat"] * 3, least=1), tree_of(["кот сидел на окне"], least=2)])
+    contexts = language_id.windows(np.frombuffer("    the cat кот z".encode(), np.uint8)) & ~np.uint64(255)
+    every = (contexts[:, None] | np.arange(256, dtype=np.uint64)).reshape(-1)
+    assert np.exp2(-block.exact(every).astype(float)).reshape(-1, 256, 2).sum(1) == pytest.approx(1, abs=1e-5)
+
+
+def test_trees_are_held_to_a_size():
+    big = tree_of(["some words of a text, and other words of it"] * 4, nodes=60)
+    assert 0 < len(big.keys) <= 256 + 60 and len(tree_of(["ab"]).keys)
+
+
+SCRIPTS = {"el": "και το να τα της με που από για ένα", "ru": "и не на что как это все так его был", "uk": "і не на що як це все так його був", "zh": "的 一是 不了 人我 在有 他这 中大 来上 个国 到说", "en": "the of and to in is that it was he"}
+
+
+def test_other_scripts_and_blocks(spark, monkeypatch):
+    """Languages that share their script, and ones that don't; the same results with a block for each."""
+    rng = random.Random(8)
+    langs = list(SCRIPTS)
+    texts = [" ".join(rng.choice(SCRIPTS[langs[i % 5]].split()) for _ in range(12)) for i in range(300)]
+    docs = spark.createDataFrame([(i, t, langs[i % 5], "s", 0) for i, t in enumerate(texts)], DOC)
+    model = language_id.train(docs)
+    got = {r["doc_id"]: r for r in language_id.predict(docs, model).collect()}
+    assert np.mean([got[i]["lang_pred"] == langs[i % 5] for i in got if is_held(i)]) > 0.97
+    monkeypatch.setattr(language_id, "BLOCK_BYTES", 1)
+    split = language_id.train(docs)
+    assert len(split.blocks) == 5 and split.names == tuple(sorted(langs))
+    for r in language_id.predict(docs, split).collect():
+        assert r["lang_pred"] == got[r["doc_id"]]["lang_pred"] and r["score"] == pytest.approx(got[r["doc_id"]]["score"], abs=1e-6)
+    assert split.predict(texts[:9])[0] == model.predict(texts[:9])[0]
 
 
 def test_models_odd_rows(spark, labelled):

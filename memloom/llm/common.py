@@ -27,14 +27,27 @@ def held_out(doc_id: Column) -> Column:
 def replacing(df: DataFrame, *names: str) -> DataFrame:
     """df without the columns of these names, in any case, which an operator is about to add."""
     gone = {n.lower() for n in names}
-    return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in gone])
+    return df.select(*[own(df, c) for c in df.columns if c.lower() not in gone])
+
+
+def own(df: DataFrame, name: str) -> Column:
+    """df's column of this very name, dots and all."""
+    return df["`" + name.replace("`", "``") + "`"]
+
+
+def packed(df: DataFrame, *without: str, name: str = "_row") -> Column:
+    """One struct of df's columns but those, for operators that add columns of their own beside it; select("_row.*") unpacks it."""
+    gone = {n.lower() for n in without}
+    return F.struct(*[own(df, c) for c in df.columns if c.lower() not in gone]).alias(name)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one is set only where the session has none (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a local session without one gets a temporary folder."""
     sc = spark.sparkContext
-    if not (where := spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")):
-        where = sc.getCheckpointDir() or f"file://{tempfile.gettempdir()}/memloom-{os.getpid()}"
+    if not (where := spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = f"file://{tempfile.gettempdir()}/memloom-{os.getpid()}"
     return where.rstrip("/")
 
 
@@ -51,6 +64,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a folder that scratch() named, once nothing reads it any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def slices(texts: Iterable[str | None], most: int = 1 << 20, gap: bytes = b"\n\n\n") -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """The texts' UTF-8 bytes, whole texts side by side until they exceed `most` bytes: bytes, starts, ends.
 

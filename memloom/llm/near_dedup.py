@@ -4,7 +4,8 @@ Equal fingerprints are one point. The top of a tree, made from a bounded sample,
 point goes left if its Hamming distance to the node's vantage point is at most the median, else right; by the triangle
 inequality, points that far apart from the boundary that they cannot link to the other side stay on their own, and a left
 point within `most` of it goes right as well. So every linked pair meets in a shard. Shards are split further in their task
-in the same way, with distances counted in blocks at the leaves. A shard returns not its pairs but a spanning forest of
+in the same way, with distances counted in blocks at the leaves; a large cluster that no vantage point splits is linked by
+looking up what is within `most` bits of each of its points. A shard returns not its pairs but a spanning forest of
 them: at most one edge a point, however large a group of near copies is. Components come from alternating large-star and
 small-star steps over those edges, with nothing gathered on the driver.
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -23,11 +25,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.common import cut
+from memloom.llm.common import cut, own, packed
 
 SHINGLE, SEED, MOST = 3, 42, 2
-#: Points of the sample that the top of the tree is made from, points meant for a shard, depth at most, points of a leaf.
-SAMPLE, SHARD, DEEPEST, LEAF = 40_000, 600, 14, 1024
+#: Points of the sample that the top of the tree is made from, points meant for a shard, depth of the top at most, points of a leaf, and of a cluster whose pairs are still counted out.
+SAMPLE, SHARD, DEEPEST, LEAF, CLUSTER = 40_000, 600, 14, 1024, 4096
 _hash = partial(xxhash.xxh64_digest, seed=SEED)
 
 
@@ -112,13 +114,57 @@ def forest(points: np.ndarray, most: int = MOST) -> list[tuple[int, int]]:
     while stack:
         at = stack.pop()
         if len(at) > LEAF:
-            d = far(points[at], points[at[len(at) // 2]]).astype(np.int64)
-            mu = int(np.median(d))
-            left, right = at[d <= mu], at[d > mu - most]
-            if max(len(left), len(right)) <= 0.9 * len(at):
-                stack += [left, right]
+            halves = _halves(points, at, most)
+            if max(map(len, halves)) <= 0.9 * len(at):
+                stack += halves
                 continue
-        block(at)
+        if len(at) > CLUSTER:
+            edges += _around(points, at, label, most)
+        else:
+            block(at)
+    return edges
+
+
+def _halves(points: np.ndarray, at: np.ndarray, most: int) -> list[np.ndarray]:
+    """The best split by one of a few vantage points: those up to its median distance, and those beyond or near that."""
+    best = [at]
+    for v in points[at[np.linspace(0, len(at) - 1, 6).astype(np.int64)]]:
+        d = far(points[at], v).astype(np.int64)
+        mu = int(np.median(d))
+        halves = [at[d <= mu], at[d > mu - most]]
+        if max(map(len, halves)) < max(map(len, best)):
+            best = halves
+    return best
+
+
+def _around(points: np.ndarray, at: np.ndarray, label: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Edges within a cluster that no vantage point splits: a look-up of every value within `most` bits of each point, so its cost is linear. Updates label."""
+    at = at[np.argsort(points[at], kind="stable")]
+    mine, root, edges = points[at], label[at], []
+    names, before = np.unique(root, return_inverse=True)
+    root = before
+    for k in range(1, most + 1):
+        for bits in combinations(range(64), k):
+            with_them = mine ^ np.uint64(sum(1 << b for b in bits))
+            i = np.minimum(np.searchsorted(mine, with_them), len(mine) - 1)
+            left = np.flatnonzero(mine[i] == with_them)
+            right = i[left]
+            while len(left):
+                a, b = root[left], root[right]
+                apart = np.flatnonzero(a != b)
+                left, right = left[apart], right[apart]
+                high, low = np.maximum(a, b)[apart], np.minimum(a, b)[apart]
+                chosen, first = np.unique(high, return_index=True)
+                edges += [(int(at[x]), int(at[y])) for x, y in zip(left[first], right[first], strict=True)]
+                to = np.arange(len(names))
+                to[chosen] = low[first]
+                while (to != to[to]).any():
+                    to = to[to]
+                root = to[root]
+    to = np.arange(len(names))
+    to[before] = root
+    known = np.isin(label, names)
+    label[known] = names[to[np.searchsorted(names, label[known])]]
     return edges
 
 
@@ -146,11 +192,11 @@ def links(points: DataFrame, most: int = MOST) -> DataFrame:
     return points.select("fp").mapInPandas(deal, "shard long, fp long").groupBy("shard").applyInPandas(within, "a long, b long")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root (its component's smallest node), for each node of an edge; large-star and small-star until nothing changes."""
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
-    for _ in range(rounds):
+    while True:  # each round but the last moves an edge to smaller nodes
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -160,9 +206,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         edges = cut(small.where("a <> b").distinct())
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).head()
         if state == before:
-            break
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = state
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def classes(docs: DataFrame, most: int = MOST) -> DataFrame:
@@ -181,6 +226,6 @@ def keep_one(docs: DataFrame, most: int = MOST) -> DataFrame:
     """One row of docs for each component, of the smallest doc_id; of repeated rows with that id, one."""
     told = classes(docs, most).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = told.groupBy(F.col("doc_id").alias("_id"), "component_id", F.when(F.col("doc_id").isNull(), F.col("fingerprint")).alias("null_kind")).agg(F.min("mark").alias("_mark"))
-    base = docs.withColumn("_key", F.xxhash64("text"))
-    kept = base.join(first, base["doc_id"].eqNullSafe(first["_id"]) & (base["_key"] == first["_mark"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_key"]).drop("_key")
+    rows = docs.select(packed(docs), own(docs, "doc_id").alias("_doc"), F.xxhash64(own(docs, "text")).alias("_key"))
+    kept = rows.join(first, rows["_doc"].eqNullSafe(first["_id"]) & (rows["_key"] == first["_mark"]), "left_semi")
+    return kept.dropDuplicates(["_doc", "_key"]).select("_row.*")

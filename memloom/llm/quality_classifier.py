@@ -16,15 +16,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.common import held_out, replacing, slices, sums
+from memloom.llm.common import held_out, own, replacing, slices, sums
 
 BUCKET_BITS = 17
 BUCKETS = 1 << BUCKET_BITS
 NGRAMS = (3, 4)
-#: After the buckets: a word equal to the one before it, and a line equal to one before it in the text.
+#: After the buckets: a word equal to the one before it.
 SAME_WORD, SIZE = BUCKETS, BUCKETS + 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -152,13 +152,24 @@ def train(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Mod
     return fit([(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["share"], np.float32), r["y"]) for r in rows], how)
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """docs with `score` (0 to 1, higher: label 1 likelier) and `predicted` (1 if score >= threshold, else 0)."""
+def probability(docs: DataFrame, model: Model) -> Column:
+    """The probability of label 1 (0 to 1) of docs' texts."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
         return pd.Series(held.value.score(texts))
 
-    out = replacing(docs, "score", "predicted").withColumn("score", scored("text"))
+    return scored(own(docs, "text"))
+
+
+def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """docs with `score` (0 to 1, higher: label 1 likelier) and `predicted` (1 if score >= threshold, else 0)."""
+    out = replacing(docs, "score", "predicted")
+    out = out.withColumn("score", probability(out, model))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The documents that score at least the threshold, with their own columns only."""
+    return docs.where(probability(docs, model) >= threshold)

@@ -31,9 +31,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files: source/lang/doc_id.txt; one in 50 is a license file of its source's directory."""
-    name = F.when(F.col("doc_id") % 50 == 0, F.concat_ws("/", "source", F.concat(F.lit("LICENSE-"), F.col("doc_id").cast("string")))).otherwise(
-        F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    )
+    source, lang = F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown"))
+    name = F.when(F.col("doc_id") % 50 == 0, F.concat(source, F.lit("/LICENSE-"), F.col("doc_id").cast("string"))).otherwise(F.concat(source, F.lit("/"), lang, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")))
     return license_scan.scan(table(spark, sf_dir, "documents").select(name.alias("path"), "text"))
 
 
@@ -92,10 +91,11 @@ FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
 """,
     "op4_license_scan": rf"""
 WITH t(license, word, share, idf) AS (VALUES {_TEMPLATES}),
-files AS (SELECT CASE WHEN doc_id % 50 = 0 THEN source || '/LICENSE-' || doc_id ELSE source || '/' || lang || '/' || doc_id || '.txt' END AS path, text FROM documents),
+named AS (SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang, text FROM documents),
+files AS (SELECT CASE WHEN doc_id % 50 = 0 THEN source || '/LICENSE-' || doc_id ELSE source || '/' || lang || '/' || doc_id || '.txt' END AS path, text FROM named),
 cut AS (SELECT path, string_split(text, chr(10)) AS parts FROM files),
 lines AS (SELECT path, generate_subscripts(parts, 1) AS line, unnest(parts) AS said FROM cut),
-said AS (SELECT path, line, unnest(regexp_extract_all(lower(said), '{license_scan._WORD}')) AS word FROM lines WHERE regexp_matches(said, '{license_scan.ANCHORS}')),
+said AS (SELECT path, line, unnest(regexp_extract_all(lower(said), '{license_scan._WORD}')) AS word FROM lines),
 counts AS (SELECT path, line, word, count(*) AS n FROM said GROUP BY ALL),
 idf AS (SELECT word, max(idf) AS idf FROM t GROUP BY word),
 weighed AS (SELECT path, line, word, n * coalesce(idf, 1 + ln((1 + {len(license_scan.TEMPLATES)}) / 2.0)) AS x FROM counts LEFT JOIN idf USING (word)),

@@ -25,12 +25,14 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memloom.llm.common import cut, replacing
+from memloom.llm.common import cut, own, packed, replacing
 
 SPACE = r"\x20\x09-\x0D"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Bits of a packed window key that hold its position; texts with more words compare whole hashes.
-POSITION_BITS = 16
+#: Added to a text's number of words where it decides how many low bits of a window's hash give way to its position; tests raise it.
+HASH_BITS_SPARED = 1
+#: Groups up to which their estimates are broadcast (some 1.5 kB each); beyond that they are joined by shuffles, which adaptive execution splits.
+MOST_SENT = 20_000
 
 
 @dataclass(frozen=True)
@@ -82,29 +84,32 @@ def bound(value: Column, body) -> Column:
 def _repeated(w: Column) -> Column:
     """How many places of words lie in windows of three that occur again.
 
-    Window keys with their positions are sorted; those next to an equal one occur again, and their places are united.
+    Hashes of windows are sorted with their positions in the low bits; those next to an equal one may occur again. Of those
+    alone the words are sorted, and the places of windows next to one with the same words are united: hashes decide nothing.
     """
     begin = F.struct(F.lit(0).alias("end"), F.lit(0).alias("total"))
 
-    def key(i: Column) -> Column:
-        return F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
-
-    def again(keys: Column, same) -> Column:
-        return F.filter(keys, lambda x, i: F.coalesce(same(x, F.get(keys, i - 1)), F.lit(False)) | F.coalesce(same(x, F.get(keys, i + 1)), F.lit(False)))
+    def again(sorted_: Column, same) -> Column:
+        return F.filter(sorted_, lambda x, i: F.coalesce(same(x, F.get(sorted_, i - 1)), F.lit(False)) | F.coalesce(same(x, F.get(sorted_, i + 1)), F.lit(False)))
 
     def add(acc: Column, x: Column) -> Column:
         return F.struct((x + 3).alias("end"), (acc["total"] + x + 3 - F.greatest(acc["end"], x)).alias("total"))
 
-    def total(at: Column) -> Column:
-        return F.aggregate(F.sort_array(at), begin, add, lambda acc: acc["total"])
+    def said(i: Column) -> Column:
+        return F.struct(F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.alias("i"))
+
+    def alike(x: Column, y: Column) -> Column:
+        return (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
+
+    def places(high: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(w) - 3)
+        keys = F.sort_array(F.transform(starts, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(high).bitwiseOR(i.cast("long"))))
+        near = bound(keys, lambda k: F.transform(again(k, lambda x, y: x.bitwiseAND(high) == y.bitwiseAND(high)), lambda x: x.bitwiseAND(F.bitwise_not(high)).cast("int")))
+        windows = bound(F.sort_array(F.transform(near, said)), lambda k: F.transform(again(k, alike), lambda x: x["i"]))
+        return F.aggregate(F.sort_array(windows), begin, add, lambda acc: acc["total"])
 
-    starts = F.sequence(F.lit(0), F.size(w) - 3)
-    high, low = F.lit(-1 << POSITION_BITS), F.lit((1 << POSITION_BITS) - 1)
-    packed = F.sort_array(F.transform(starts, lambda i: key(i).bitwiseAND(high).bitwiseOR(i.cast("long"))))
-    pairs = F.sort_array(F.transform(starts, lambda i: F.struct(key(i).alias("h"), i.alias("i"))))
-    short = bound(packed, lambda keys: total(F.transform(again(keys, lambda x, y: x.bitwiseAND(high) == y.bitwiseAND(high)), lambda x: x.bitwiseAND(low).cast("int"))))
-    long = bound(pairs, lambda keys: total(F.transform(again(keys, lambda x, y: x["h"] == y["h"]), lambda x: x["i"])))
-    return F.when(F.size(w) < 3, F.lit(0)).when(F.size(w) < 1 << POSITION_BITS, short).otherwise(long)
+    bits = F.greatest(F.ceil(F.log2(F.size(w) + HASH_BITS_SPARED)), F.lit(1)).cast("int")
+    return F.when(F.size(w) < 3, F.lit(0)).otherwise(bound(F.call_function("shiftleft", F.lit(-1).cast("long"), bits), places))
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -173,12 +178,13 @@ def verdicts(stats: DataFrame, rules: Rules = Rules()) -> DataFrame:
     narrow, d = ["g1", "g2", "g3", "g4"], len(rules.floor)
     keys, xs = [*narrow, "pooled"], [f"x{i}" for i in range(d)]
     every = [*keys, "start"]
-    numbered = stats.select("*", *group, *[x.alias(f"x{i}") for i, x in enumerate(vector())])
+    numbered = stats.select(packed(stats, "kept", "_n_lines", name="_stat"), "base_failed", *group, *[x.alias(f"x{i}") for i, x in enumerate(vector())])
     good = numbered.where(~F.col("base_failed")).select(*narrow, *xs)
     counted = cut(good.groupBy(*narrow).agg(F.count("*").alias("own")))
+    sent = F.broadcast if counted.limit(MOST_SENT + 1).count() <= MOST_SENT else lambda df: df
     few = counted.where(F.col("own") < rules.least)
-    of_language = good.join(few.select("g1", "g2").distinct(), ["g1", "g2"], "left_semi").withColumns({"g3": F.lit(""), "g4": F.lit(False), "pooled": F.lit(True)})
-    good = good.join(counted.where(F.col("own") >= rules.least).drop("own"), narrow, "left_semi").withColumn("pooled", F.lit(False)).unionByName(of_language)
+    of_language = good.join(sent(few.select("g1", "g2").distinct()), ["g1", "g2"], "left_semi").withColumns({"g3": F.lit(""), "g4": F.lit(False), "pooled": F.lit(True)})
+    good = good.join(sent(counted.where(F.col("own") >= rules.least).drop("own")), narrow, "left_semi").withColumn("pooled", F.lit(False)).unionByName(of_language)
     sizes = cut(good.groupBy(*keys).agg(F.count("*").alias("all")))
     pairs = list(combinations_with_replacement(range(d), 2))
 
@@ -188,11 +194,11 @@ def verdicts(stats: DataFrame, rules: Rules = Rules()) -> DataFrame:
         return got.select(*by, "n", *[f"m{i}" for i in range(d)], *[(F.col(f"s{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")).alias(f"c{i}{j}") for i, j in pairs])
 
     medians = cut(_middle(good, keys, [F.col(x) for x in xs], "m"))
-    deviations = _middle(good.join(medians, keys), keys, [F.abs(F.col(f"x{i}") - F.col(f"m{i}")) for i in range(d)], "a")
+    deviations = _middle(good.join(sent(medians), keys), keys, [F.abs(F.col(f"x{i}") - F.col(f"m{i}")) for i in range(d)], "a")
     robust = cut(medians.join(deviations, keys).select(*keys, *[f"m{i}" for i in range(d)], *[F.sqrt(F.pow(1.4826 * F.col(f"a{i}"), F.lit(2.0)) + rules.floor[i] ** 2).alias(f"a{i}") for i in range(d)]))
     z = [(F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"a{i}") for i in range(d)]
     size = F.greatest(F.sqrt(sum(v * v for v in z)), F.lit(1e-9))
-    near = good.join(robust, keys)
+    near = good.join(sent(robust), keys)
     bent = near.select(*keys, F.lit(1).alias("start"), *[F.tanh(v).alias(f"x{i}") for i, v in enumerate(z)]).unionByName(near.select(*keys, F.lit(2).alias("start"), *[(v / size).alias(f"x{i}") for i, v in enumerate(z)]))
     of_bent = estimate(bent, every).drop(*[f"m{i}" for i in range(d)]).join(robust, keys)
 
@@ -205,25 +211,26 @@ def verdicts(stats: DataFrame, rules: Rules = Rules()) -> DataFrame:
     now = cut(factored(straight.unionByName(turned), rules.floor))
     least = F.greatest(F.ceil(rules.share * F.col("all")), F.floor((F.col("all") + d + 1) / 2))
     for step in range(rules.steps):
-        far = good.join(now.drop("n", "det"), keys).withColumn("bin", F.floor(F.log2(_distance(d) + 1e-3) * rules.bins))
+        far = good.join(sent(now.drop("n", "det")), keys).withColumn("bin", F.floor(F.log2(_distance(d) + 1e-3) * rules.bins))
         bins = far.groupBy(*every, "bin").agg(F.count("*").alias("k"))
         upto = bins.withColumn("upto", F.sum("k").over(Window.partitionBy(*every).orderBy("bin"))).join(sizes, keys)
         edge = upto.where(F.col("upto") >= F.least(least, F.col("all"))).groupBy(*every).agg(F.min("bin").alias("edge"))
-        nearest = far.join(edge, every).where(F.col("bin") <= F.col("edge")).select(*every, *xs)
+        nearest = far.join(sent(edge), every).where(F.col("bin") <= F.col("edge")).select(*every, *xs)
         before, now = now, cut(factored(estimate(nearest, every), rules.floor, consistency(rules.share, d)))
         if step and not now.join(before.select(*every, F.col("det").alias("was")), every).where(F.col("det") < F.col("was") - 1e-4).head(1):
             break
     names = [c for c in now.columns if c[0] in "mw"]
     best = now.groupBy(*keys).agg(F.min_by(F.struct(*names), F.struct("det", "start")).alias("b")).select(*keys, "b.*")
-    usual = good.join(cut(best), keys).where(_distance(d) <= rules.usual).select(*keys, *xs)
+    usual = good.join(sent(cut(best)), keys).where(_distance(d) <= rules.usual).select(*keys, *xs)
     final = cut(factored(estimate(usual, keys), rules.floor, consistency(chi_squared(rules.usual, d), d))).drop("n", "det").join(sizes, keys)
     small = F.coalesce("own", F.lit(0)) < rules.least
-    placed = numbered.join(counted, narrow, "left").withColumns({"pooled": small, "g3": F.when(small, "").otherwise(F.col("g3")), "g4": ~small & F.col("g4")})
-    out = placed.join(final, keys, "left").withColumn("_d", _distance(d))
+    placed = numbered.join(sent(counted), narrow, "left").withColumns({"pooled": small, "g3": F.when(small, "").otherwise(F.col("g3")), "g4": ~small & F.col("g4")})
+    out = placed.join(sent(final), keys, "left").withColumn("_d", _distance(d))
     out = out.withColumn("kept", ~F.col("base_failed") & ((F.coalesce("all", F.lit(0)) < rules.least) | (F.coalesce("_d", F.lit(0.0)) <= rules.cutoff)))
-    return out.select(*[c for c in stats.columns if c != "_n_lines"], "kept")
+    return out.select("_stat.*", "kept")
 
 
 def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """docs, without their text, with the base counts, base_failed and kept."""
-    return verdicts(cut(statistics(docs).drop("text")), rules)
+    rows = docs.select(packed(docs, "text", *BASE, "base_failed", "kept"), *[own(docs, c).alias(c) for c in ("lang", "source", "text")])
+    return verdicts(cut(statistics(rows).drop("text")), rules).select("_row.*", *BASE, "base_failed", "kept")

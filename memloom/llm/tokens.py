@@ -8,16 +8,20 @@ many at a time.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable, Iterator
 from itertools import islice
+from string import punctuation
 
 import numpy as np
 
 END_ID = 1
 #: Words whose ids a worker keeps, texts and new words that it takes at a time.
-KEPT_WORDS, TEXTS, NEW_WORDS = 500_000, 256, 20_000
+KEPT_WORDS, TEXTS, NEW_WORDS = 500_000, 256, 2_000
 #: Stands between words that go to the library; a token of its own.
 _BETWEEN = "\x01"
+#: What the last token of a word ends with.
+_WORD_END = "</w>"
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -29,6 +33,12 @@ def _words(text: str | None) -> list[str]:
     return text.replace("\n", " ").split(" ")
 
 
+#: Words that neither normalizing nor pre-tokenizing changes, and the characters that stand for their bytes; signs that end words.
+_PLAIN = re.compile("[a-zà-öø-ÿ]+").fullmatch
+_KEPT_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE = {b: b if b in _KEPT_BYTES else 256 + sum(x not in _KEPT_BYTES for x in range(b)) for b in range(256)}
+
+
 class WordEncoder:
     def __init__(self, path: str, kept: int = KEPT_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -36,32 +46,81 @@ class WordEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         (self._between,) = self._tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
+        self._merging = Tokenizer.from_file(path)  # the same without the steps that leave plain words alone
+        self._merging.normalizer = None
+        self._merging.pre_tokenizer = None
+        vocabulary = self._tokenizer.get_vocab()
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends[[i for t, i in vocabulary.items() if t.endswith(_WORD_END)]] = True
         self._kept = kept
         self._ids: dict[str, bytes] = {"": b""}
-
-    def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if _BETWEEN not in w]
+        probe = "the naïve größe ñandú of zzyzx ÿ".split()
+        if not all(self._merged([w]) == [self._ids_of(w)] for w in probe) or self._ids_of("größe!*") != self._ids_of("größe") + self._ids_of("!*"):
+            raise ValueError("not a tokenizer of words")
+
+    def _ids_of(self, word: str) -> bytes:
+        return np.array(self._tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _merged(self, words: list[str]) -> list[bytes]:
+        """The ids of plain words."""
+        as_bytes = [w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE) for w in words]
+        found = np.array(self._merging.encode_batch_fast([as_bytes], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+        raw, cuts = found.tobytes(), (4 * np.flatnonzero(self._ends[found]) + 4).tolist()
+        return [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+
+    def _learn(self, words: list[str]) -> list[str]:
+        """Takes the ids of new words, and of what is left of them without the signs at their ends; all that it has taken."""
+        ids, ended, wanted = self._ids, [], set()
+        for w in words:
+            rest = w.rstrip(punctuation)
+            if rest != w and rest and rest[-1].isalnum() and "<|" not in w:
+                ended.append((w, rest))
+                wanted.update((rest, w[len(rest) :]))
+            else:
+                wanted.add(w)
+        new = [w for w in wanted if w not in ids]
+        plain, single, others = [], [], []
+        for w in new:
+            (plain if _PLAIN(w) else single if _BETWEEN in w else others).append(w)
         for i in range(0, len(plain), NEW_WORDS):
             part = plain[i : i + NEW_WORDS]
-            ids = np.array(self._tokenizer.encode_batch_fast([f" {_BETWEEN} ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            raw, cuts = ids.tobytes(), np.flatnonzero(ids == self._between) * 4
+            ids.update(zip(part, self._merged(part), strict=True))
+        for i in range(0, len(others), NEW_WORDS):
+            part = others[i : i + NEW_WORDS]
+            found = np.array(self._tokenizer.encode_batch_fast([f" {_BETWEEN} ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            raw, cuts = found.tobytes(), np.flatnonzero(found == self._between) * 4
             for w, a, b in zip(part, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)], strict=True):
-                self._ids[w] = raw[a:b]
-        for w in words:
-            if _BETWEEN in w:
-                self._ids[w] = np.array(self._tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+                ids[w] = raw[a:b]
+        for w in single:
+            ids[w] = self._ids_of(w)
+        for w, rest in ended:
+            ids[w] = ids[rest] + ids[w[len(rest) :]]
+        return [*new, *(w for w, _ in ended)]
 
     def encode(self, texts: Iterable[str | None], end_id: int = END_ID) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers, end id included."""
         end, texts, ids = np.array([end_id], "<u4").tobytes(), iter(texts), self._ids
         while some := [_words(t) for t in islice(texts, TEXTS)]:
-            new = [w for w in set().union(*some) if w not in ids]
-            self._learn(new)
-            for words in some:
-                yield b"".join(map(ids.__getitem__, words)) + end
+            found = [list(map(ids.get, words)) for words in some]
+            gaps = [_gaps(got) for got in found]
+            new = list({words[i] for words, at in zip(some, gaps, strict=True) for i in at})
+            new = self._learn(new)
+            for words, got, at in zip(some, found, gaps, strict=True):
+                for i in at:
+                    got[i] = ids[words[i]]
+                yield b"".join(got) + end
             if len(ids) > self._kept:
                 for w in new:
-                    del ids[w]
+                    ids.pop(w, None)
+
+
+def _gaps(got: list) -> list[int]:
+    """Where None stands."""
+    at, i = [], -1
+    for _ in range(got.count(None)):
+        i = got.index(None, i + 1)
+        at.append(i)
+    return at
 
 
 def encoder(path: str) -> WordEncoder:

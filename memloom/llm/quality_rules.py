@@ -37,7 +37,7 @@ MOST_SENT = 20_000
 
 @dataclass(frozen=True)
 class Rules:
-    """Parameters. Cutoff: of squared distance; the 0.999 quantile of chi-squared with 5 degrees, as covariances have their share's consistency factor. Usual: the 0.975 quantile, for the reweighting. Steps: at most."""
+    """Parameters. Cutoff: of squared distance; the 0.999 quantile of chi-squared with 5 degrees, as covariances have their share's consistency factor. Usual: the 0.975 quantile, for the reweighting. Steps: at most, and until no determinant's logarithm falls by 2 * least_gain."""
 
     share: float = 0.5
     steps: int = 25
@@ -45,6 +45,7 @@ class Rules:
     cutoff: float = 20.515
     floor: tuple[float, ...] = (0.35, 0.35, 0.06, 0.10, 0.06)
     least: int = 30
+    least_gain: float = 1e-3
     bins: int = 32
 
 
@@ -185,7 +186,8 @@ def verdicts(stats: DataFrame, rules: Rules = Rules()) -> DataFrame:
     few = counted.where(F.col("own") < rules.least)
     of_language = good.join(sent(few.select("g1", "g2").distinct()), ["g1", "g2"], "left_semi").withColumns({"g3": F.lit(""), "g4": F.lit(False), "pooled": F.lit(True)})
     good = good.join(sent(counted.where(F.col("own") >= rules.least).drop("own")), narrow, "left_semi").withColumn("pooled", F.lit(False)).unionByName(of_language)
-    sizes = cut(good.groupBy(*keys).agg(F.count("*").alias("all")))
+    one = (lambda df: df.coalesce(1)) if sent is F.broadcast else lambda df: df  # a table of a row for each group, in one file
+    sizes = cut(one(good.groupBy(*keys).agg(F.count("*").alias("all"))))
     pairs = list(combinations_with_replacement(range(d), 2))
 
     def estimate(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -208,21 +210,21 @@ def verdicts(stats: DataFrame, rules: Rules = Rules()) -> DataFrame:
     centre = [F.col(f"m{i}") for i in range(d)]
     straight = robust.select(*keys, F.lit(0).alias("start"), F.lit(0).cast("long").alias("n"), *centre, *[(F.pow(f"a{i}", F.lit(2.0)) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in pairs])
     turned = of_bent.select(*every, "n", *centre, *[(F.pow(f"a{i}", F.lit(2.0)) if i == j else spread(i, j)).alias(f"c{i}{j}") for i, j in pairs])
-    now = cut(factored(straight.unionByName(turned), rules.floor))
+    now = cut(one(factored(straight.unionByName(turned), rules.floor)))
     least = F.greatest(F.ceil(rules.share * F.col("all")), F.floor((F.col("all") + d + 1) / 2))
     for step in range(rules.steps):
         far = good.join(sent(now.drop("n", "det")), keys).withColumn("bin", F.floor(F.log2(_distance(d) + 1e-3) * rules.bins))
-        bins = far.groupBy(*every, "bin").agg(F.count("*").alias("k"))
-        upto = bins.withColumn("upto", F.sum("k").over(Window.partitionBy(*every).orderBy("bin"))).join(sizes, keys)
+        bins = one(far.groupBy(*every, "bin").agg(F.count("*").alias("k")))
+        upto = bins.withColumn("upto", F.sum("k").over(Window.partitionBy(*every).orderBy("bin"))).join(sent(sizes), keys)
         edge = upto.where(F.col("upto") >= F.least(least, F.col("all"))).groupBy(*every).agg(F.min("bin").alias("edge"))
         nearest = far.join(sent(edge), every).where(F.col("bin") <= F.col("edge")).select(*every, *xs)
-        before, now = now, cut(factored(estimate(nearest, every), rules.floor, consistency(rules.share, d)))
-        if step and not now.join(before.select(*every, F.col("det").alias("was")), every).where(F.col("det") < F.col("was") - 1e-4).head(1):
+        before, now = now, cut(one(factored(estimate(nearest, every), rules.floor, consistency(rules.share, d))))
+        if step and not now.join(before.select(*every, F.col("det").alias("was")), every).where(F.col("det") < F.col("was") - rules.least_gain).head(1):
             break
     names = [c for c in now.columns if c[0] in "mw"]
     best = now.groupBy(*keys).agg(F.min_by(F.struct(*names), F.struct("det", "start")).alias("b")).select(*keys, "b.*")
-    usual = good.join(sent(cut(best)), keys).where(_distance(d) <= rules.usual).select(*keys, *xs)
-    final = cut(factored(estimate(usual, keys), rules.floor, consistency(chi_squared(rules.usual, d), d))).drop("n", "det").join(sizes, keys)
+    usual = good.join(sent(cut(one(best))), keys).where(_distance(d) <= rules.usual).select(*keys, *xs)
+    final = cut(one(factored(estimate(usual, keys), rules.floor, consistency(chi_squared(rules.usual, d), d)))).drop("n", "det").join(sizes, keys)
     small = F.coalesce("own", F.lit(0)) < rules.least
     placed = numbered.join(sent(counted), narrow, "left").withColumns({"pooled": small, "g3": F.when(small, "").otherwise(F.col("g3")), "g4": ~small & F.col("g4")})
     out = placed.join(sent(final), keys, "left").withColumn("_d", _distance(d))

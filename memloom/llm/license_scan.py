@@ -50,6 +50,8 @@ LICENSE_FILE = r"(?i)(^|/)(licen[sc]e|copying|copyright|notice)[^/]*$"
 THRESHOLD = 0.75
 #: Paragraphs of a header block at most; words of a form that counts as long, and of one that is sought in whole files by how many words there are of it.
 RUN, LONG, BOOK = 8, 25, 130
+#: Directories up to which what they inherit is broadcast (some 200 bytes each); beyond that it is joined by a shuffle.
+MOST_SENT = 50_000
 _WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 #: Words that any English text has: anchors are of other words, where there are enough of those.
 _COMMON = frozenset(
@@ -211,6 +213,7 @@ def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: flo
     up = told.where("own_license IS NULL AND path IS NOT NULL").select("_dir").distinct().select("_dir", F.posexplode(ancestors(F.concat("_dir", F.lit("/")))).alias("far", "dir"))
     near = up.join(dirs, "dir").groupBy("_dir").agg(F.min_by(F.struct("dir", "d"), "far").alias("near"))
     near = near.select(F.col("_dir").alias("_near"), F.col("near.dir").alias("from_path"), F.col("near.d.own_license").alias("far_license"), F.col("near.d.own_score").alias("far_score"))
+    near = F.broadcast(cut(near)) if up.select("_dir").distinct().limit(MOST_SENT + 1).count() <= MOST_SENT else near
     out = told.join(near, (told["_dir"] == near["_near"]) & told["own_license"].isNull(), "left")
     origin = F.when(F.col("own_license").isNotNull(), "own").when(F.col("far_license").isNotNull(), "inherited").otherwise("none")
     return out.select("path", F.coalesce("own_license", "far_license").alias("license"), F.coalesce("own_score", "far_score").alias("score"), origin.alias("origin"), "from_path")

@@ -33,19 +33,26 @@ def split_metadata(df: DataFrame, json: str = "metadata") -> DataFrame:
     })
     for flag in FLAGS:
         out = out.withColumn("tags", with_flag(F.col("tags"), flag, F.get_json_object(j, f"$.{flag}") == "true"))
-    rest = F.map_filter(F.from_json(j, "map<string,string>"), lambda k, v: ~k.isin(*LIFTED))
+    rest = F.map_filter(fields(j), lambda k, v: ~k.isin(*LIFTED))
     return out.withColumn(json, F.when(F.size(rest) > 0, F.to_json(rest)))
 
 
+def fields(json: Column) -> Column:
+    """A JSON object's fields, each with its own type and what is within it."""
+    return F.from_json(json, "map<string,variant>")
+
+
 def merge_metadata(df: DataFrame, json: str = "metadata") -> DataFrame:
     """The inverse: the JSON with collection always, category and tags where they say something."""
-    base = F.coalesce(F.from_json(json, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    none = F.create_map().cast("map<string,variant>")
+
+    def one(key: str) -> Column:
+        return F.create_map(F.lit(key), F.col(key).cast("variant"))
+
     merged = F.map_concat(
-        F.map_filter(base, lambda k, v: ~k.isin(*LIFTED)),
-        F.create_map(F.lit("collection"), F.col("collection")),
-        F.when(F.col("category") != "", F.create_map(F.lit("category"), F.col("category"))).otherwise(F.create_map().cast("map<string,string>")),
-        F.when(F.col("tags") != "", F.create_map(F.lit("tags"), F.col("tags"))).otherwise(F.create_map().cast("map<string,string>")),
-    )
+        F.map_filter(F.coalesce(fields(F.col(json)), none), lambda k, v: ~k.isin(*LIFTED)),
+        one("collection"), F.when(F.col("category") != "", one("category")).otherwise(none), F.when(F.col("tags") != "", one("tags")).otherwise(none),
+    )
     return df.withColumn(json, F.to_json(merged))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions.text import iso_utc, short_home
+from memloom.operators.lineage import cut
 from memloom.operators.metadata import protected, split_metadata
 
 
@@ -26,10 +27,16 @@ def new_rows(batch: DataFrame, first_id: int, home: str = "", now: Column | None
 
 
 def numbered(df: DataFrame, first_id: int, *order: str) -> DataFrame:
-    """df with id from first_id on, without gaps, in the order of the columns."""
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id())
+    """df with id from first_id on, without gaps, in the order of the columns.
+
+    The ordered rows are written once, as a checkpoint: partitions are then the same for the rows and for their counts,
+    whatever is planned anew. Rows that are alike are dealt out as well, so none of them meet in one task.
+    """
+    dealt = df.withColumn("_row", F.monotonically_increasing_id())
+    parts = cut(dealt.repartitionByRange(*order, "_row").sortWithinPartitions(*order, "_row").drop("_row"))
+    parts = parts.withColumns({"_p": F.spark_partition_id(), "_k": F.monotonically_increasing_id()})
     sizes = parts.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_k").alias("_first"))
-    before = sizes.select("_p", "_first", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
+    before = sizes.select("_p", "_first", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))  # a row for each partition
     return parts.join(F.broadcast(before), "_p").withColumn("id", F.col("_before") + F.col("_k") - F.col("_first") + first_id).drop("_p", "_k", "_first", "_before")
 
 

@@ -80,12 +80,12 @@ def metadata_json_equality(spark, sf_dir):
 
 
 @query(
-    """SELECT doc_id AS id, source AS collection, lang AS category, 'a,b' || CASE WHEN doc_id % 2 = 0 THEN ',keep' ELSE '' END AS tags, '{"n":"' || n_chars || '"}' AS metadata,
-'{"n":"' || n_chars || '","collection":"' || source || '","category":"' || lang || '","tags":"a,b' || CASE WHEN doc_id % 2 = 0 THEN ',keep' ELSE '' END || '"}' AS merged FROM documents"""
+    """SELECT doc_id AS id, source AS collection, lang AS category, 'a,b' || CASE WHEN doc_id % 2 = 0 THEN ',keep' ELSE '' END AS tags, '{"n":' || n_chars || ',"o":{"lang":"' || lang || '","on":' || (doc_id % 2 = 0) || '}}' AS metadata,
+'{"n":' || n_chars || ',"o":{"lang":"' || lang || '","on":' || (doc_id % 2 = 0) || '},"collection":"' || source || '","category":"' || lang || '","tags":"a,b' || CASE WHEN doc_id % 2 = 0 THEN ',keep' ELSE '' END || '"}' AS merged FROM documents"""
 )
 def metadata_split_merge(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    packed = F.to_json(F.struct(F.col("n_chars").alias("n"), F.col("source").alias("collection"), F.col("lang").alias("category"), F.array(F.lit("a"), F.lit("b")).alias("tags"), (F.col("doc_id") % 2 == 0).alias("keep")))
+    packed = F.to_json(F.struct(F.col("n_chars").alias("n"), F.struct("lang", (F.col("doc_id") % 2 == 0).alias("on")).alias("o"), F.col("source").alias("collection"), F.col("lang").alias("category"), F.array(F.lit("a"), F.lit("b")).alias("tags"), (F.col("doc_id") % 2 == 0).alias("keep")))
     split = metadata.split_metadata(docs.select(F.col("doc_id").alias("id"), packed.alias("metadata"))).drop("meta_timestamp")
     return metadata.merge_metadata(split.withColumn("m", F.col("metadata")), "m").withColumnRenamed("m", "merged")
 

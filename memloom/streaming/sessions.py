@@ -21,12 +21,7 @@ def upsert_batches(changes: DataFrame, path: str, keys: list[str], order: str, c
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         new = latest(batch, *keys, order=order)
-        try:
-            old = spark.read.parquet(f"{path}/v{epoch - 1}")
-        except Exception as e:
-            if epoch and "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = new.limit(0)
+        old = spark.read.parquet(f"{path}/v{epoch - 1}") if epoch else new.limit(0)  # a lost snapshot stops the query
         upsert(old, new, *keys).write.mode("overwrite").parquet(f"{path}/v{epoch}")
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

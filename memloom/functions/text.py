@@ -18,14 +18,24 @@ SHORTEST_TOKEN, LONGEST_TOKEN, HEX_FROM = 3, 19, 6
 
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A to Z only; lower() would also turn, say, the Kelvin sign into k."""
-    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    plain = F.octet_length(text) == F.char_length(text)
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
 
 
-def tokens(text: Column) -> Column:
-    """Keyword tokens: runs of [a-z0-9] of 3 to 19 letters, without stop words and long bare hexadecimal."""
-    runs = F.regexp_extract_all(ascii_lower(text), F.lit(f"([a-z0-9]{{{SHORTEST_TOKEN},}})"), F.lit(1))
+def runs(text: Column) -> Column:
+    """The runs of [a-z0-9] of three letters or more."""
+    return F.regexp_extract_all(ascii_lower(text), F.lit(f"([a-z0-9]{{{SHORTEST_TOKEN},}})"), F.lit(1))
+
+
+def is_token(run: Column) -> Column:
+    """Whether keyword search keeps a run: 19 letters at most, no stop word, no long bare hexadecimal. Meant for exploded runs, where it is compiled."""
     stop = [w for w in STOP_WORDS if len(w) >= SHORTEST_TOKEN]
-    return F.filter(runs, lambda t: (F.length(t) <= LONGEST_TOKEN) & ~t.isin(*stop) & ~t.rlike(f"^[0-9a-f]{{{HEX_FROM},}}$"))
+    return (F.length(run) <= LONGEST_TOKEN) & ~run.isin(*stop) & ~((F.length(run) >= HEX_FROM) & run.rlike("^[0-9a-f]+$"))
+
+
+def tokens(text: Column) -> Column:
+    """Keyword tokens of one text, as an array."""
+    return F.filter(runs(text), is_token)
 
 
 def heading_level(line: Column) -> Column:
@@ -57,7 +67,7 @@ def short_home(text: Column, home: str) -> Column:
 
 def preview(text: Column, most: int = 200) -> Column:
     """The first bytes, and an ellipsis if there are more; a character cut in two is left out."""
-    cut = F.rtrim(F.decode(F.substring(F.encode(text, "UTF-8"), 1, most), "UTF-8"), F.lit("\ufffd"))
+    cut = F.rtrim(F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, most).cast("string")), F.lit("\ufffd"))
     return F.when(F.octet_length(text) > most, F.concat(cut, F.lit("..."))).otherwise(text)
 
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memloom.functions.text import tokens
+from memloom.functions.text import is_token, runs
 
 
 @dataclass(frozen=True)
@@ -28,7 +28,7 @@ class Blend:
 
 def postings(memories: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """memory_id, token, term_freq."""
-    each = memories.select(F.col(id_col).alias("memory_id"), F.explode(tokens(F.col(text_col))).alias("token"))
+    each = memories.select(F.col(id_col).alias("memory_id"), F.explode(runs(F.col(text_col))).alias("token")).where(is_token(F.col("token")))
     return each.groupBy("memory_id", "token").agg(F.count("*").cast("int").alias("term_freq"))
 
 
@@ -51,7 +51,7 @@ def idf(n: Column, df: Column) -> Column:
 
 def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
     """query_id, token, qtf: a word that a query repeats counts as often."""
-    each = queries.select(F.col(id_col).alias("query_id"), F.explode(tokens(F.col(text_col))).alias("token"))
+    each = queries.select(F.col(id_col).alias("query_id"), F.explode(runs(F.col(text_col))).alias("token")).where(is_token(F.col("token")))
     return each.groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
 
 
@@ -131,40 +131,55 @@ def queries_fit(queries: DataFrame, most: int = 10_000) -> bool:
     return queries.limit(most + 1).count() <= most
 
 
+#: Vectors of a block; blocks of queries up to which they are broadcast.
+BLOCK, MOST_SENT = 4096, 16
+
+
+def _blocks(vectors: DataFrame, id_col: str, prefix: str) -> DataFrame:
+    """Rows of up to BLOCK ids and their vectors, scaled to length 1, as bytes; rows without a vector are left out."""
+    import numpy as np
+    import pandas as pd
+
+    kind = vectors.schema[id_col].dataType.simpleString()
+
+    def pack(frames):
+        for f in frames:
+            f = f[f["embedding"].notna()]
+            for i in range(0, len(f), BLOCK):
+                some = f.iloc[i : i + BLOCK]
+                m = _unit(np.array([np.asarray(v, np.float64) for v in some["embedding"]]))
+                yield pd.DataFrame({f"{prefix}_ids": [some[id_col].tolist()], f"{prefix}_m": [m.tobytes()]})
+
+    return vectors.select(id_col, "embedding").mapInPandas(pack, f"{prefix}_ids array<{kind}>, {prefix}_m binary")
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """The k nearest of vectors (id, embedding) to each of queries (query_id, embedding): id, score, rank.
 
-    Each batch of vectors is multiplied with all queries in its task and only its best k stay; a window then merges them.
-    The queries are sent to every task, in blocks of a bounded size.
+    Both are packed into blocks on Spark, each pair of blocks is one matrix product in a task, and only the best k of a block
+    stay for each query; a window then merges them. A query without an embedding has no neighbours.
     """
     import numpy as np
     import pandas as pd
 
-    block, parts = 4096, []
-    rows = queries.select("query_id", "embedding").orderBy("query_id").toPandas()
-    for i in range(0, len(rows), block):
-        some = rows.iloc[i : i + block]
-        matrix = _unit(np.array([np.asarray(v, np.float64) for v in some["embedding"]]))
-        held = vectors.sparkSession.sparkContext.broadcast((some["query_id"].to_numpy(), matrix))
-
-        def best(frames, held=held):
-            ids, q = held.value
-            for f in frames:
-                f = f[f["embedding"].notna()]
-                if not len(f):
-                    continue
-                scores = np.round(_unit(np.array([np.asarray(v, np.float64) for v in f["embedding"]])) @ q.T, 9)
-                order = np.argsort(f["id"].to_numpy(), kind="stable")
-                scores, names = scores[order], f["id"].to_numpy()[order]
+    n = queries.count()
+    dealt = queries.repartition(max(1, -(-n // BLOCK)))
+    asked = _blocks(dealt, "query_id", "q")
+    pairs = _blocks(vectors, "id", "v").crossJoin(F.broadcast(asked) if n <= MOST_SENT * BLOCK else asked)
+
+    def best(frames):
+        for f in frames:
+            for q_ids, q_m, v_ids, v_m in zip(f["q_ids"], f["q_m"], f["v_ids"], f["v_m"], strict=True):
+                ids, names = pd.Series(list(q_ids)), pd.Series(list(v_ids))
+                order = np.argsort(names.to_numpy(), kind="stable")
+                q, v = (np.frombuffer(m).reshape(len(i), -1) for m, i in ((q_m, ids), (v_m, names)))
+                scores = np.round(v[order] @ q.T, 9)
                 near = np.argsort(-scores, axis=0, kind="stable")[:k]
-                yield pd.DataFrame({"query_id": np.repeat(ids, len(near)), "id": names[near.T.reshape(-1)], "score": np.take_along_axis(scores, near, 0).T.reshape(-1)})
-
-        parts.append(vectors.select("id", "embedding").mapInPandas(best, "query_id long, id long, score double"))
-    if not parts:
-        return vectors.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+                at = order[near.T.reshape(-1)]
+                yield pd.DataFrame({"query_id": ids.repeat(len(near)).to_numpy(), "id": names.iloc[at].to_numpy(), "score": np.take_along_axis(scores, near, 0).T.reshape(-1)})
+
+    kinds = (queries.schema["query_id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString())
+    found = pairs.select("q_ids", "q_m", "v_ids", "v_m").mapInPandas(best, "query_id {}, id {}, score double".format(*kinds))
     order = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from memloom.functions import routing, text
 from memloom.operators import chunking, conversation, metadata, store
-from memloom.plans.catalog import query, table
+from memloom.plans.catalog import query, spread, table
 from memloom.streaming import sse
 
 #: documents as memories with tags from labels: quality 1 is keep, toxic 1 is bad; times count up by the minute.
@@ -96,10 +96,13 @@ def path_normalize(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.short_home(said, "/home/ann").alias("text"))
 
 
-@query("SELECT doc_id, CASE WHEN strlen(text) > 200 THEN substring(text, 1, 200) || '...' ELSE text END AS preview FROM documents WHERE lang = 'en' AND strlen(text) = length(text)")
+@query(
+    """WITH ends AS (SELECT doc_id, text, list_filter(generate_series(1, 200), lambda n: strlen(substring(text, 1, n)) <= 200) AS fit FROM documents)
+SELECT doc_id, CASE WHEN strlen(text) > 200 THEN substring(text, 1, len(fit)) || '...' ELSE text END AS preview FROM ends"""
+)
 def preview_200(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").where(F.octet_length("text") == F.length("text"))
-    return docs.select("doc_id", text.preview(F.col("text")).alias("preview"))
+    """200 bytes at most: of a text with longer characters fewer of them, and none that is cut in two."""
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", text.preview(F.col("text")).alias("preview"))
 
 
 @query(f"WITH {MEMORIES} SELECT id FROM memories WHERE NOT (id % 3 = 0 AND NOT contains(tags, 'keep'))")
@@ -204,7 +207,7 @@ _MARKDOWN = "'# ' || lang || chr(10) || chr(10) || 'about  ' || source || chr(10
 
 def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = F.concat(F.lit("# "), "lang", F.lit("\n\nabout  "), "source", F.lit("\n\n## "), "source", F.lit("\n\n"), F.replace("text", F.lit("\n"), F.lit("\n\n")))
-    return table(spark, sf_dir, "documents").select("doc_id", made.alias("text"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", made.alias("text"))
 
 
 @query(f"SELECT doc_id, regexp_replace(regexp_replace({_MARKDOWN}, ' {{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g') AS cleaned FROM documents")
@@ -228,18 +231,31 @@ def heading_stack(spark, sf_dir):
     return last.select("doc_id", F.element_at("a.heads", -1)["level"].alias("level"), F.array_join(F.transform("a.heads", lambda h: text.heading_text(h["line"])), " » ").alias("section"))
 
 
-@query()
+_NN = "chr(10) || chr(10)"
+_CLEANED = f"regexp_replace(regexp_replace({_MARKDOWN}, ' {{2,}}', ' ', 'g'), '\\n{{3,}}', {_NN}, 'g')"
+#: Paragraphs below the first heading, then those below both, taken one by one: a chunk ends before the paragraph at which it has 300 bytes.
+_CHUNKED = f"""WITH RECURSIVE pl AS (SELECT doc_id, lang, source,
+  list_transform(list_filter(string_split_regex(regexp_replace({_CLEANED}, '^\\n+', ''), '\\n\\n+'), lambda p: p NOT IN ('', chr(10))), lambda p: regexp_replace(p, '[\\n\\r ]+$', '')) AS ps FROM documents),
+b AS (SELECT doc_id, 1 AS i, ps[2] AS body, '# ' || lang AS block, lang AS section FROM pl
+  UNION ALL SELECT doc_id, 1 + generate_subscripts(ps[4:], 1), unnest(ps[4:]), '# ' || lang || {_NN} || '## ' || source, lang || ' » ' || source FROM pl),
+run AS (SELECT doc_id, CAST(0 AS BIGINT) AS i, '' AS now, '' AS section, CAST(NULL AS VARCHAR) AS done, CAST(NULL AS VARCHAR) AS done_section FROM pl WHERE ps IS NOT NULL
+  UNION ALL SELECT doc_id, CAST(i AS BIGINT), CASE WHEN base = '' THEN added ELSE base || {_NN} || added END, section, done, done_section FROM (
+    SELECT *, CASE WHEN base = '' OR section <> before THEN block || {_NN} || body ELSE body END AS added FROM (
+      SELECT r.doc_id AS doc_id, r.i + 1 AS i, b.body AS body, b.block AS block, b.section AS section, r.section AS before, CASE WHEN strlen(r.now) >= 300 THEN '' ELSE r.now END AS base,
+        CASE WHEN strlen(r.now) >= 300 THEN r.now END AS done, CASE WHEN strlen(r.now) >= 300 THEN r.section END AS done_section FROM run r JOIN b ON b.doc_id = r.doc_id AND b.i = r.i + 1))),
+chunked AS (SELECT doc_id, i, done AS chunk_text, done_section AS section FROM run WHERE done IS NOT NULL
+  UNION ALL SELECT doc_id, max(i) + 1, arg_max(now, i), arg_max(section, i) FROM run GROUP BY doc_id HAVING arg_max(now, i) <> ''),
+chunks AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS chunk, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS total_chunks, chunk_text, section FROM chunked)"""
+
+
+@query(f"{_CHUNKED} SELECT doc_id, chunk, total_chunks, chunk_text, section FROM chunks")
 def chunk_markdown(spark, sf_dir):
     return chunking.chunk_rows(markdown(spark, sf_dir))
 
 
-@query(
-    """WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)
-SELECT doc_id, CAST(generate_subscripts(parts, 1) AS INTEGER) AS chunk, CAST(len(parts) AS INTEGER) AS total_chunks FROM p WHERE text_ok""".replace(" WHERE text_ok", "")
-)
+@query(f"{_CHUNKED} SELECT doc_id, chunk, total_chunks FROM chunks")
 def chunk_ordinals(spark, sf_dir):
-    cut = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("p"))
-    return cut.select("doc_id", F.size("p").alias("total_chunks"), F.posexplode("p").alias("i", "x")).select("doc_id", (F.col("i") + 1).alias("chunk"), "total_chunks")
+    return chunking.chunk_rows(markdown(spark, sf_dir)).select("doc_id", "chunk", "total_chunks")
 
 
 @query(
@@ -308,16 +324,17 @@ def persona_budget(spark, sf_dir):
 
 
 @query(
-    """SELECT source, doc_id, running FROM (SELECT source, doc_id, sum(strlen(text)) OVER (PARTITION BY source ORDER BY doc_id) AS running,
-  max(CAST(over AS INTEGER)) OVER (PARTITION BY source ORDER BY doc_id) AS ended FROM (SELECT *, sum(strlen(text)) OVER (PARTITION BY source ORDER BY doc_id) > 40000 AS over FROM documents)) WHERE ended = 0"""
+    r"""WITH f AS (SELECT source, doc_id, strlen(regexp_replace(text, '[ \t\r\n]+$', '')) AS n FROM documents WHERE regexp_replace(text, '[ \t\r\n]+$', '') <> ''),
+r AS (SELECT *, coalesce(sum(n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 8 * (row_number() OVER w - 1) AS before FROM f WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
+e AS (SELECT *, sum(CASE WHEN n <= 40000 - before THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY doc_id) AS ended FROM r)
+SELECT source, doc_id, CAST(n AS INTEGER) AS n FROM e WHERE ended = 0"""
 )
 def persona_budget_prefix(spark, sf_dir):
-    """The documents of each source that fit a running budget, up to the first that doesn't."""
-    from pyspark.sql import Window
+    """The documents of each source that fit a budget whole, up to the first that doesn't; these have no paragraphs to cut that one at."""
+    from memloom.operators.context import within_budget
 
-    w = Window.partitionBy("source").orderBy("doc_id")
-    run = table(spark, sf_dir, "documents").select("source", "doc_id", F.sum(F.octet_length("text")).over(w).alias("running"))
-    return run.withColumn("ended", F.max((F.col("running") > 40000).cast("int")).over(w)).where("ended = 0").drop("ended")
+    files = table(spark, sf_dir, "documents").select("source", "doc_id", "text", F.lit("file").alias("label"))
+    return within_budget(files, 40000, "source", "doc_id").select("source", "doc_id", F.octet_length("section").alias("n"))
 
 
 @query(f"WITH {MEMORIES} SELECT id FROM memories WHERE category = 'en' AND collection <> 'src0' AND date_diff('second', CAST(timestamp AS TIMESTAMP), TIMESTAMP '2024-01-01 10:00:30') // 60 > 5")
@@ -399,14 +416,18 @@ def session_summaries(spark, sf_dir):
     return said.select("conv_id", summarizer()(F.col("rendered")).alias("summary"))
 
 
-@query("SELECT doc_id AS id, vec_id IS NULL AS was_missing FROM documents LEFT JOIN embeddings ON vec_id = doc_id")
+@query(
+    """SELECT doc_id AS id, vec_id IS NULL AS was_missing, CASE WHEN vec_id IS NULL THEN 384 ELSE len(embedding) END AS dims,
+CASE WHEN vec_id IS NULL THEN 1.0 ELSE round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)), 4) END AS size FROM documents LEFT JOIN embeddings ON vec_id = doc_id"""
+)
 def backfill_embeddings(spark, sf_dir):
-    """Rows without an embedding get one; the others keep theirs."""
+    """Rows without an embedding get one of unit length; the others keep theirs."""
     from memloom.functions.embedding import embedder
 
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    m = docs.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id", "left")
-    return store.backfill(m, embedder()).select("id", (F.size("embedding") == 384).alias("was_missing"))
+    m = docs.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id", "left").withColumn("was_missing", F.col("embedding").isNull())
+    size = F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
+    return store.backfill(m, embedder()).select("id", "was_missing", F.size("embedding").alias("dims"), F.round(size, 4).alias("size"))
 
 
 @query("SELECT user_id, session_start, count(*) AS n FROM (SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS session_start FROM events) GROUP BY ALL")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from memloom.functions.embedding import embedder, half
 from memloom.functions.text import STOP_WORDS, prompt_escape
 from memloom.operators import retrieval as R
-from memloom.plans.catalog import query, table
+from memloom.plans.catalog import query, spread, table
 
 WORDS = "that thinan the estion of oreand"
 PROBE = 7
@@ -25,7 +25,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def posted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.postings(table(spark, sf_dir, "documents"), "doc_id")
+    return R.postings(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
 
 
 def one_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,33 @@ FORMATS = {
 LOCAL = ("localhost", "127.0.0.", "192.168.", "10.", "0.0.0.0")
 
 
+def load_format(name: str = "", dirs: tuple[str, ...] = ()) -> dict:
+    """The format of this name from the first directory that has name.json, else a built-in one. What a file doesn't say is as in the first built-in."""
+    import json
+    from pathlib import Path
+
+    name = name or "openai"
+    base = FORMATS["openai"]
+    for path in (Path(d) / f"{name}.json" for d in dirs):
+        try:
+            said = json.loads(path.read_text("utf-8"))
+        except (OSError, ValueError):
+            continue  # a file that is missing or can't be read: the next directory
+        text = {k: v for k, v in said.items() if k in base and k != "auth_extra" and isinstance(v, str)}
+        extra = said.get("auth_extra")
+        return base | text | {"auth_extra": {k: v for k, v in extra.items() if isinstance(v, str)} if isinstance(extra, dict) else {}}
+    if name not in FORMATS:
+        raise ValueError(f"unknown API format {name!r}")
+    return FORMATS[name]
+
+
+def format_names(dirs: tuple[str, ...] = ()) -> list[str]:
+    """Names of built-in formats and of files, in order."""
+    from pathlib import Path
+
+    return sorted({*FORMATS, *(p.stem for d in dirs for p in Path(d).glob("*.json"))})
+
+
 def glob_regex(pattern: Column) -> Column:
     """A glob with * and ? as a regular expression for a whole string."""
     plain = F.regexp_replace(pattern, r"([.\\+^$(){}|])", r"\\$1")

@@ -100,3 +100,13 @@ def token_hash(token: Column) -> Column:
 
 def iso_utc(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def with_home(path: Column, home: str) -> Column:
+    """A path that begins with ~ from the home directory on."""
+    return F.when(path.startswith("~"), F.concat(F.lit(home), F.substring(path, 2, 1 << 30))).otherwise(path)
+
+
+def expires(now: Column, ttl_seconds: int = 86_400) -> Column:
+    """When something that begins now ends, as UTC text."""
+    return iso_utc(now + F.make_interval(secs=F.lit(ttl_seconds)))

@@ -97,3 +97,13 @@ def idle_sessions(events: DataFrame, user: str = "user_id", ts: str = "ts", paus
     begun = sec.withColumn("_new", F.coalesce((F.col("_s") - F.lag("_s").over(w) > pause).cast("int"), F.lit(1)))
     numbered = begun.withColumn("session_no", F.sum("_new").over(w))
     return numbered.groupBy(user, "session_no").agg(F.min("_s").alias("session_start"), F.max("_s").alias("session_end"), F.count("*").alias("n_events"))
+
+
+def restored_turns(sessions: DataFrame) -> DataFrame:
+    """session_id, turn, role, text of stored sessions (session_id, messages: a JSON array): users' and assistants' messages in order.
+
+    What can't be read as an array leaves no turns; messages without a role or text are skipped.
+    """
+    kind = "array<struct<role:string,content:string>>"
+    each = sessions.select("session_id", F.posexplode(F.from_json("messages", kind)).alias("turn", "m"))
+    return each.where(F.col("m.role").isin("user", "assistant") & F.col("m.content").isNotNull()).select("session_id", "turn", F.col("m.role").alias("role"), F.col("m.content").alias("text"))

@@ -434,3 +434,42 @@ def backfill_embeddings(spark, sf_dir):
 def usage_by_day(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return e.groupBy("user_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("session_start")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT conv_id AS stream_id, turn AS place, text AS delta, FALSE AS stopped FROM conversations UNION ALL SELECT conv_id, max(turn) + 1, '', TRUE FROM conversations GROUP BY conv_id")
+def sse_lines(spark, sf_dir):
+    """Events of one line each, read line by line: their places are those of the turns."""
+    lines = stream_chunks(spark, sf_dir).withColumn("chunk", F.replace("chunk", F.lit("\n\n"), F.lit("\n")))
+    return sse.line_deltas(lines).select("stream_id", F.col("place").cast("long").alias("place"), "delta", "stopped")
+
+
+@query("SELECT conv_id AS session_id, turn, role, text FROM conversations WHERE role IN ('user', 'assistant')")
+def session_restore(spark, sf_dir):
+    """Conversations stored as a JSON array of messages, and back."""
+    m = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    stored = turns(spark, sf_dir).groupBy(F.col("conv_id").alias("session_id")).agg(F.to_json(m).alias("messages"))
+    return conversation.restored_turns(stored).select("session_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+
+
+@query("SELECT count(*) AS corpus_size, count(*) FILTER (source IN ('src1', 'src2')) AS filtered_size FROM documents")
+def corpus_sizes(spark, sf_dir):
+    from memloom.operators import retrieval
+
+    return retrieval.corpus_sizes(memories(spark, sf_dir), ["src1", "src2"])
+
+
+@query("SELECT c_custkey, '/home/ann/' || c_name AS path, strftime(TIMESTAMP '2024-01-01' + to_seconds(86400 + CAST(c_custkey AS BIGINT)), '%Y-%m-%dT%H:%M:%SZ') AS expires FROM customer")
+def home_and_expiry(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return c.select("c_custkey", text.with_home(F.concat(F.lit("~/"), "c_name"), "/home/ann").alias("path"), text.expires(F.timestamp_seconds(F.lit(1704067200) + F.col("c_custkey"))).alias("expires"))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x)) / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 4) AS total FROM embeddings")
+def mean_pooling(spark, sf_dir):
+    """Three token vectors of which the mask leaves two, the embedding and its double: pooled, the embedding's direction."""
+    from memloom.operators import retrieval
+
+    e = table(spark, sf_dir, "embeddings")
+    tokens = F.array(F.col("embedding"), F.transform("embedding", lambda x: F.lit(9.0).cast("float")), F.transform("embedding", lambda x: (2 * x).cast("float")))
+    pooled = e.select("vec_id", retrieval.mean_pooled(tokens, F.array(F.lit(1), F.lit(0), F.lit(1))).alias("p"))
+    return pooled.select("vec_id", F.round(F.aggregate("p", F.lit(0.0), lambda acc, x: acc + x), 4).alias("total"))

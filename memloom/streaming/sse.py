@@ -45,6 +45,39 @@ def delta_of(data: Column, path: str = "choices[0].delta.content", type_field: s
     return said if type_field is None else F.when(F.coalesce(F.get_json_object(data, "$." + type_field) == type_value, F.lit(False)), said).otherwise("")
 
 
+def is_stop(line: Column, stop: str = DONE, type_field: str = "type") -> Column:
+    """Whether a line ends its stream: it is the stop word as data, or its JSON is of that type."""
+    bare = F.trim(F.regexp_replace(line, r"^\s+|\s+$", ""))
+    typed = F.get_json_object(F.substring(bare, 7, 1 << 30), "$." + type_field) == stop
+    return (bare == f"data: {stop}") | (bare.startswith("data: ") & F.coalesce(typed, F.lit(False)))
+
+
+def line_deltas(chunks: DataFrame, path: str = "choices[0].delta.content", type_field: str | None = None, type_value: str | None = None, stop: str = DONE) -> DataFrame:
+    """stream_id, place, delta and stopped of chunks (stream_id, seq, chunk), line by line as a client reads them.
+
+    Lines end at a newline, blanks around them go; those that don't begin with "data: " are skipped, as is a last one
+    without an end; a stop line says nothing. Text that comes after a stop line is still read.
+    """
+    whole = chunks.groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "chunk"))), lambda x: x["chunk"]), "").alias("raw"))
+    lines = F.split("raw", "\n")
+    ended = whole.select("stream_id", F.posexplode(F.slice(lines, 1, F.size(lines) - 1)).alias("place", "line")).withColumn("line", F.regexp_replace("line", r"^[ \t\r]+|[ \t\r]+$", ""))
+    data = ended.where(F.col("line").startswith("data: "))
+    stopped = is_stop(F.col("line"), stop, type_field or "type")
+    said = delta_of(F.substring("line", 7, 1 << 30), path, type_field, type_value)
+    return data.select("stream_id", "place", F.when(stopped, "").otherwise(said).alias("delta"), stopped.alias("stopped"))
+
+
+def flushed(states: DataFrame) -> DataFrame:
+    """session_id, role, text to store for states (session_id, status, user_text, user_flushed, pending): what a stream leaves when it ends.
+
+    Only an answer with a 2xx status leaves anything; the user's message is stored with the first flush alone, and pending text
+    as another message of the assistant.
+    """
+    ok = states.where(F.col("status").between(200, 299) & (F.col("pending") != ""))
+    first = ok.where(~F.col("user_flushed")).select("session_id", F.lit("user").alias("role"), F.col("user_text").alias("text"))
+    return first.unionByName(ok.select("session_id", F.lit("assistant").alias("role"), F.col("pending").alias("text")))
+
+
 def accumulate(chunks: DataFrame) -> DataFrame:
     """stream_id, text, done of chunks (stream_id, seq, chunk), whole: the batch twin of accumulate_stream."""
     whole = chunks.groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "chunk"))), lambda x: x["chunk"]), "").alias("raw"))

@@ -205,3 +205,46 @@ def test_budget(spark):
     assert [r[0] for r in said.select(summarizer()("t")).collect()] == ["One. Three.", ""]
     m = memories(spark, *[("c", "", f"2024-01-0{i}T00:00:00Z", None) for i in range(1, 6)])
     assert sorted(r["id"] for r in newest(m, 2).collect()) == [3, 4]
+
+
+def test_formats_from_files(tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    (tmp_path / "a" / "mine.json").write_text("{bad")
+    (tmp_path / "b" / "mine.json").write_text(json.dumps({"path": "/p", "stream_stop": "end", "auth_extra": {"x": "1", "n": 2}, "other": "no"}))
+    dirs = (str(tmp_path / "a"), str(tmp_path / "none"), str(tmp_path / "b"))
+    got = routing.load_format("mine", dirs)
+    assert got == routing.FORMATS["openai"] | {"path": "/p", "stream_stop": "end", "auth_extra": {"x": "1"}}
+    assert routing.load_format("", dirs) == routing.FORMATS["openai"] and routing.format_names(dirs) == ["anthropic", "mine", "openai"]
+    with pytest.raises(ValueError):
+        routing.load_format("unknown", dirs)
+
+
+def test_lines_stops_and_flushes(spark):
+    lines = 'data: {"type":"content_block_delta","delta":{"text":"a"}}\n: c\ndata:{"no":1}\n  data: {"type":"message_stop"} \r\ndata: {"type":"content_block_delta","delta":{"text":"b"}}\ndata: [DONE]\ndata: {"cut'
+    chunks = spark.createDataFrame([("s", i, lines[9 * i : 9 * i + 9]) for i in range(len(lines) // 9 + 1)], "stream_id string, seq long, chunk string")
+    got = sse.line_deltas(chunks, "delta.text", "type", "content_block_delta", "message_stop").orderBy("place").collect()
+    assert [(r["delta"], r["stopped"]) for r in got] == [("a", False), ("", True), ("b", False), ("", False)]
+    states = [("a", 200, "u", False, "p"), ("b", 200, "u", True, "q"), ("c", 500, "u", False, "p"), ("d", 204, "u", False, "")]
+    df = spark.createDataFrame(states, "session_id string, status int, user_text string, user_flushed boolean, pending string")
+    assert sorted(map(tuple, sse.flushed(df).collect())) == [("a", "assistant", "p"), ("a", "user", "u"), ("b", "assistant", "q")]
+
+
+def test_recall_and_pooling(spark):
+    m = spark.createDataFrame([(1, "<apple>", "c", [1.0, 0.0]), (2, "pear", "c", [0.0, 1.0])], "id long, text string, collection string, embedding array<float>")
+    asked = spark.createDataFrame([(0, "apple pie", [1.0, 0.0]), (1, "app", [1.0, 0.0]), (2, "nothing near", [-1.0, 0.0])], "query_id long, text string, embedding array<float>")
+    got = retrieval.auto_recall(m, retrieval.postings(m), asked).collect()
+    assert [r["query_id"] for r in got] == [0] and got[0]["block"].endswith("\n1. &lt;apple&gt;\n</relevant-memories>")
+    assert retrieval.corpus_sizes(m.limit(0)).head()[:] == (0, 0)
+    v = spark.createDataFrame([([[3.0, 0.0], [9.0, 9.0], [0.0, 4.0]], [1, 0, 1]), ([[1.0, 1.0]], [0])], "t array<array<float>>, m array<int>")
+    assert [[round(x, 6) for x in r[0]] for r in v.select(retrieval.mean_pooled(F.col("t"), F.col("m"))).collect()] == [[0.6, 0.8], [0.0, 0.0]]
+    broken = spark.createDataFrame([("s", '[{"role":"user","content":"a"},{"role":"system","content":"b"},{"role":"assistant"},{"role":"assistant","content":"c"}]'), ("t", "{bad")], "session_id string, messages string")
+    assert sorted((r["session_id"], r["turn"], r["text"]) for r in conversation.restored_turns(broken).collect()) == [("s", 0, "a"), ("s", 3, "c")]
+
+
+def test_neighbours_of_any_ids(spark):
+    v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", None)], "id string, embedding array<float>")
+    q = v.select(F.col("id").alias("query_id"), "embedding")
+    got = {(r["query_id"], r["id"]): r["rank"] for r in retrieval.knn(v, q, 1).collect()}
+    assert got == {("a", "a"): 1, ("b", "b"): 1}
+    assert retrieval.knn(v, q.where("query_id = 'c'"), 1).count() == 0 and retrieval.knn(v.limit(0), q, 1).count() == 0

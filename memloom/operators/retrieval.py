@@ -106,18 +106,29 @@ def hybrid_search(
     scaled over the candidates and blended; after the top rows are taken, min_score applies to the raw cosine. Texts are
     not carried along: join them to the hits. Returns query_id, id, score (raw cosine), bm25, combined, rank.
     """
-    there = memories.where(in_collections(collections)).select("id", "embedding") if vectors is None else memories.where(in_collections(collections)).select("id").join(vectors, "id", "left")
-    sized = queries.select("query_id", F.col("embedding").alias("_q"))
-    pairs = there.crossJoin(F.broadcast(sized)) if queries_fit(queries) else there.join(sized)
-    scored = pairs.select("query_id", "id", cosine(F.col("embedding"), F.col("_q")).alias("score"))
-    if how.keyword:
-        words = bm25(posted, query_terms(queries), how).withColumnRenamed("memory_id", "id")
-        scored = scored.join(words, ["query_id", "id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
-        scored = min_max(scored, "score", "bm25")
-        scored = scored.withColumn("combined", how.vector * F.col("score_scaled") + how.keyword * F.col("bm25_scaled"))
-    else:
-        scored = scored.withColumn("bm25", F.lit(0.0)).withColumn("combined", F.col("score"))
-    return top(scored, how).where(F.col("score") >= how.min_score)
+    inside = memories.where(in_collections(collections))
+    there = inside.select("id", "embedding") if vectors is None else inside.select("id").join(vectors, "id", "left")
+    near = _nearest(there, queries, how.limit, zeros=True)
+    best = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), "id")
+    closest = near.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= how.limit).select("query_id", "id", "score")
+    if not how.keyword:
+        return top(closest.withColumn("bm25", F.lit(0.0)).withColumn("combined", F.col("score")), how).where(F.col("score") >= how.min_score)
+    words = bm25(posted, query_terms(queries), how).withColumnRenamed("memory_id", "id")
+    asked = queries.select("query_id", F.col("embedding").alias("_q"))
+    matched = words.join(there, "id").join(asked, "query_id").select("query_id", "id", cosine(F.col("embedding"), F.col("_q")).alias("score"), "bm25")
+    # of the memories without a word in common, only those with the best cosines can be among the best
+    others = closest.join(matched.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("bm25", F.lit(0.0))
+    ends = near.groupBy("query_id").agg(F.min("low").alias("_low"), F.max("high").alias("_high"))
+    said = matched.groupBy("query_id").agg(F.min("bm25").alias("_least"), F.max("bm25").alias("_most"), F.count("*").alias("_n"))
+    size = F.broadcast(there.agg(F.count("*").alias("_all")))  # one row
+    scored = matched.unionByName(others).join(ends, "query_id").join(said, "query_id", "left").crossJoin(size)
+    least = F.when(F.coalesce("_n", F.lit(0)) < F.col("_all"), 0.0).otherwise(F.col("_least"))
+    combined = how.vector * _scaled(F.col("score"), F.col("_low"), F.col("_high")) + how.keyword * _scaled(F.col("bm25"), least, F.coalesce("_most", F.lit(0.0)))
+    return top(scored.withColumn("combined", combined), how).where(F.col("score") >= how.min_score)
+
+
+def _scaled(x: Column, low: Column, high: Column) -> Column:
+    return F.when(high > low, (x - low) / (high - low)).otherwise(x)
 
 
 def top(scored: DataFrame, how: Blend) -> DataFrame:
@@ -126,17 +137,12 @@ def top(scored: DataFrame, how: Blend) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= how.limit).select("query_id", "id", "score", "bm25", "combined", "rank")
 
 
-def queries_fit(queries: DataFrame, most: int = 10_000) -> bool:
-    """Whether a table of queries is of a size to send everywhere; it is counted."""
-    return queries.limit(most + 1).count() <= most
-
-
 #: Vectors of a block; blocks of queries up to which they are broadcast.
 BLOCK, MOST_SENT = 4096, 16
 
 
-def _blocks(vectors: DataFrame, id_col: str, prefix: str) -> DataFrame:
-    """Rows of up to BLOCK ids and their vectors, scaled to length 1, as bytes; rows without a vector are left out."""
+def _blocks(vectors: DataFrame, id_col: str, prefix: str, dims: int | None = None) -> DataFrame:
+    """Rows of up to BLOCK ids and their vectors, scaled to length 1, as bytes. Rows without a vector are left out, or with dims have zeros."""
     import numpy as np
     import pandas as pd
 
@@ -144,28 +150,26 @@ def _blocks(vectors: DataFrame, id_col: str, prefix: str) -> DataFrame:
 
     def pack(frames):
         for f in frames:
-            f = f[f["embedding"].notna()]
+            f = f if dims else f[f["embedding"].notna()]
             for i in range(0, len(f), BLOCK):
                 some = f.iloc[i : i + BLOCK]
-                m = _unit(np.array([np.asarray(v, np.float64) for v in some["embedding"]]))
+                m = _unit(np.array([np.zeros(dims) if v is None else np.asarray(v, np.float64) for v in some["embedding"]]))
                 yield pd.DataFrame({f"{prefix}_ids": [some[id_col].tolist()], f"{prefix}_m": [m.tobytes()]})
 
     return vectors.select(id_col, "embedding").mapInPandas(pack, f"{prefix}_ids array<{kind}>, {prefix}_m binary")
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """The k nearest of vectors (id, embedding) to each of queries (query_id, embedding): id, score, rank.
-
-    Both are packed into blocks on Spark, each pair of blocks is one matrix product in a task, and only the best k of a block
-    stay for each query; a window then merges them. A query without an embedding has no neighbours.
-    """
+def _nearest(vectors: DataFrame, queries: DataFrame, k: int, zeros: bool = False) -> DataFrame:
+    """query_id, id, score of the k best of each block of vectors, with the lowest and highest score in that block. With zeros, null vectors score 0."""
     import numpy as np
     import pandas as pd
 
-    n = queries.count()
-    dealt = queries.repartition(max(1, -(-n // BLOCK)))
-    asked = _blocks(dealt, "query_id", "q")
-    pairs = _blocks(vectors, "id", "v").crossJoin(F.broadcast(asked) if n <= MOST_SENT * BLOCK else asked)
+    n, dims = queries.agg(F.count("*"), F.max(F.size("embedding"))).head()
+    if zeros and (dims or 0) < 1:
+        dims = max(1, vectors.agg(F.max(F.size("embedding"))).head()[0] or 1)
+    asked = _blocks(queries.repartition(max(1, -(-n // BLOCK))), "query_id", "q", dims if zeros else None)
+    held = _blocks(vectors, "id", "v", dims if zeros else None)
+    pairs = held.crossJoin(F.broadcast(asked) if n <= MOST_SENT * BLOCK else asked)
 
     def best(frames):
         for f in frames:
@@ -175,12 +179,22 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                 q, v = (np.frombuffer(m).reshape(len(i), -1) for m, i in ((q_m, ids), (v_m, names)))
                 scores = np.round(v[order] @ q.T, 9)
                 near = np.argsort(-scores, axis=0, kind="stable")[:k]
-                at = order[near.T.reshape(-1)]
-                yield pd.DataFrame({"query_id": ids.repeat(len(near)).to_numpy(), "id": names.iloc[at].to_numpy(), "score": np.take_along_axis(scores, near, 0).T.reshape(-1)})
+                at, each = order[near.T.reshape(-1)], len(near)
+                ends = {"low": np.repeat(scores.min(0), each), "high": np.repeat(scores.max(0), each)}
+                yield pd.DataFrame({"query_id": ids.repeat(each).to_numpy(), "id": names.iloc[at].to_numpy(), "score": np.take_along_axis(scores, near, 0).T.reshape(-1), **ends})
 
     kinds = (queries.schema["query_id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString())
-    found = pairs.select("q_ids", "q_m", "v_ids", "v_m").mapInPandas(best, "query_id {}, id {}, score double".format(*kinds))
+    return pairs.select("q_ids", "q_m", "v_ids", "v_m").mapInPandas(best, "query_id {}, id {}, score double, low double, high double".format(*kinds))
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """The k nearest of vectors (id, embedding) to each of queries (query_id, embedding): id, score, rank.
+
+    Both are packed into blocks on Spark, each pair of blocks is one matrix product in a task, and only the best k of a block
+    stay for each query; a window then merges them. A query without an embedding has no neighbours.
+    """
     order = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), "id")
+    found = _nearest(vectors, queries, k).select("query_id", "id", "score")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

@@ -248,3 +248,33 @@ def test_neighbours_of_any_ids(spark):
     got = {(r["query_id"], r["id"]): r["rank"] for r in retrieval.knn(v, q, 1).collect()}
     assert got == {("a", "a"): 1, ("b", "b"): 1}
     assert retrieval.knn(v, q.where("query_id = 'c'"), 1).count() == 0 and retrieval.knn(v.limit(0), q, 1).count() == 0
+
+
+def test_hybrid_batch_by_brute_force(spark):
+    """Several queries at once, memories and a query without embeddings, words in common or not: all pairs counted out."""
+    rng = np.random.default_rng(5)
+    words = "apple pear plum cherry grape melon".split()
+    vec = lambda: [float(x) for x in rng.normal(size=4)]
+    said = lambda: " ".join(rng.choice(words, 3))
+    m = [(i, said() if i % 4 else "zzz", "c" if i % 5 else "d", vec() if i % 7 else None) for i in range(40)]
+    q = [(0, "apple plum", vec()), (1, "melon", None), (2, "nothing", vec()), (3, "pear pear grape", vec())]
+    mem = spark.createDataFrame(m, "id long, text string, collection string, embedding array<float>")
+    ask = spark.createDataFrame(q, "query_id long, text string, embedding array<float>")
+    posted, how = retrieval.postings(mem), retrieval.Blend(limit=6, min_score=-1.0)
+    found = {(r["query_id"], r["memory_id"]): r["bm25"] for r in retrieval.bm25(posted, retrieval.query_terms(ask)).collect()}
+
+    def cos(a, b):
+        return 0.0 if a is None or b is None else float(np.dot(np.float32(a), np.float32(b)) / np.linalg.norm(np.float32(a)) / np.linalg.norm(np.float32(b)))
+
+    want = {}
+    for k, _, e in q:
+        there = [x for x in m if x[2] == "c"]
+        both = np.array([[cos(x[3], e), found.get((k, x[0]), 0.0)] for x in there])
+        low, high = both.min(0), both.max(0)
+        scaled = np.where(high > low, (both - low) / np.where(high > low, high - low, 1), both)
+        total = np.round(7 * scaled[:, 0] + 3 * scaled[:, 1], 6)
+        want[k] = [there[i][0] for i in sorted(range(len(there)), key=lambda i: (-total[i], there[i][0]))[:6]]
+    got = {}
+    for r in retrieval.hybrid_search(mem, posted, ask, ["c"], how).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["id"])
+    assert got == want

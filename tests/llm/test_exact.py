@@ -90,6 +90,39 @@ def test_tree_loses_no_link():
         assert [root(i) for i in range(len(p))] == want
 
 
+def test_clusters_that_vantage_points_do_not_split(monkeypatch):
+    """Points within four bits of one: the same forest's components by counting out all pairs and by looking up what is near."""
+    rng = np.random.default_rng(6)
+    points = {77}
+    for _ in range(2000):
+        x = 77
+        for b in rng.integers(0, 64, int(rng.integers(0, 5))):
+            x ^= 1 << int(b)
+        points.add(x)
+    p = np.array(sorted(points | {int(x) for x in rng.integers(0, 1 << 62, 200)}), np.uint64)
+
+    def of(edges):
+        parent = list(range(len(p)))
+
+        def root(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for a, b in edges:
+            assert bin(int(p[a] ^ p[b])).count("1") <= 2
+            x, y = root(a), root(b)
+            assert x != y  # a forest: no edge too many
+            parent[max(x, y)] = min(x, y)
+        return [root(i) for i in range(len(p))]
+
+    want = of(near_dedup.forest(p))
+    assert want == components(p.tolist())
+    monkeypatch.setattr(near_dedup, "LEAF", 40)
+    monkeypatch.setattr(near_dedup, "CLUSTER", 50)
+    assert of(near_dedup.forest(p)) == want
+
+
 def test_near_dedup(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "SHARD", 8)
     rng = random.Random(2)

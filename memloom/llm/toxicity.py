@@ -67,9 +67,9 @@ _APART = 6
 
 @dataclass(frozen=True)
 class Training:
-    """Parameters. `sample`: labelled documents at most, the first by a hash of doc_id, a third of them toxic where there are so many."""
+    """Parameters. `sample`: labelled documents at most, the first by a hash of doc_id, a fifth of them toxic where there are so many."""
 
-    sample: int = 3600
+    sample: int = 3000
     witnesses: int = 1500
     clean_spans: int = 6000
     landmarks: int = 200
@@ -163,14 +163,18 @@ class Words:
         out[at] = np.repeat(self.end, size) - at
         return out
 
-    def spans(self) -> list[list[list[bytes]]]:
-        """For each sentence, its words and pairs of words, with marks around them."""
+    def spans(self, one: dict[bytes, bytes]) -> list[list[bytes]]:
+        """For each sentence, its words and pairs of words, with marks around them, each distinct one held once."""
         raw = self.code.astype(np.uint8).tobytes()
         out: list[list[bytes]] = [[] for _ in range(len(self.text))]
-        for k, (s, a, b) in enumerate(zip(self.sentence.tolist(), self.start.tolist(), self.end.tolist(), strict=True)):
-            out[s].append(raw[a : b + 1])
-            if k and self.sentence[k - 1] == s:
-                out[s].append(raw[self.start[k - 1] : b + 1])
+        last = before = -1
+        for s, a, b in zip(self.sentence.tolist(), self.start.tolist(), self.end.tolist(), strict=True):
+            word = raw[a : b + 1]
+            out[s].append(one.setdefault(word, word))
+            if s == last:
+                both = raw[before : b + 1]
+                out[s].append(one.setdefault(both, both))
+            last, before = s, a
         return out
 
 
@@ -223,7 +227,7 @@ class Landmarks:
         return (self.weight @ share).astype(np.float32)[self.row]
 
 
-def kernel(spans: list[bytes], marks: Landmarks, batch: int = 2000) -> np.ndarray:
+def kernel(spans: list[bytes], marks: Landmarks, batch: int = 1000) -> np.ndarray:
     """The kernel of each span with each landmark."""
     out = [np.zeros((0, marks.weight.shape[1]), np.float32)]
     for i in range(0, len(spans), batch):
@@ -317,10 +321,11 @@ NOTHING = Model(np.zeros(FEATURES, np.float32), 0.0, ((0.0, 0.0, 0.0, 0.0),), (-
 def sentences(texts: list[str | None]) -> list[list[list[bytes]]]:
     """The spans of each sentence of each text."""
     out: list[list[list[bytes]]] = []
+    one: dict[bytes, bytes] = {}
     for data, starts, _ in slices(None if t is None else t.lower() for t in texts):
         words = Words.of(data, starts)
         own_: list[list[list[bytes]]] = [[] for _ in starts]
-        for text, spans in zip(words.text.tolist(), words.spans(), strict=True):
+        for text, spans in zip(words.text.tolist(), words.spans(one), strict=True):
             own_[text].append(spans)
         out += own_
     return out
@@ -397,7 +402,7 @@ def fit(toxic: list[list[list[bytes]]], clean: list[list[list[bytes]]], how: Tra
         share = np.concatenate([part * s / max(s.sum(), 1e-9) for part, s in zip((0.2, 0.3, 0.35, 0.1, 0.05), shares, strict=True)])
         w = _newton(x, goal, share, how.ridge)
         model = Model(marks.folded(root @ w[:-1]), float(w[-1]))
-        margin = model.worst(Words.listed(pool), mend=False)
+        margin = np.concatenate([model.worst(Words.listed(pool[i : i + 4000]), mend=False) for i in range(0, len(pool), 4000)])
         worst = [pool[i] for i in np.argsort(-margin, kind="stable")[: how.worst] if margin[i] > -1]
         hard |= dict.fromkeys(worst)
         near = worst + some
@@ -466,12 +471,13 @@ def train(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Mod
     )
     order = F.xxhash64(F.col("doc_id").cast("string"))
     picked = None
-    for y, most in ((0, how.sample - how.sample // 3), (1, how.sample // 3)):
+    for y, most in ((0, how.sample - how.sample // 5), (1, how.sample // 5)):
         ids = known.where(F.col("y") == y).select("doc_id", F.col("y").cast("int"), order.alias("o")).distinct().orderBy("o", "doc_id").limit(most)
         picked = ids if picked is None else picked.unionByName(ids)
     rows = docs.select("doc_id", "text").join(picked, "doc_id").where("text IS NOT NULL").select("o", "y", "text").collect()
     unique = sorted({(r["o"], r["y"], r["text"]) for r in rows})
     unique = list({(y, t): (y, t) for _, y, t in unique}.values())
+    del rows
     return fitted([t for _, t in unique], [y for y, _ in unique], how)
 
 

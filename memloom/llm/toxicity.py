@@ -377,6 +377,7 @@ def fit(toxic: list[list[list[bytes]]], clean: list[list[list[bytes]]], how: Tra
     # the commonest spans, and as many others
     pick = lambda n: [*clean_spans[: n // 2], *(clean_spans[n // 2 + i] for i in np.sort(rng.permutation(max(0, len(clean_spans) - n // 2))[: n - n // 2]))]
     some, pool = pick(how.clean_spans), pick(how.pool)
+    del seen, rate, best, clean_spans
     chosen: list[int] = []
     nearest = np.zeros(len(witnesses))
     for i in range(len(witnesses)):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import chat_format, decontamination, language_id, license_scan, near_dedup, packing, quality_classifier, quality_rules, token_files, toxicity
+from memloom.llm import chat_format, decontamination, language_id, license_scan, near_dedup, packing, quality_classifier, quality_rules, spelling_variants, token_files, toxicity
 from memloom.llm.common import held_out, scratch, table
 
 WORD = decontamination.WORD
@@ -65,9 +65,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).select("doc_id", *quality_rules.BASE, "base_failed", "kept")
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling_variants.runs(table(spark, sf_dir, "documents"))
+    words = runs.select(spelling_variants.slipped(F.col("doc_id"), F.col("run")).alias("word"))
+    return spelling_variants.forms(spelling_variants.vocabulary(words))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_classifier, op2_simhash_near_dedup, op3_toxicity, op4_license_scan, op5_best_fit_packing, op6_language_id, op7_benchmark_decontamination, op8_chat_format, op9_token_files, op10_quality_rules)
+    for f in (op1_quality_classifier, op2_simhash_near_dedup, op3_toxicity, op4_license_scan, op5_best_fit_packing, op6_language_id, op7_benchmark_decontamination, op8_chat_format, op9_token_files, op10_quality_rules, op13_spelling_variants)
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -91,14 +91,13 @@ def _of_bucket(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         keep.append(min(len(x), len(y)) == k and (first if s == 0 else not first and x[-h:] == y[-h:]))
     q, v = q[np.array(keep, bool)], v[np.array(keep, bool)]
     n, their = asks["n"].to_numpy(), held["n"].to_numpy()
-    pairs = pd.DataFrame({"word": [said[a] for a in q], "best_n": their[v], "best": [known[b] for b in v]})
-    if not same:
-        pairs = pd.concat([pairs, pd.DataFrame({"word": [known[b] for b in v], "best_n": n[q], "best": [said[a] for a in q]})])
-    if not len(pairs):
-        return pd.DataFrame({"word": [], "n_near": [], "best_n": [], "best": []})
-    pairs = pairs.sort_values(["word", "best_n", "best"], ascending=[True, False, True])
-    out = pairs.groupby("word", sort=False).agg(n_near=("best", "size"), best_n=("best_n", "first"), best=("best", "first"))
-    return out.reset_index()
+    best: dict[str, list] = {}  # word: near words, what orders the best of them, the best
+    for i, j in zip(q, v, strict=True):
+        for word, of, size in ((said[i], known[j], their[j]), (known[j], said[i], n[i]))[: 1 if same else 2]:
+            was = best.setdefault(word, [0, (-size, of)])
+            was[0] += 1
+            was[1] = min(was[1], (-size, of))
+    return pd.DataFrame({"word": pd.Series(list(best), dtype=object), "n_near": [x[0] for x in best.values()], "best_n": [-x[1][0] for x in best.values()], "best": pd.Series([x[1][1] for x in best.values()], dtype=object)})
 
 
 def _letters(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import chat_format, decontamination, language_id, license_scan, near_dedup, packing, quality_classifier, quality_rules, spelling_variants, token_files, toxicity
+from memloom.llm import chat_format, cross_polytope, decontamination, hard_negatives, language_id, license_scan, near_dedup, packing, quality_classifier, quality_rules, spelling_variants, token_files, toxicity
 from memloom.llm.common import held_out, scratch, table
 
 WORD = decontamination.WORD
@@ -65,6 +65,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).select("doc_id", *quality_rules.BASE, "base_failed", "kept")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0, scale=256)
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = spelling_variants.runs(table(spark, sf_dir, "documents"))
     words = runs.select(spelling_variants.slipped(F.col("doc_id"), F.col("run")).alias("word"))
@@ -73,7 +83,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_classifier, op2_simhash_near_dedup, op3_toxicity, op4_license_scan, op5_best_fit_packing, op6_language_id, op7_benchmark_decontamination, op8_chat_format, op9_token_files, op10_quality_rules, op13_spelling_variants)
+    for f in (op1_quality_classifier, op2_simhash_near_dedup, op3_toxicity, op4_license_scan, op5_best_fit_packing, op6_language_id, op7_benchmark_decontamination, op8_chat_format, op9_token_files, op10_quality_rules, op11_hard_negatives, op12_nearest_neighbours, op13_spelling_variants)
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -113,6 +123,16 @@ SELECT f.path AS path, coalesce(o.license, a.license, b.license) AS license, coa
        CASE WHEN o.license IS NOT NULL THEN 'own' WHEN coalesce(a.license, b.license) IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
        CASE WHEN o.license IS NULL THEN coalesce(a.dir, b.dir) END AS from_path
 FROM files f LEFT JOIN own o USING (path) LEFT JOIN dirs a ON a.dir = regexp_replace(f.path, '/[^/]*$', '') LEFT JOIN dirs b ON b.dir = split_part(f.path, '/', 1)
+""",
+    "op11_hard_negatives": """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS alike, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT * FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id AS anchor_id, p.other_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.other_id ORDER BY n.score DESC, n.other_id) AS INTEGER) AS rank,
+       n.other_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.alike AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+QUALIFY rank <= 5
 """,
     "op8_chat_format": """
 WITH turns AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),

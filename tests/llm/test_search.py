@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from memloom.llm import spelling_variants
+from memloom.llm import cross_polytope, hard_negatives, spelling_variants
 
 
 def near(a, b):
@@ -90,3 +90,109 @@ def test_split_buckets(spark):
 
 def test_no_words(spark):
     assert told(spark, [(1, None), (2, "")]) == set()
+
+
+def negatives(rows, is_anchor, scale, n=5):
+    """The contract, anchor by anchor. rows: vec_id, vector, label."""
+    sound = {}
+    for i, v, label in rows:
+        if i is None or label is None or v is None or any(x is None or not np.isfinite(x) for x in v):
+            continue
+        if i not in sound or (label, v) < sound[i]:
+            sound[i] = (label, v)
+    dims = max((len(v) for _, v in sound.values()), default=0)
+    w = {i: np.floor(scale * np.array([*v, *[0.0] * (dims - len(v))])) for i, (_, v) in sound.items()}
+    out = set()
+    for a in filter(is_anchor, sound):
+        scores = sorted((-int(w[a] @ w[i]), i) for i in sound if i != a)
+        mine = [(-s, i) for s, i in scores if sound[i][0] == sound[a][0]][:n]
+        rest = [(-s, i) for s, i in scores if sound[i][0] != sound[a][0]]
+        for p, i in mine:
+            for rank, (s, j) in enumerate([(s, j) for s, j in rest if 80 * p <= 100 * s <= 100 * p][:n], 1):
+                out.add((a, i, rank, j, p, s))
+    return out
+
+
+def embedded(spark, rows):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    return df.withColumns({"score": F.lit("x"), "rank": F.lit(0), "b": F.lit(1), "ids": F.lit(1), "query": F.lit(2)})
+
+
+def clouds(rng, n, dims, spread=0.6, of=7):
+    centres = rng.normal(size=(of, dims))
+    v = centres[rng.integers(0, of, n)] + spread * rng.normal(size=(n, dims))
+    return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+
+
+ODD = [(900, None, 1), (901, [1.0, None], 1), (902, [float("nan")], 1), (903, [float("inf"), 1.0], 2), (904, [0.5], None), (None, [0.5], 1), (905, [], 1), (906, [0.25], 1), (1000, [], 2)]
+
+
+def test_thresholds_lose_nothing():
+    rng = np.random.default_rng(1)
+    for t in range(60):
+        dims = int(rng.integers(1, 40))
+        q = np.floor(rng.normal(size=(rng.integers(1, 20), dims)) * rng.choice([3, 30, 256]) * rng.random(dims) ** 3)
+        v = np.floor(rng.normal(size=(rng.integers(1, 900), dims)) * 30)
+        exact = q @ v.T
+        least = np.quantile(exact, rng.choice([0.0, 0.5, 0.9, 1.0]), axis=1) + rng.integers(-2, 2)
+        a, r, s = hard_negatives.above(q, v, least)
+        assert sorted(zip(a, r, s, strict=True)) == [(i, j, exact[i, j]) for i, j in np.argwhere(exact >= least[:, None])]
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_hard_negatives(spark, few, monkeypatch):
+    """Near and equal scores, copies, a label with one row, rows that take no part; small blocks, broadcast or not."""
+    if not few:
+        monkeypatch.setattr(hard_negatives, "MOST_SENT", 0)
+    rng = np.random.default_rng(2)
+    v = clouds(rng, 400, 12).tolist()
+    rows = [(i, v[i % 370] if i < 399 else v[0], int(rng.integers(0, 5)) if i else 77) for i in range(400)] + ODD
+    rows += [(5, v[5], rows[5][2]), (5, v[6], 99)]  # a repeated row, and another of its id
+    got = hard_negatives.mine(embedded(spark, rows), F.col("vec_id") % 10 == 0, 16, hard_negatives.Mining(rows=64, anchors=16, slab=3)).collect()
+    want = negatives(rows, lambda i: i % 10 == 0, 16)
+    assert len(got) == len(want) > 500 and {tuple(r) for r in got} == want
+    assert hard_negatives.mine(embedded(spark, ODD[:6]), F.col("vec_id") % 10 == 0).count() == 0
+    assert hard_negatives.mine(embedded(spark, []), F.lit(True)).count() == 0
+
+
+def neighbours(rows, is_query, k):
+    ids = [i for i, _, _ in rows]
+    v = np.array([x for _, x, _ in rows], np.float64)
+    out = {}
+    for i, q in zip(ids, v, strict=True):
+        if is_query(i):
+            score = (v * q).sum(1)
+            out[i] = [(j, s) for s, j in sorted((-s, j) for s, j in zip(score.tolist(), ids, strict=True) if j != i)[:k]]
+    return out
+
+
+def found(spark, rows, how):
+    out = {}
+    for r in cross_polytope.nearest(embedded(spark, rows), F.col("vec_id") % 20 == 0, how).orderBy("query_id", "rank").collect():
+        assert r["rank"] == len(out.setdefault(r["query_id"], [])) + 1
+        out[r["query_id"]].append((r["vec_id"], -r["score"]))
+    return out
+
+
+@pytest.mark.parametrize("lengths,cell", [(False, 64), (False, 2), (True, 16)])
+def test_nearest_neighbours(spark, lengths, cell):
+    """Recall against brute force: unit vectors, cells of two axes, and vectors of different lengths, of which many copies."""
+    rng = np.random.default_rng(4)
+    v = clouds(rng, 1200, 24)
+    if lengths:
+        v = v * rng.uniform(0.5, 2, (1200, 1)).astype(np.float32)
+    v[600:700] = v[600]
+    rows = [(i, x, 0) for i, x in enumerate(v.tolist())]
+    got, want = found(spark, rows + rows[:50] + ODD[:6], cross_polytope.Search(cell=cell, rows=100, queries=8)), neighbours(rows, lambda i: i % 20 == 0, 20)
+    assert got.keys() == want.keys() and all(len(x) == 20 for x in got.values())
+    hits = [len({j for j, _ in got[i]} & {j for j, _ in want[i]}) / 20 for i in want]
+    assert np.mean(hits) >= 0.9
+    scores = {i: dict(neighbours(rows, lambda j, i=i: j == i, len(rows))[i]) for i in list(want)[:5]}
+    assert all(abs(scores[i][j] - s) < 1e-12 for i in scores for j, s in got[i])
+
+
+def test_few_vectors(spark):
+    """Fewer candidates than neighbours are all returned; ties go to the smaller id; no candidates, no rows."""
+    rows = [(i, [1.0, 0.0] if i % 2 else [0.0, 2.0], 0) for i in range(0, 13)]
+    assert found(spark, rows, cross_polytope.Search(target=1.0)) == neighbours(rows, lambda i: i == 0, 20)
+    assert found(spark, [(0, [1.0], 0)], cross_polytope.Search()) == found(spark, [], cross_polytope.Search()) == found(spark, [(0, [0.0], 0), (1, [1.0], 0)], cross_polytope.Search()) == {}

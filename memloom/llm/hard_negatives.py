@@ -8,9 +8,10 @@ lowered until the anchor's window is full: five rows of its label, then five of
 keeps what it has for each anchor, so later blocks begin where the window was filled. Nothing is left out on the way: all
 bounds are exact, and a window that never fills is searched to its end.
 
-Two passes. Rows and anchors of a label meet first, in blocks joined by label. Then blocks of anchors, with the scores of
-their positives, meet blocks of rows of other labels: a query set against all rows, in blocks. Anchors are sent to all
-tasks up to MOST_SENT of them, beyond that the blocks are shuffled.
+Two passes. Rows and anchors of a label meet first: labels go to buckets of about a block's rows, and blocks are joined by
+bucket; a bucket of many rows has many blocks. Then blocks of anchors, with the scores of their positives, meet blocks of
+all rows: a query set against all rows, in blocks. Anchors are sent to all tasks up to MOST_SENT of them, beyond that the
+blocks are shuffled.
 
 Nulls and odd rows: rows with a null id, label or vector, or with a component that is null or not finite, take no part. Of
 rows with one id that with the smallest label, then vector, takes part, so repeated rows count once. Shorter vectors end in
@@ -65,27 +66,28 @@ def scaled(frames: Iterable[list], dims: int, scale: float) -> np.ndarray:
     return np.clip(np.floor(out * scale), -(2.0**500), 2.0**500)
 
 
-def _packer(dims: int, scale: float, most: int, more: tuple[str, ...] = ()) -> Callable:
-    """Blocks of up to `most` rows: of one label each, or, where they bring positives along, of any."""
+def _packer(dims: int, scale: float, most: int, key: str | None = None, more: tuple[str, ...] = ()) -> Callable:
+    """Blocks of up to `most` rows, of one value of key each if there is one."""
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def block(f: pd.DataFrame) -> dict:
-            head = {"labels": [f["label"].tolist()]} | {c: [f[c].tolist()] for c in more} if more else {"label": [f["label"].iloc[0]]}
-            return {**head, "ids": [f["vec_id"].tolist()], "m": [scaled(f["embedding"], dims, scale).tobytes()]}
+        def block(k, f: pd.DataFrame) -> pd.DataFrame:
+            head = ({key: [k]} if key else {}) | {c: [f[c].tolist()] for c in more}
+            return pd.DataFrame({**head, "labels": [f["label"].tolist()], "ids": [f["vec_id"].tolist()], "m": [scaled(f["embedding"], dims, scale).tobytes()]})
 
         held: dict = {}
         for frame in frames:
-            for label, f in [("", frame)] if more else frame.groupby("label", sort=False):
-                f = pd.concat([held.pop(label), f]) if label in held else f
+            for k, f in frame.groupby(key, sort=False) if key else [(None, frame)]:
+                f = pd.concat([held.pop(k), f]) if k in held else f
                 while len(f) >= most:
-                    yield pd.DataFrame(block(f.iloc[:most]))
+                    yield block(k, f.iloc[:most])
                     f = f.iloc[most:]
                 if len(f):
-                    held[label] = f
-            while sum(map(len, held.values())) > 4 * most and not more:  # many labels: the fullest goes as it is
-                yield pd.DataFrame(block(held.pop(max(held, key=lambda x: len(held[x])))))
-        for f in held.values():
-            yield pd.DataFrame(block(f))
+                    held[k] = f
+            while sum(map(len, held.values())) > 4 * most:  # the fullest goes as it is
+                k = max(held, key=lambda x: len(held[x]))
+                yield block(k, held.pop(k))
+        for k, f in held.items():
+            yield block(k, f)
 
     return pack
 
@@ -141,13 +143,13 @@ def above(q: np.ndarray, v: np.ndarray, least: np.ndarray, slab: int = 8) -> tup
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def lowered(q: np.ndarray, v: np.ndarray, start: np.ndarray, floor: np.ndarray, factor: float, counts: Callable, enough: int, slab: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def lowered(q: np.ndarray, v: np.ndarray, start: np.ndarray, floor: np.ndarray, factor: float, counts: Callable, enough: np.ndarray, slab: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """above(), its thresholds lowered from start by factor, down to floor, until counts() of an anchor's pairs are enough."""
     todo, least, out = np.arange(len(q)), np.maximum(start, floor), []
     while len(todo):
         a, r, score = above(q[todo], v, least[todo], slab)
         have = np.bincount(a[counts(todo[a], r, score)], minlength=len(todo))
-        over = (have >= enough) | (least[todo] <= floor[todo])
+        over = (have >= enough[todo]) | (least[todo] <= floor[todo])
         done = over[a]
         out.append((todo[a[done]], r[done], score[done]))
         todo = todo[~over]
@@ -215,29 +217,29 @@ def _task(dims: int, how: Mining, negatives: bool) -> Callable:
                     limits = np.array([[*p, *[np.nan] * (how.positives - len(p))] for p in row["q_positives"]], np.float64) if negatives else None
                     held[key] = (q_ids, _Kept(how, len(q_ids), limits))
                 kept = held[key][1]
+                q_labels, v_labels = np.asarray(row["q_labels"]), np.asarray(row["v_labels"])
+                counted = pd.Series(v_labels).value_counts()
+                alike = counted.reindex(q_labels, fill_value=0).to_numpy()
                 if negatives:
-                    other = np.array([x != row["v_label"] for x in row["q_labels"]])
                     least = np.nanmin(kept.limits, 1)
                     base, top = np.ceil(how.low * least / 100), how.high * least
-                    some = np.flatnonzero(other)
                     start, factor = np.floor(0.97 * how.high * least / 100), 0.94
-                    counts = lambda a, r, s, top=top, some=some: 100 * s <= top[some[a]]
+                    enough = np.minimum(how.negatives, len(v) - alike)
                 else:
                     base, top = np.zeros(len(q)), np.full(len(q), np.inf)
-                    some = np.arange(len(q))
                     start, factor = 0.6 * np.sqrt((q * q).sum(1)) * np.sqrt((v * v).sum(1).max()), 0.75
-                    counts = lambda a, r, s, q_ids=q_ids, v_ids=v_ids: q_ids[a] != v_ids[r]
+                    enough = np.minimum(how.positives, alike - np.isin(q_ids, v_ids))
+                fits = lambda a, r, q_labels=q_labels, v_labels=v_labels, q_ids=q_ids, v_ids=v_ids: (q_labels[a] != v_labels[r]) if negatives else (q_labels[a] == v_labels[r]) & (q_ids[a] != v_ids[r])
+                counts = lambda a, r, s, fits=fits, top=top: fits(a, r) & (100 * s <= top[a])
+                floor = kept.floor(base, top)
+                start = np.where(floor > base, floor, np.maximum(start, base))
+                some = np.flatnonzero(enough > 0)
                 if not len(some):
                     continue
-                floor = kept.floor(base, top)
-                full = floor > base
-                start = np.where(full, floor, np.maximum(start, base))
-                most = how.negatives if negatives else how.positives
-                a, r, score = lowered(q[some], v, start[some], floor[some], factor, counts, min(most, len(v)), how.slab)
+                a, r, score = lowered(q[some], v, start[some], floor[some], factor, lambda a, r, s, some=some, counts=counts: counts(some[a], r, s), enough[some], how.slab)
                 a = some[a]
-                if not negatives:
-                    apart = q_ids[a] != v_ids[r]
-                    a, r, score = a[apart], r[apart], score[apart]
+                mine = fits(a, r)
+                a, r, score = a[mine], r[mine], score[mine]
                 kept.add(a, score, v_ids[r])
                 if sum(len(k.a) for _, k in held.values()) > MOST_KEPT:
                     yield from flushed()
@@ -252,22 +254,25 @@ _FOUND = "anchor_id long, vec_id long, score long"
 def mine(rows: DataFrame, anchors: Column, scale: float = 1.0, how: Mining = Mining()) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score of each anchor: rows (vec_id, label, embedding) where `anchors` holds."""
     rows = cut(usable(rows))
-    dims, labels = max(1, rows.agg(F.max(F.size("embedding"))).head()[0] or 1), rows.schema["label"].dataType.simpleString()
-    asked = rows.where(anchors)
-    plain = f"label {labels}, ids array<long>, m binary"
-    few = asked.count() <= MOST_SENT
-    held = cut(rows.mapInPandas(_packer(dims, scale, how.rows), plain).select(F.col("label").alias("v_label"), F.col("ids").alias("v_ids"), F.col("m").alias("v_m")))
-    gathered = asked.repartition("label", F.pmod(F.xxhash64("vec_id"), F.lit(8)))
-    by_label = gathered.mapInPandas(_packer(dims, scale, how.anchors), plain).select(F.col("label").alias("v_label"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"))
-    alike = held.join(F.broadcast(by_label) if few else by_label, "v_label").select("q_ids", "q_m", "v_ids", "v_m")
+    n, dims = rows.agg(F.count("*"), F.max(F.size("embedding"))).head()
+    dims, labels = max(1, dims or 1), rows.schema["label"].dataType.simpleString()
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("label"), F.lit(-(-n // how.rows) or 1)))  # labels of about a block's rows together
+    asked = cut(rows.where(anchors))
+    asking = asked.count()
+    few, plain = asking <= MOST_SENT, f"labels array<{labels}>, ids array<long>, m binary"
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    parts, blocks = max(-(-n // (4 * how.rows)), min(cores, -(-n // 1024)), 1), max(-(-asking // (4 * how.anchors)), 1)
+    named = {"labels": "v_labels", "ids": "v_ids", "m": "v_m"}, {"labels": "q_labels", "ids": "q_ids", "m": "q_m"}
+    by_bucket = [x.repartitionByRange(k, "bucket", "vec_id").mapInPandas(_packer(dims, scale, most, "bucket"), "bucket long, " + plain).withColumnsRenamed(as_) for x, k, most, as_ in ((rows, parts, how.rows, named[0]), (asked, blocks, how.anchors, named[1]))]
+    alike = by_bucket[0].join(F.broadcast(by_bucket[1]) if few else by_bucket[1], "bucket").drop("bucket")
     best = Window.partitionBy("anchor_id").orderBy(F.desc("score"), "vec_id")
     found = alike.mapInPandas(_task(dims, how, False), _FOUND)
     positives = cut(found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= how.positives))
     limits = positives.groupBy(F.col("anchor_id").alias("vec_id")).agg(F.array_sort(F.collect_list("score")).alias("positives"))
     aimed = asked.join(limits, "vec_id").select("vec_id", "label", "embedding", "positives")
-    schema = f"labels array<{labels}>, positives array<array<long>>, ids array<long>, m binary"
-    blocks = aimed.mapInPandas(_packer(dims, scale, how.anchors, ("positives",)), schema).toDF("q_labels", "q_positives", "q_ids", "q_m")
-    pairs = held.crossJoin(F.broadcast(blocks) if few else blocks)
+    sent = aimed.repartition(blocks).mapInPandas(_packer(dims, scale, how.anchors, None, ("positives",)), "positives array<array<long>>, " + plain).withColumnsRenamed({"positives": "q_positives", **named[1]})
+    held = rows.repartition(parts).mapInPandas(_packer(dims, scale, how.rows), plain).withColumnsRenamed(named[0])
+    pairs = held.crossJoin(F.broadcast(sent) if few else sent)
     near = pairs.mapInPandas(_task(dims, how, True), _FOUND).select("anchor_id", F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score"))
     both = positives.select("anchor_id", F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")).join(near, "anchor_id")
     both = both.where((how.low * F.col("positive_score") <= 100 * F.col("negative_score")) & (100 * F.col("negative_score") <= how.high * F.col("positive_score")))

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from memloom.plans import memory_queries, retrieval_queries  # noqa: F401
+from memloom.plans import memory_queries, retrieval_queries, stored_queries  # noqa: F401
 from memloom.plans.catalog import ORACLE_SQL, QUERIES
 
 SMALL = "/root/testdata/sf0.001"

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions.text import is_token, runs
+from memloom.operators.lineage import cut
 
 
 @dataclass(frozen=True)
@@ -55,14 +56,18 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "t
     return each.groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
 
 
-def bm25(posted: DataFrame, terms: DataFrame, how: Blend = Blend()) -> DataFrame:
-    """query_id, memory_id, bm25 of the documents that share a term with a query; statistics are of all postings."""
-    one = F.broadcast(corpus_stats(posted))  # a single row
-    wanted = posted.join(terms, "token")
-    hit = wanted.join(doc_freq(posted.join(terms.select("token").distinct(), "token", "left_semi")), "token").join(doc_length(posted), "memory_id").crossJoin(one)
+def bm25(posted: DataFrame, terms: DataFrame, how: Blend = Blend(), lengths: DataFrame | None = None) -> DataFrame:
+    """query_id, memory_id, bm25 of the documents that share a term with a query; statistics are of all postings.
+
+    lengths: doc_length(posted), where it is kept; else it is counted anew.
+    """
+    lengths = doc_length(posted) if lengths is None else lengths
+    one = F.broadcast(lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")))  # a single row
+    hit = posted.join(terms, "token")
+    df = hit.groupBy("query_id", "token").agg(F.count("*").alias("df"))
     tf = F.col("term_freq")
     part = F.col("qtf") * idf(F.col("n_docs"), F.col("df")) * tf * (how.k1 + 1) / (tf + how.k1 * (1 - how.b + how.b * F.col("dl") / F.col("avgdl")))
-    return hit.groupBy("query_id", "memory_id").agg(F.sum(part).alias("bm25"))
+    return hit.join(df, ["query_id", "token"]).join(lengths, "memory_id").crossJoin(one).groupBy("query_id", "memory_id").agg(F.sum(part).alias("bm25"))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -97,32 +102,34 @@ def min_max(df: DataFrame, *cols: str, by: str = "query_id") -> DataFrame:
 
 
 def hybrid_search(
-    memories: DataFrame, posted: DataFrame, queries: DataFrame, collections: list[str] | None = None, how: Blend = Blend(), vectors: DataFrame | None = None
+    memories: DataFrame, posted: DataFrame, queries: DataFrame, collections: list[str] | None = None, how: Blend = Blend(), vectors: DataFrame | None = None, lengths: DataFrame | None = None
 ) -> DataFrame:
     """The ranked hits of each query.
 
     memories: id, collection, embedding; queries: query_id, text, embedding; vectors: other embeddings than those of
-    memories, as id and embedding. Candidates are the memories of the collections, statistics those of all; both scores are
-    scaled over the candidates and blended; after the top rows are taken, min_score applies to the raw cosine. Texts are
-    not carried along: join them to the hits. Returns query_id, id, score (raw cosine), bm25, combined, rank.
+    memories, as id and embedding; lengths: doc_length(posted), where it is kept. Candidates are the memories of the
+    collections, statistics those of all; both scores are scaled over the candidates and blended; after the top rows are
+    taken, min_score applies to the raw cosine. Texts are not carried along: join them to the hits. Returns query_id, id,
+    score (raw cosine), bm25, combined, rank; ranks go by combined scores of six digits, then ids.
     """
     inside = memories.where(in_collections(collections))
     there = inside.select("id", "embedding") if vectors is None else inside.select("id").join(vectors, "id", "left")
-    near = _nearest(there, queries, how.limit, zeros=True)
-    best = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), "id")
-    closest = near.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= how.limit).select("query_id", "id", "score")
+    # as scaled cosines lie `vector` apart at most twice as closely as cosines do, what is further below can't tie
+    near = _nearest(there, queries, how.limit, apart=4e-6 / how.vector if how.vector else None)
     if not how.keyword:
-        return top(closest.withColumn("bm25", F.lit(0.0)).withColumn("combined", F.col("score")), how).where(F.col("score") >= how.min_score)
-    words = bm25(posted, query_terms(queries), how).withColumnRenamed("memory_id", "id")
-    asked = queries.select("query_id", F.col("embedding").alias("_q"))
-    matched = words.join(there, "id").join(asked, "query_id").select("query_id", "id", cosine(F.col("embedding"), F.col("_q")).alias("score"), "bm25")
+        return top(near.withColumns({"bm25": F.lit(0.0), "combined": F.col("score")}), how).where(F.col("score") >= how.min_score)
+    near = cut(near)  # a few rows for each query and block
+    words = bm25(posted, query_terms(queries), how, lengths).withColumnRenamed("memory_id", "id")
+    asked = normalized(queries.select("query_id", "embedding")).select("query_id", F.col("unit").alias("_q"))
+    units = normalized(there).select("id", "unit")
+    matched = cut(words.join(units, "id").join(asked, "query_id").select("query_id", "id", F.coalesce(F.round(dot(F.col("unit"), F.col("_q")), 12), F.lit(0.0)).alias("score"), "bm25"))
     # of the memories without a word in common, only those with the best cosines can be among the best
-    others = closest.join(matched.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("bm25", F.lit(0.0))
-    ends = near.groupBy("query_id").agg(F.min("low").alias("_low"), F.max("high").alias("_high"))
-    said = matched.groupBy("query_id").agg(F.min("bm25").alias("_least"), F.max("bm25").alias("_most"), F.count("*").alias("_n"))
+    both = matched.unionByName(near.select("query_id", "id", "score", F.lit(0.0).alias("bm25"))).groupBy("query_id", "id").agg(F.max("score").alias("score"), F.max("bm25").alias("bm25"))
+    ends = near.select("query_id", "low", "high", F.lit(None).cast("double").alias("bm25")).unionByName(matched.select("query_id", "bm25"), allowMissingColumns=True)
+    ends = ends.groupBy("query_id").agg(F.min("low").alias("_low"), F.max("high").alias("_high"), F.min("bm25").alias("_least"), F.max("bm25").alias("_most"), F.count("bm25").alias("_n"))
     size = F.broadcast(there.agg(F.count("*").alias("_all")))  # one row
-    scored = matched.unionByName(others).join(ends, "query_id").join(said, "query_id", "left").crossJoin(size)
-    least = F.when(F.coalesce("_n", F.lit(0)) < F.col("_all"), 0.0).otherwise(F.col("_least"))
+    scored = both.join(ends, "query_id").crossJoin(size)
+    least = F.when(F.col("_n") < F.col("_all"), 0.0).otherwise(F.col("_least"))
     combined = how.vector * _scaled(F.col("score"), F.col("_low"), F.col("_high")) + how.keyword * _scaled(F.col("bm25"), least, F.coalesce("_most", F.lit(0.0)))
     return top(scored.withColumn("combined", combined), how).where(F.col("score") >= how.min_score)
 
@@ -159,8 +166,13 @@ def _blocks(vectors: DataFrame, id_col: str, prefix: str, dims: int | None = Non
     return vectors.select(id_col, "embedding").mapInPandas(pack, f"{prefix}_ids array<{kind}>, {prefix}_m binary")
 
 
-def _nearest(vectors: DataFrame, queries: DataFrame, k: int, zeros: bool = False) -> DataFrame:
-    """query_id, id, score of the k best of each block of vectors, with the lowest and highest score in that block. With zeros, null vectors score 0."""
+def _nearest(vectors: DataFrame, queries: DataFrame, k: int, apart: float | None = 0.0, zeros: bool = True) -> DataFrame:
+    """query_id, id, score of what can be among the k best, from each block of vectors, with the lowest and highest score in that block.
+
+    A row is left out if k others of its block have scores higher by more than `apart`, or the same score (of twelve digits)
+    and smaller ids; with apart None, k smaller ids are enough. With zeros, null vectors score 0, else they are left out, and
+    rows are ranked by scores of six digits, then ids.
+    """
     import numpy as np
     import pandas as pd
 
@@ -171,17 +183,28 @@ def _nearest(vectors: DataFrame, queries: DataFrame, k: int, zeros: bool = False
     held = _blocks(vectors, "id", "v", dims if zeros else None)
     pairs = held.crossJoin(F.broadcast(asked) if n <= MOST_SENT * BLOCK else asked)
 
+    def first(q, ties, ids):
+        """Whether each row is among the k of its query and tie with the smallest ids; the rows' order by these."""
+        by = np.lexsort((ids, ties, q))
+        fresh = np.r_[True, (q[by][1:] != q[by][:-1]) | (ties[by][1:] != ties[by][:-1])]
+        place = np.arange(len(by)) - np.maximum.accumulate(np.where(fresh, np.arange(len(by)), 0))
+        return by[place < k]
+
     def best(frames):
         for f in frames:
             for q_ids, q_m, v_ids, v_m in zip(f["q_ids"], f["q_m"], f["v_ids"], f["v_m"], strict=True):
-                ids, names = pd.Series(list(q_ids)), pd.Series(list(v_ids))
-                order = np.argsort(names.to_numpy(), kind="stable")
-                q, v = (np.frombuffer(m).reshape(len(i), -1) for m, i in ((q_m, ids), (v_m, names)))
-                scores = np.round(v[order] @ q.T, 9)
-                near = np.argsort(-scores, axis=0, kind="stable")[:k]
-                at, each = order[near.T.reshape(-1)], len(near)
-                ends = {"low": np.repeat(scores.min(0), each), "high": np.repeat(scores.max(0), each)}
-                yield pd.DataFrame({"query_id": ids.repeat(each).to_numpy(), "id": names.iloc[at].to_numpy(), "score": np.take_along_axis(scores, near, 0).T.reshape(-1), **ends})
+                names, ids = np.asarray(q_ids), np.asarray(v_ids)
+                q, v = (np.frombuffer(m).reshape(len(i), -1) for m, i in ((q_m, names), (v_m, ids)))
+                scores = np.round(q @ v.T, 12)
+                key = scores if apart is not None else np.zeros_like(scores)
+                edge = np.partition(key, -k, 1)[:, -k, None] if len(ids) > k else np.full((len(names), 1), -np.inf)
+                row, col = np.nonzero(key >= edge - max(apart or 0, 1e-6))
+                keep = first(row, -key[row, col], ids[col]) if zeros else np.lexsort((ids[col], -np.round(scores[row, col], 6), row))
+                row, col = row[keep], col[keep]
+                if not zeros:
+                    place = np.arange(len(row)) - np.searchsorted(row, row)
+                    row, col = row[place < k], col[place < k]
+                yield pd.DataFrame({"query_id": names[row], "id": ids[col], "score": scores[row, col], "low": scores.min(1)[row], "high": scores.max(1)[row]})
 
     kinds = (queries.schema["query_id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString())
     return pairs.select("q_ids", "q_m", "v_ids", "v_m").mapInPandas(best, "query_id {}, id {}, score double, low double, high double".format(*kinds))
@@ -191,10 +214,11 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """The k nearest of vectors (id, embedding) to each of queries (query_id, embedding): id, score, rank.
 
     Both are packed into blocks on Spark, each pair of blocks is one matrix product in a task, and only the best k of a block
-    stay for each query; a window then merges them. A query without an embedding has no neighbours.
+    stay for each query; a window then merges them. Both rank by scores of six digits, then ids, so results don't depend on
+    blocks. A query without an embedding has no neighbours. pivots.knn() has the same rows without comparing all.
     """
     order = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), "id")
-    found = _nearest(vectors, queries, k).select("query_id", "id", "score")
+    found = _nearest(vectors, queries, k, zeros=False).select("query_id", "id", "score")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

@@ -83,16 +83,27 @@ def cosine_topk(spark, sf_dir):
     return found.select("id", F.round("score", 6).alias("score"))
 
 
-@query(
-    f"""SELECT query_id, id, score, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, round({COSINE.format(a='e.embedding', b='q.embedding')}, 6) AS score,
+_KNN = f"""SELECT query_id, id, score, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, round({COSINE.format(a='e.embedding', b='q.embedding')}, 6) AS score,
 row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COSINE.format(a='e.embedding', b='q.embedding')}, 6) DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0) WHERE rank <= 5"""
-)
+
+
+@query(_KNN)
 def cosine_knn_batch(spark, sf_dir):
     all_vectors = vectors(spark, sf_dir)
     queries = all_vectors.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
     return R.knn(all_vectors, queries, 5).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(_KNN)
+def pivot_knn(spark, sf_dir):
+    """The same, ruling out blocks of vectors by their angles to pivots."""
+    from memloom.operators import pivots
+
+    all_vectors = vectors(spark, sf_dir)
+    queries = all_vectors.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
+    return pivots.knn(all_vectors, queries, 5).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 def _hybrid_sql(where: str = "TRUE", vector: int = 7, keyword: int = 3, least: float = 0.0, limit: int = 10, select: str = "id, round(score, 6) AS score, round(bm25, 6) AS bm25, round(combined, 6) AS combined, rank", join: str = "LEFT JOIN") -> str:
     def scaled(x):
         return f"CASE WHEN max({x}) OVER () > min({x}) OVER () THEN ({x} - min({x}) OVER ()) / (max({x}) OVER () - min({x}) OVER ()) ELSE {x} END"

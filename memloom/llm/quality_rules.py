@@ -73,7 +73,7 @@ def consistency(share: float, d: int) -> float:
 
 
 def words(text: Column) -> Column:
-    found = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), f"^[{SPACE}]+|[{SPACE}]+$", ""), f"[{SPACE}]+")
+    found = F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+")
     return F.filter(found, lambda w: w != "")
 
 

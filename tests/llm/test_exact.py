@@ -216,6 +216,7 @@ def test_rule_counts(spark, monkeypatch, spared):
     monkeypatch.setattr(quality_rules, "HASH_BITS_SPARED", spared)
     rng = random.Random(5)
     texts = [rng.choice(["", " ", "\n"]) + "".join(rng.choice(["a ", "b ", "é# ", "c\n", "\t", "d\n", " \r\n", " "]) for _ in range(rng.randint(0, 120))) for _ in range(120)]
+    texts += ["one two \u0085", "one two \u2028", "\u2029 one\u2028\n", "a b \r\u0085"]
     got = {r["text"]: r for r in quality_rules.statistics(documents(spark, [*texts, None, LONG])).collect()}
     for t in [*texts, None, LONG]:
         assert tuple(got[t][c] for c in quality_rules.BASE) == counts(t), t

@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Labels are learned from rows of the other remainders only.
@@ -24,6 +24,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD_OUT_REMAINDER, F.lit(False))
 
 
+def sampled(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], most_bytes: int) -> DataFrame:
+    """doc_id, y, o, text: labelled documents that aren't held out, for a model to learn from, in rows and bytes bounded.
+
+    Of each label (0 or 1) at most most[label] rows, first by a hash of the id, then by id and a hash of the text, as long as
+    they have most_bytes bytes together at most; a row without a label, an id or a text is none of them. Rows that repeat an id
+    and a text count once, and of an id's labels the largest counts.
+    """
+    order, mark = F.xxhash64(F.col("doc_id").cast("string")), F.xxhash64("text")
+    told = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    known = docs.select(own(docs, "doc_id").alias("doc_id"), own(docs, "text").alias("text")).where(F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    keys = known.select("doc_id", mark.alias("t"), F.octet_length("text").alias("bytes")).distinct().join(told, "doc_id").withColumn("o", order)
+    picked = None
+    for y, n in most.items():
+        some = keys.where(F.col("y") == y).orderBy("o", "doc_id", "t").limit(n)
+        some = some.withColumn("upto", F.sum("bytes").over(Window.partitionBy("y").orderBy("o", "doc_id", "t")))  # n rows at most
+        some = some.where(F.col("upto") <= most_bytes // len(most)).drop("upto", "bytes")
+        picked = some if picked is None else picked.unionByName(some)
+    return known.withColumn("t", mark).join(F.broadcast(picked), ["doc_id", "t"]).groupBy("doc_id", "y", "o", "t").agg(F.min("text").alias("text")).drop("t")
+
+
 def replacing(df: DataFrame, *names: str) -> DataFrame:
     """df without the columns of these names, in any case, which an operator is about to add."""
     gone = {n.lower() for n in names}

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.common import held_out, own, replacing, slices, sums
+from memloom.llm.common import own, replacing, sampled, slices, sums
 
 BUCKET_BITS = 17
 BUCKETS = 1 << BUCKET_BITS
@@ -33,9 +33,10 @@ _POW = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(64)], np
 
 @dataclass(frozen=True)
 class Training:
-    """Parameters. `sample`: labelled rows at most, the first by a hash of doc_id, half of them from either label where there are so many."""
+    """Parameters. `sample`: labelled rows at most, the first by a hash of doc_id, half of them from either label where there are so many, of `most_bytes` at most together."""
 
     sample: int = 4000
+    most_bytes: int = 64 << 20
     dims: int = 16
     epochs: int = 4
     rate: float = 60.0
@@ -98,11 +99,8 @@ class Model:
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], how: Training = Training()) -> Model:
-    """SGD over (buckets, shares, label) of each labelled document."""
-    labels = np.array([y for *_, y in rows])
-    if len(set(labels)) < 2:
-        return Model(np.zeros(SIZE, np.float32), 0.0)
+def learned(rows: list[tuple[np.ndarray, np.ndarray, int]], how: Training = Training()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """SGD over (buckets, shares, label) of each labelled document: a vector for each bucket, the output's weights, its biases."""
     rng = np.random.default_rng(how.seed)
     table = (rng.standard_normal((SIZE, how.dims)) * 0.1).astype(np.float32)
     out = (rng.standard_normal((how.dims, 2)) * 0.5).astype(np.float32)
@@ -122,6 +120,14 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], how: Training = Training
             out -= 0.2 * rate * np.outer(x, p)
             bias -= 0.02 * rate * p
             table[ids] -= how.rate * rate * (share[:, None] * back + how.l2 * table[ids])
+    return table, out, bias
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], how: Training = Training()) -> Model:
+    """What was learned, folded into a logit for each bucket; scores 0.5 where only one label is known."""
+    if len({y for *_, y in rows}) < 2:
+        return Model(np.zeros(SIZE, np.float32), 0.0)
+    table, out, bias = learned(rows, how)
     side = out[:, 1] - out[:, 0]
     return Model((table @ side).astype(np.float32), float(bias[1] - bias[0]))
 
@@ -129,16 +135,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], how: Training = Training
 def train(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Model:
     """A model from the labelled rows of docs that aren't held out.
 
-    The driver gets the sampled rows' bucket counts, never texts: at most `sample` rows.
+    The driver gets the sampled rows' bucket counts, never texts: at most `sample` rows, of `most_bytes` of text at most.
     """
-    known = docs.select("doc_id", "text").where(~held_out(F.col("doc_id"))).join(
-        labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("y")), "doc_id"
-    )
-    order = F.xxhash64(F.col("doc_id").cast("string"))
-    picked = None
-    for y in (0, 1):
-        ids = known.where(F.col("y") == y).select("doc_id", "y", order.alias("o")).orderBy("o", "doc_id").limit(how.sample // 2)
-        picked = ids if picked is None else picked.unionByName(ids)
+    picked = sampled(docs.withColumn("text", F.coalesce(own(docs, "text"), F.lit(""))), labels, "quality", {0: how.sample // 2, 1: how.sample // 2}, how.most_bytes)
 
     def pack(batches):
         import pyarrow as pa
@@ -147,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Mod
             got = list(counted(b.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([i.tobytes() for i, _ in got], pa.binary()), pa.array([s.tobytes() for _, s in got], pa.binary())], ["doc_id", "y", "ids", "share"])
 
-    rows = docs.select("doc_id", "text").join(picked.select("doc_id", F.col("y").cast("int")), "doc_id").mapInArrow(pack, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, ids binary, share binary").collect()
+    rows = picked.select("doc_id", "text", "y").mapInArrow(pack, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, ids binary, share binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["ids"])))
     return fit([(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["share"], np.float32), r["y"]) for r in rows], how)
 

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.common import held_out, own, replacing, slices
+from memloom.llm.common import own, replacing, sampled, slices
 
 DECAY = 0.8
 #: Distances between the three letters.
@@ -67,9 +67,10 @@ _APART = 6
 
 @dataclass(frozen=True)
 class Training:
-    """Parameters. `sample`: labelled documents at most, the first by a hash of doc_id, a fifth of them toxic where there are so many."""
+    """Parameters. `sample`: labelled documents at most, the first by a hash of doc_id, a fifth of them toxic where there are so many, of `most_bytes` at most together."""
 
     sample: int = 3000
+    most_bytes: int = 32 << 20
     witnesses: int = 1500
     clean_spans: int = 6000
     landmarks: int = 200
@@ -466,16 +467,8 @@ def fitted(texts: list[str], labels: list[int], how: Training = Training()) -> M
 
 
 def train(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Model:
-    """A machine from the labelled rows of docs that aren't held out: at most `sample` rows reach the driver, whole; copies count once."""
-    known = docs.select("doc_id").where(~held_out(F.col("doc_id"))).join(
-        labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("y")), "doc_id"
-    )
-    order = F.xxhash64(F.col("doc_id").cast("string"))
-    picked = None
-    for y, most in ((0, how.sample - how.sample // 5), (1, how.sample // 5)):
-        ids = known.where(F.col("y") == y).select("doc_id", F.col("y").cast("int"), order.alias("o")).distinct().orderBy("o", "doc_id").limit(most)
-        picked = ids if picked is None else picked.unionByName(ids)
-    rows = docs.select("doc_id", "text").join(picked, "doc_id").where("text IS NOT NULL").select("o", "y", "text").collect()
+    """A machine from the labelled rows of docs that aren't held out: at most `sample` rows, of `most_bytes` of text at most, reach the driver, whole; copies count once."""
+    rows = sampled(docs, labels, "toxic", {0: how.sample - how.sample // 5, 1: how.sample // 5}, how.most_bytes).select("o", "y", "text").collect()
     unique = sorted({(r["o"], r["y"], r["text"]) for r in rows})
     unique = list({(y, t): (y, t) for _, y, t in unique}.values())
     del rows

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from test_exact import DOC, LONG, components, documents, fingerprint, ids_of, judged, odd_documents
 
 import corpus_pipeline
-from memloom.llm import language_id, quality_classifier, toxicity
+from memloom.llm import common, language_id, quality_classifier, toxicity
 from memloom.llm.common import held_out
 
 SYLLABLES = {"en": "th er on an re in ed nd ha at".split(), "de": "sch ung en ein ich ver keit ge ß ü".split(), "fr": "eau ou ai eux tre é è que oi ment".split()}
@@ -67,6 +67,35 @@ def test_folded_model_is_the_softmax():
     assert m.score(texts) == pytest.approx([m.score([t])[0] for t in texts]) and rng
 
 
+def test_scores_are_the_softmax_of_averaged_vectors():
+    """Each document's vectors are averaged and put through the output layer one by one, without folding."""
+    texts = [f"word{i % 3} and word{i % 5} {'xyz ' * (i % 4)}" for i in range(40)]
+    rows = [(i, s, k % 2) for k, (i, s) in enumerate(quality_classifier.counted(texts))]
+    how = quality_classifier.Training(epochs=3)
+    table, out, bias = quality_classifier.learned(rows, how)
+    got = quality_classifier.fit(rows, how).score(texts)
+    for score, (ids, share, _) in zip(got, rows, strict=True):
+        mean = np.zeros(how.dims)
+        for b, s in zip(ids, share, strict=True):
+            mean += s * table[b].astype(float)
+        z = [sum(mean[d] * float(out[d, y]) for d in range(how.dims)) + float(bias[y]) for y in (0, 1)]
+        assert score == pytest.approx(np.exp(z[1]) / (np.exp(z[0]) + np.exp(z[1])), abs=1e-4)
+
+
+def test_samples_are_bounded(spark):
+    """One id in 10,000 rows, rows that repeat, long texts: never more rows or bytes than asked for."""
+    rows = [(1, f"text {i % 5000}") for i in range(10_000)] + [(i, "x" * 1000) for i in range(2, 60)] + [(1000, None), (None, "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"t": F.lit("clash"), "bytes": F.lit("clash")})
+    labels = spark.createDataFrame([(i, int(i % 2), int(i % 2)) for i in [*range(1, 60), 1000]], "doc_id long, quality int, toxic int")
+    got = common.sampled(docs, labels, "quality", {0: 10, 1: 300}, 1 << 20).collect()
+    assert len(got) <= 310 and sum(r["y"] == 0 for r in got) == 10 and len({(r["doc_id"], r["text"]) for r in got}) == len(got)
+    assert not any(is_held(r["doc_id"]) for r in got)
+    few = common.sampled(docs, labels, "quality", {0: 10_000, 1: 10_000}, 20_000).collect()
+    assert sum(len(r["text"]) for r in few) <= 20_000 and sum(len(r["text"]) for r in few if r["y"] == 0) > 8000
+    quality_classifier.train(docs, labels, quality_classifier.Training(sample=100))
+    toxicity.train(docs, labels, toxicity.Training(sample=100))
+
+
 def test_toxicity(labelled):
     docs, labels, _, toxic = labelled
     model = toxicity.train(docs, labels)

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memloom.operators import periods
 from memloom.operators import retrieval as R
+from memloom.operators.bucket_table import BucketTable
 from memloom.operators.keyword_index import KeywordIndex
 from memloom.operators.lineage import scratch
 from memloom.plans.catalog import query, spread, table
 from memloom.plans.retrieval_queries import BM25, ITEM_TERMS, POSTINGS, STATS
+from memloom.streaming import turns
 
 _CHANGED = "(SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'fresh words ' || text ELSE text END AS text FROM documents WHERE (doc_id % 7 <> 0 OR doc_id % 5 = 0) AND doc_id % 11 <> 0)"
 _TOP = f"""WITH {POSTINGS.replace("FROM documents", "FROM " + _CHANGED)}, {STATS}, {ITEM_TERMS}, {BM25}
@@ -47,3 +50,54 @@ def block_max_search(spark, sf_dir):
     """The same after a merge, from the blocks that can matter and what has changed since."""
     found = kept_index(spark, sf_dir, True).search(item_terms(spark, sf_dir))
     return found.select("query_id", "id", F.round("bm25", 6).alias("bm25"), "rank")
+
+
+_CUT = "event_id < (SELECT 2 * max(event_id) // 3 FROM events)"
+
+
+@query(
+    f"""WITH a AS (SELECT user_id, event_type, event_id FROM events), first AS (SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM a WHERE {_CUT} GROUP BY user_id),
+later AS (SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM a WHERE NOT {_CUT} AND user_id % 3 = 0 GROUP BY user_id)
+SELECT coalesce(t.user_id, f.user_id) AS user_id, coalesce(t.event_type, f.event_type) AS event_type, coalesce(t.event_id, f.event_id) AS event_id FROM first f FULL JOIN later t ON f.user_id = t.user_id
+WHERE coalesce(t.user_id, f.user_id) % 10 <> 1"""
+)
+def bucket_merge(spark, sf_dir):
+    """The latest event of each user in a stored table: a first load, changes of every third user put in twice under one name, and deletes."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
+    cut_at = e.agg((2 * F.max("event_id") / 3).cast("long").alias("cut"))
+    e = e.crossJoin(F.broadcast(cut_at))  # one row
+    kept = BucketTable(spark, scratch(spark, "bucket-table"), ("user_id",), "event_id", buckets=16)
+    kept.upsert(e.where("event_id < cut").drop("cut"))
+    for _ in range(2):
+        kept.upsert(e.where("event_id >= cut AND user_id % 3 = 0").drop("cut"), "again")
+    kept.delete(e.where("user_id % 10 = 1").select("user_id"))
+    return kept.read()
+
+
+@query(
+    """WITH r AS (SELECT user_id, ts, max(event_id) AS token FROM events WHERE event_type IN ('signup', 'purchase') GROUP BY user_id, ts),
+p AS (SELECT *, least(lead(ts) OVER (PARTITION BY user_id ORDER BY ts), ts + INTERVAL 5 DAY) AS until FROM r)
+SELECT e.event_id AS event_id, p.token AS token FROM events e LEFT JOIN p ON p.user_id = e.user_id AND p.ts <= e.ts AND (until IS NULL OR e.ts < until) WHERE e.event_type NOT IN ('signup', 'purchase')"""
+)
+def token_at_request(spark, sf_dir):
+    """Which token each request had: tokens rotate at sign-ups and purchases and last five days."""
+    e = table(spark, sf_dir, "events")
+    made = e.where("event_type IN ('signup', 'purchase')").select("user_id", F.col("ts").alias("rotated_at"), F.col("event_id").alias("token"))
+    held = periods.periods(made, last_for=F.make_dt_interval(F.lit(5)))
+    asked = e.where("event_type NOT IN ('signup', 'purchase')").select("event_id", "user_id", "ts")
+    return periods.valid_at(asked, held, bin_seconds=2 * 86_400).select("event_id", "token")
+
+
+@query(
+    """WITH p AS (SELECT event_id AS turn_id, ts, 'so far ' || event_type AS text FROM events WHERE event_type <> 'error'),
+f AS (SELECT event_id AS turn_id, ts + to_minutes(CAST(event_id % 20 AS BIGINT)) AS ts, 'all of ' || event_type AS text FROM events WHERE event_id % 3 = 0)
+SELECT coalesce(f.turn_id, p.turn_id) AS turn_id, CASE WHEN f.turn_id IS NULL THEN p.text ELSE f.text END AS text, CASE WHEN f.turn_id IS NULL THEN 'partial' WHEN p.turn_id IS NULL THEN 'fresh' ELSE 'final' END AS state
+FROM p FULL JOIN f ON p.turn_id = f.turn_id AND f.ts >= p.ts AND f.ts <= p.ts + INTERVAL 10 MINUTE"""
+)
+def settled_turns(spark, sf_dir):
+    """Partial turns and their final forms, of which some come too late, some never, and some without a partial: the batch twin of the join of streams."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    partials = e.where("event_type <> 'error'").select(F.col("event_id").alias("turn_id"), "ts", F.concat(F.lit("so far "), "event_type").alias("text"))
+    ended = F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("event_id") % 20).cast("int"))
+    finals = e.where("event_id % 3 = 0").select(F.col("event_id").alias("turn_id"), ended.alias("ts"), F.concat(F.lit("all of "), "event_type").alias("text"))
+    return turns.settled(partials, finals).select("turn_id", "text", "state")

@@ -1,11 +1,15 @@
-"""Streams of events and of changes: idle sessions, keyed upserts, housekeeping."""
+"""Streams of events: idle sessions, housekeeping."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.operators.store import latest, purge, upsert
+from memloom.operators.bucket_table import BucketTable
+from memloom.operators.store import purge
 
 
 def idle_sessions(events: DataFrame, user: str = "user_id", ts: str = "ts", pause_seconds: int = 600, late: str = "10 minutes") -> DataFrame:
@@ -15,17 +19,13 @@ def idle_sessions(events: DataFrame, user: str = "user_id", ts: str = "ts", paus
     return out.select(user, F.col("w.start").alias("session_start"), (F.col("w.end") - F.make_interval(secs=F.lit(pause_seconds))).alias("session_end"), "n_events")
 
 
-def upsert_batches(changes: DataFrame, path: str, keys: list[str], order: str, checkpoint: str):
-    """A running query that keeps at path the latest version of each key: each micro-batch writes the next snapshot beside the last."""
-
-    def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        new = latest(batch, *keys, order=order)
-        old = spark.read.parquet(f"{path}/v{epoch - 1}") if epoch else new.limit(0)  # a lost snapshot stops the query
-        upsert(old, new, *keys).write.mode("overwrite").parquet(f"{path}/v{epoch}")
-
-    return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def housekeep(tick: DataFrame, memories: BucketTable, checkpoint: str, hours: float, now: Callable[[], datetime] | None = None, every: str | None = None):
+    """A running query that purges old conversation rows of a stored table each time tick, a stream of any rows, has something new: once, or again and again."""
 
+    def purge_once(batch: DataFrame, epoch: int) -> None:
+        if (stored := memories.read()) is not None:
+            kept = purge(stored, hours, now() if now else None)
+            memories.delete(stored.select(*memories.keys).join(kept.select(*memories.keys), list(memories.keys), "left_anti"), f"{checkpoint}#{epoch}")
 
-def housekeep(memories: DataFrame, hours: float, now=None) -> DataFrame:
-    return purge(memories, hours, now)
+    query = tick.writeStream.foreachBatch(purge_once).option("checkpointLocation", checkpoint)
+    return (query.trigger(processingTime=every) if every else query.trigger(availableNow=True)).start()

@@ -141,27 +141,6 @@ def test_streams(spark, tmp_path):
     q = sse.accumulate_stream(live).writeStream.format("memory").queryName("sse_out").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [(r["text"], r["final"]) for r in spark.table("sse_out").collect()] == [("hey", True)]
-    q = sessions.upsert_batches(live.select("stream_id", "seq"), str(tmp_path / "out"), ["stream_id"], "seq", str(tmp_path / "c2"))
-    q.awaitTermination(60)
-    assert spark.read.parquet(str(tmp_path / "out" / "v0")).collect()[0]["seq"] == 1
-
-
-def test_upserts_go_on_and_never_lose_the_table(spark, tmp_path):
-    at = lambda *names: str(tmp_path.joinpath(*names))
-
-    def step(*rows):
-        spark.createDataFrame(list(rows), "k long, v long").coalesce(1).write.mode("append").parquet(at("in"))
-        q = sessions.upsert_batches(spark.readStream.schema("k long, v long").parquet(at("in")), at("out"), ["k"], "v", at("c"))
-        q.awaitTermination(60)
-        return q
-
-    step((1, 1), (2, 1))
-    step((2, 5), (3, 1))
-    assert sorted(map(tuple, spark.read.parquet(at("out", "v1")).collect())) == [(1, 1), (2, 5), (3, 1)]
-    (tmp_path / "out" / "v1").rename(tmp_path / "lost")
-    with pytest.raises(Exception, match="v1"):  # the snapshot is gone: fail, instead of a table of the last batch alone
-        step((4, 1))
-        raise AssertionError(step((5, 1)).exception() or "no exception")
 
 
 def test_sources(spark, tmp_path):

@@ -11,8 +11,9 @@ from memloom.operators.bucket_table import BucketTable
 from memloom.operators.keyword_index import KeywordIndex
 from memloom.operators.lineage import scratch
 from memloom.plans.catalog import query, spread, table
+from memloom.plans.memory_queries import stream_chunks
 from memloom.plans.retrieval_queries import BM25, ITEM_TERMS, POSTINGS, STATS
-from memloom.streaming import turns
+from memloom.streaming import ordered, turns
 
 _CHANGED = "(SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'fresh words ' || text ELSE text END AS text FROM documents WHERE (doc_id % 7 <> 0 OR doc_id % 5 = 0) AND doc_id % 11 <> 0)"
 _TOP = f"""WITH {POSTINGS.replace("FROM documents", "FROM " + _CHANGED)}, {STATS}, {ITEM_TERMS}, {BM25}
@@ -101,3 +102,16 @@ def settled_turns(spark, sf_dir):
     ended = F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("event_id") % 20).cast("int"))
     finals = e.where("event_id % 3 = 0").select(F.col("event_id").alias("turn_id"), ended.alias("ts"), F.concat(F.lit("all of "), "event_type").alias("text"))
     return turns.settled(partials, finals).select("turn_id", "text", "state")
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS stream_id, string_agg(text, '' ORDER BY turn) AS text, TRUE AS final FROM conversations GROUP BY conv_id")
+def ordered_streams(spark, sf_dir):
+    """Conversations as token streams whose chunks, halves of events, come shuffled in four micro-batches."""
+    whole = stream_chunks(spark, sf_dir)
+    middle = F.floor(F.length("chunk") / 2).cast("int")
+    halves = F.array(F.struct((2 * F.col("seq")).alias("seq"), F.substring("chunk", F.lit(1), middle).alias("chunk")), F.struct((2 * F.col("seq") + 1).alias("seq"), F.substring("chunk", middle + 1, F.length("chunk")).alias("chunk")))
+    chunks = whole.select(F.col("stream_id").cast("string"), F.explode(halves).alias("h")).select("stream_id", "h.seq", "h.chunk")
+    at, to, checkpoint = (scratch(spark, f"streams-{x}") for x in ("in", "out", "state"))
+    chunks.repartitionByRange(4, F.xxhash64("stream_id", "seq")).write.parquet(at)
+    ordered.text_of(spark, at, to, checkpoint, flush_seconds=3600, give_up_seconds=3600)
+    return spark.read.parquet(to).select("stream_id", "text", "final")

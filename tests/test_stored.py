@@ -1,6 +1,7 @@
 """Stored tables and streams into them: bucket merges, periods, settled turns, housekeeping."""
 
 import random
+import time
 from datetime import datetime, timedelta, timezone
 from pathlib import Path
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from memloom.operators import periods, store
 from memloom.operators.bucket_table import BucketTable, merge_stream
-from memloom.streaming import sessions, turns
+from memloom.streaming import ordered, sessions, sse, turns
 
 
 def files_of(path):
@@ -134,3 +135,56 @@ def test_empty_periods(spark, rows):
     asked = spark.createDataFrame([(1, 1, datetime(2023, 1, 1))], "id long, user_id long, ts timestamp_ntz")
     assert [r["token"] for r in periods.valid_at(asked, held).collect()] == [None]
     assert periods.valid_at(asked.limit(0), held).count() == 0
+
+
+def event(text):
+    return 'data: {"choices":[{"delta":{"content":"%s"}}]}\n\n' % text
+
+
+def test_chunks_in_any_order(spark, tmp_path):
+    """Pieces of events shuffled over many micro-batches, some twice: the text of accumulate()."""
+    rng = random.Random(7)
+    at = lambda name: f"file://{tmp_path}/{name}"
+    rows = []
+    for s in range(12):
+        said = "".join(event(f"w{s}.{i} ") for i in range(rng.randint(1, 8))) + "data: [DONE]\n\n"
+        cuts = sorted({0, len(said), *(rng.randrange(len(said)) for _ in range(6))})
+        rows += [(str(s), i, said[a:b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    whole = spark.createDataFrame(rows, "stream_id string, seq long, chunk string")
+    sent = rows + rows[::5]
+    rng.shuffle(sent)
+    for k in range(5):
+        spark.createDataFrame(sent[k::5], whole.schema).coalesce(1).write.mode("append").parquet(at("in"))
+    ordered.text_of(spark, at("in"), at("out"), at("c"), flush_seconds=3600, give_up_seconds=3600)
+    assert rows_of(spark.read.parquet(at("out")).select("stream_id", "text", "final")) == rows_of(sse.accumulate(whole).select("stream_id", "text", "done"))
+
+
+def test_pauses_gaps_and_ends(spark, tmp_path):
+    """A pause flushes what has come, a lost chunk is given up, the end flushes the rest, and what comes later is ignored."""
+    at = lambda name: f"file://{tmp_path}/{name}"
+    schema = "stream_id string, seq long, chunk string"
+
+    def send(*rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(at("in"))
+
+    def wait(what):
+        for _ in range(120):
+            if {tuple(r) for r in spark.table("pauses").collect()} >= what:
+                return
+            time.sleep(0.5)
+        raise AssertionError(spark.table("pauses").collect())
+
+    spark.conf.set(*ordered.STORE)
+    send(("a", 1, event("two")), ("a", 0, event("one ")), ("b", 0, event("x") + "data: [DONE]\n\n"))
+    live = spark.readStream.schema(schema).parquet(at("in"))
+    q = ordered.accumulate_ordered(live, 1, 3).writeStream.format("memory").queryName("pauses").option("checkpointLocation", at("c")).outputMode("append").trigger(processingTime="0 seconds").start()
+    try:
+        wait({("a", 0, "one two", False), ("b", 0, "x", True)})
+        send(("a", 3, event("behind the gap")), ("b", 1, event("late")))
+        wait({("a", 1, "behind the gap", False)})
+        send(("a", 4, event("last") + "data: [DONE]\n\n"), ("a", 2, event("too late")))
+        wait({("a", 2, "last", True)})
+        assert sorted(map(tuple, spark.table("pauses").collect())) == [("a", 0, "one two", False), ("a", 1, "behind the gap", False), ("a", 2, "last", True), ("b", 0, "x", True)]
+    finally:
+        q.stop()
+        spark.conf.unset(ordered.STORE[0])

@@ -51,10 +51,10 @@ class BucketTable:
         found = self._rows(self.versions())
         return found.drop("bucket") if found is not None else None
 
-    def _write(self, rows: DataFrame, touched: list[int], name: str | None) -> int:
+    def _write(self, rows: DataFrame, touched: list[int], name: str | None, **more) -> int:
         number = self.ledger.claim()
         rows.repartition(max(1, len(touched)), "bucket").withColumn("version", F.lit(number)).write.mode("append").partitionBy("bucket", "version").parquet(f"{self.path}/rows")
-        self.ledger.commit(number, buckets=touched, name=name)
+        self.ledger.commit(number, buckets=touched, name=name, **more)
         return number
 
     def _done(self, name: str | None) -> int | None:

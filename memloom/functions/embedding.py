@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import hmac
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,28 +59,29 @@ def to_blob(vectors: pd.Series) -> pd.Series:
     return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
 
 
-def password_hash(salt_hex: str, iterations: int = 600_000):
-    """pbkdf2:iterations:salt:key of a password."""
+@F.pandas_udf(T.StringType())
+def _derived(passwords: pd.Series, salts: pd.Series, iterations: pd.Series) -> pd.Series:
+    def made(password, salt, n):
+        return None if password is None or salt is None else f"pbkdf2:{n}:{salt}:" + hashlib.pbkdf2_hmac("sha256", password.encode(), bytes.fromhex(salt), int(n), 32).hex()
 
-    @F.udf("string")
-    def made(password: str | None) -> str | None:
-        import hashlib
+    return pd.Series([made(*x) for x in zip(passwords, salts, iterations, strict=True)], dtype=object)
 
-        return password and f"pbkdf2:{iterations}:{salt_hex}:" + hashlib.pbkdf2_hmac("sha256", password.encode(), bytes.fromhex(salt_hex), iterations, 32).hex()
 
-    return made
+def password_hash(password: Column, salt: Column, iterations: int = 600_000) -> Column:
+    """pbkdf2:iterations:salt:key of a password and a salt in hexadecimal."""
+    return _derived(password, salt, F.lit(iterations))
 
 
-@F.udf(T.BooleanType())
-def password_matches(password: str | None, stored: str | None) -> bool:
-    import hashlib
-    import hmac
-
-    try:
-        kind, iterations, salt, key = (stored or "").split(":")
-        made = hashlib.pbkdf2_hmac("sha256", (password or "").encode(), bytes.fromhex(salt), int(iterations), len(key) // 2)
-        return kind == "pbkdf2" and hmac.compare_digest(made, bytes.fromhex(key))
-    except ValueError:
-        return False
+@F.pandas_udf(T.BooleanType())
+def password_matches(passwords: pd.Series, stored: pd.Series) -> pd.Series:
+    """Whether a password is the one that was stored; false for what can't be read. Keys are compared in constant time."""
 
+    def same(password, kept):
+        try:
+            kind, iterations, salt, key = (kept or "").split(":")
+            made = hashlib.pbkdf2_hmac("sha256", (password or "").encode(), bytes.fromhex(salt), int(iterations), len(key) // 2)
+            return kind == "pbkdf2" and hmac.compare_digest(made, bytes.fromhex(key))
+        except ValueError:
+            return False
 
+    return pd.Series([same(*x) for x in zip(passwords, stored, strict=True)])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import configparser
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -120,17 +120,29 @@ class Settings:
     max_search_limit: int = 0
     cleanup_max_age_hours: float = 336.0
     stream_flush_seconds: int = 8
+    #: Model names and what they stand for: the section `models`.
+    model_aliases: dict = field(default_factory=dict)
 
 
 def load_settings(text: str) -> Settings:
     parser = configparser.ConfigParser(comment_prefixes=("#", ";"), inline_comment_prefixes=("#",), interpolation=None, strict=False)
+    parser.optionxform = str  # names of models have capitals
     parser.read_string(text)
     out = Settings()
     for section in parser.sections():
         for f in fields(Settings):
-            if parser.has_option(section, f.name):
+            if f.type != "dict" and parser.has_option(section, f.name):
                 raw = parser.get(section, f.name).strip()
                 setattr(out, f.name, raw.lower() in ("true", "yes", "1") if f.type == "bool" else {"int": int, "float": float}[f.type](raw))
+    out.model_aliases = {k: v.strip() for k, v in parser.items("models")} if parser.has_section("models") else {}
     if out.max_search_limit > 0 and not 0 < out.limit <= out.max_search_limit:
         out.limit = out.max_search_limit
     return out
+
+
+def resolved(model: Column, aliases: dict[str, str]) -> Column:
+    """What a model's name stands for; a name that is no alias stands for itself, and aliases aren't followed twice."""
+    if not aliases:
+        return model
+    known = F.create_map(*[F.lit(x) for pair in sorted(aliases.items()) for x in pair])
+    return F.coalesce(F.element_at(known, model), model)

@@ -98,6 +98,16 @@ def token_hash(token: Column) -> Column:
     return F.sha2(token, 256)
 
 
+def new_token() -> Column:
+    """A random token of 32 bytes, a new one at each evaluation."""
+    return base64url(F.unhex(F.sha2(F.concat(F.uuid(), F.uuid()), 256)))
+
+
+def comma_parts(text: Column) -> Column:
+    """What stands between commas, trimmed of blanks, without empty parts."""
+    return F.filter(F.transform(F.split(text, ","), lambda t: F.regexp_replace(t, r"\A[ \t]+|[ \t]+\z", "")), lambda t: t != "")
+
+
 def iso_utc(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memloom.functions.text import comma_parts
+
 #: Keys that have columns of their own.
 LIFTED = ("collection", "category", "tags", "timestamp", "keep", "bad")
 FLAGS = ("keep", "bad")
@@ -58,7 +60,7 @@ def merge_metadata(df: DataFrame, json: str = "metadata") -> DataFrame:
 
 def backfilled_tags(tags: Column, keep: Column, bad: Column) -> Column:
     """Old rows: tags split at commas, trimmed, flags added unless they are there exactly."""
-    parts = F.filter(F.transform(F.split(tags, ","), lambda t: F.trim(t)), lambda t: t != "")
+    parts = comma_parts(tags)
     for flag, on in (("keep", keep), ("bad", bad)):
         parts = F.when(on & ~F.array_contains(parts, flag), F.concat(parts, F.array(F.lit(flag)))).otherwise(parts)
     return F.array_join(parts, ",")

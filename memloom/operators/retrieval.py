@@ -37,8 +37,12 @@ def doc_freq(posted: DataFrame) -> DataFrame:
     return posted.groupBy("token").agg(F.count("*").alias("df"))
 
 
-def doc_length(posted: DataFrame) -> DataFrame:
-    return posted.groupBy("memory_id").agg(F.sum("term_freq").alias("dl"))
+def doc_length(posted: DataFrame, memories: DataFrame | None = None) -> DataFrame:
+    """memory_id, dl of what has a posting; with memories (id) also of those that have none, so that they count in N and the average."""
+    lengths = posted.groupBy("memory_id").agg(F.sum("term_freq").alias("dl"))
+    if memories is None:
+        return lengths
+    return memories.select(F.col("id").alias("memory_id")).join(lengths, "memory_id", "left").select("memory_id", F.coalesce("dl", F.lit(0)).cast("long").alias("dl"))
 
 
 def corpus_stats(posted: DataFrame) -> DataFrame:

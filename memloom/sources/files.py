@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 TURN = "session_id string, timestamp string, role string, text string, seq long"
 
 
-def text_files(spark: SparkSession, path: str) -> DataFrame:
-    """path and text, a row for each whole file."""
+def text_files(spark: SparkSession, path: str, in_order: bool = False) -> DataFrame:
+    """path and text, a row for each whole file; in order of their paths if asked."""
+    found = _text_files(spark, path)
+    return found.orderBy("path") if in_order else found
+
+
+def _text_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 

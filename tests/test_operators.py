@@ -1,4 +1,6 @@
+import hashlib
 import json
+import math
 from datetime import datetime, timezone
 
 import numpy as np
@@ -159,7 +161,7 @@ def test_embedding(spark):
     assert a @ b > a @ c and abs(np.linalg.norm(a) - 1) < 1e-4 and np.isfinite(embedding.hashed("")).all()
     df = spark.createDataFrame([([1.0, 2.5],), (None,)], "v array<float>")
     assert [r[0] for r in df.select(embedding.from_blob(embedding.to_blob("v"))).collect()] == [[1.0, 2.5], None]
-    hashed = spark.createDataFrame([("pw",)], "p string").select("p", embedding.password_hash("00" * 16, 1000)("p").alias("h"))
+    hashed = spark.createDataFrame([("pw",)], "p string").select("p", embedding.password_hash(F.col("p"), F.lit("00" * 16), 1000).alias("h"))
     assert hashed.select(embedding.password_matches("p", "h"), embedding.password_matches(F.lit("no"), "h")).head()[:] == (True, False)
 
 
@@ -257,3 +259,49 @@ def test_hybrid_batch_by_brute_force(spark):
     for r in retrieval.hybrid_search(mem, posted, ask, ["c"], how).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["id"])
     assert got == want
+
+
+def test_accounts(spark, tmp_path):
+    from memloom.operators import accounts
+    from memloom.operators.bucket_table import BucketTable
+
+    users = BucketTable(spark, f"file://{tmp_path}/users", ("username",), "modified", buckets=4)
+    at = lambda t: F.lit(f"2024-01-0{t} 00:00:00").cast("timestamp")
+    names = lambda *x: spark.createDataFrame([(n,) for n in x], "username string")
+    new = accounts.created(names("ann", "bo", "ann", None), None, at(1))
+    tokens = {r["username"]: r["token"] for r in new.collect()}
+    users.upsert(new.drop("token"))
+    stored = {r["username"]: r for r in users.read().collect()}
+    assert stored.keys() == {"ann", "bo"} and len(set(tokens.values())) == 2 and all(len(t) == 43 for t in tokens.values())
+    assert all(hashlib.sha256(tokens[u].encode()).hexdigest() == r["token_hash"] for u, r in stored.items())
+    assert [r["username"] for r in accounts.created(names("ann", "cy"), users.read()).collect()] == ["cy"]
+    users.upsert(accounts.with_passwords(users.read(), spark.createDataFrame([("ann", "secret"), ("nobody", "x"), ("bo", None)], "username string, password string"), 1000, at(2)))
+    users.upsert(accounts.with_models(users.read(), spark.createDataFrame([("bo", "m1")], "username string, model string"), at(2)))
+    checked = users.read().select("username", embedding.password_matches(F.lit("secret"), "password_hash").alias("ok"), "preferred_model")
+    assert sorted(map(tuple, checked.collect())) == [("ann", True, None), ("bo", False, "m1")]
+    fresh = accounts.rotated(users.read(), "2024-01-02T00:00:00Z", at(3))
+    users.upsert(fresh.drop("token"))
+    after = {r["username"]: r for r in users.read().collect()}
+    assert all(after[u]["token_hash"] != r["token_hash"] and after[u]["created"] == r["created"] and after[u]["token_rotated_at"] == "2024-01-03T00:00:00Z" for u, r in stored.items())
+    assert accounts.rotated(users.read(), "2024-01-03T00:00:00Z").count() == 0
+    users.delete(names("bo", "nobody"))
+    assert [r["username"] for r in users.read().collect()] == ["ann"]
+
+
+def test_aliases_order_and_empty_documents(spark, tmp_path):
+    from memloom.functions import routing, text
+    from memloom.operators import retrieval
+
+    assert routing.load_settings("[models]\nsmall = a/b-1\n[search]\nlimit = 3\n").model_aliases == {"small": "a/b-1"}
+    m = spark.createDataFrame([("small",), ("other",), (None,)], "m string")
+    assert [r[0] for r in m.select(routing.resolved(F.col("m"), {"small": "a/b-1", "a/b-1": "x"})).collect()] == ["a/b-1", "other", None]
+    assert m.select(text.comma_parts(F.lit(" a,\tb ,, c d,"))).head()[0] == ["a", "b", "c d"]
+    for name in ("b.md", "a.md", "c.md"):
+        (tmp_path / name).write_text(name)
+    assert [r["text"] for r in files.text_files(spark, str(tmp_path), in_order=True).collect()] == ["a.md", "b.md", "c.md"]
+    docs = spark.createDataFrame([(1, "apple pear"), (2, "apple"), (3, ""), (4, None)], "id long, text string")
+    posted, terms = retrieval.postings(docs), retrieval.query_terms(spark.createDataFrame([(0, "apple")], "query_id long, text string"))
+    n, average = 4, 3 / 4
+    want = {i: math.log((n - 2 + 0.5) / 2.5 + 1) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * dl / average)) for i, dl in ((1, 2), (2, 1))}
+    got = {r["memory_id"]: r["bm25"] for r in retrieval.bm25(posted, terms, lengths=retrieval.doc_length(posted, docs)).collect()}
+    assert got == pytest.approx(want)

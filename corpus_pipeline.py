@@ -32,9 +32,12 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents and their places in sequences of 4,096 ids."""
-    return packing.pack(docs)
+    return packing.pack(docs, kept_words=WORDS_KEPT)
 
 
+#: Words whose ids a worker keeps: fewer than packing alone does, as its workers have run the stages before and keep their memory.
+WORDS_KEPT = 100_000
+
 STAGES = [("quality", quality), ("toxicity", toxic), ("near_dedup", near_copies), ("decontamination", decontaminated), ("packing", packed)]
 
 #: The classifiers are trained, and the packing is greedy, so SQL can't express the pipeline; tests compare its stages with brute force.

@@ -27,7 +27,7 @@ from memloom.llm.common import cut
 CAPACITY = 4096
 
 
-def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, kept_words: int = tokens.KEPT_WORDS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, ids (binary, little-endian unsigned 32-bit)."""
     import pyarrow as pa
 
@@ -38,7 +38,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
         for b in batches:
             rows: list[tuple] = []
             held = 0
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), tokens.encoder(path).encode(b.column("text").to_pylist()), strict=True):
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), tokens.encoder(path, kept_words).encode(b.column("text").to_pylist()), strict=True):
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
@@ -155,10 +155,10 @@ def places(patterns) -> dict[str, np.ndarray]:
     return dict(zip(("key", "sequence", "each", "offset"), np.array(rows, np.int64).reshape(-1, 4).T, strict=True))
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """The pieces with sequence_id and offset; sequences() makes texts of ids of them."""
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, kept_words: int = tokens.KEPT_WORDS) -> DataFrame:
+    """The pieces with sequence_id and offset; sequences() makes texts of ids of them. kept_words: words whose ids a worker keeps, some 200 bytes each."""
     spark = docs.sparkSession
-    found = cut(pieces(docs, tokenizer, capacity, with_ids)).withColumn("part", F.spark_partition_id())
+    found = cut(pieces(docs, tokenizer, capacity, with_ids, kept_words)).withColumn("part", F.spark_partition_id())
     counts = found.groupBy("part", "length").agg(F.count("*").alias("n"))
     counts = cut(counts)
     before = counts.select("part", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))

@@ -22,7 +22,7 @@ KEPT_WORDS, TEXTS, NEW_WORDS = 500_000, 256, 2_000
 _BETWEEN = "\x01"
 #: What the last token of a word ends with.
 _WORD_END = "</w>"
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
 def _words(text: str | None) -> list[str]:
@@ -123,11 +123,11 @@ def _gaps(got: list) -> list[int]:
     return at
 
 
-def encoder(path: str) -> WordEncoder:
-    """This worker's encoder of the vocabulary file. The file is installed on every node, or shipped with --files."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+def encoder(path: str, kept: int = KEPT_WORDS) -> WordEncoder:
+    """This worker's encoder of the vocabulary file, which keeps the ids of so many words. The file is installed on every node, or shipped with --files."""
+    if (path, kept) not in _encoders:
+        _encoders[path, kept] = WordEncoder(path, kept)
+    return _encoders[path, kept]
 
 
 def default_path() -> str:

@@ -211,21 +211,21 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """A row for each of docs: doc_id, mark (a hash of the text), fingerprint (16 hex digits), component_id (the smallest doc_id that links reach)."""
+    """A row for each of docs: doc_id, mark (a hash of the text), fingerprint (16 hex digits), component_id (the smallest doc_id that links reach), root (the component, also of rows that share an id)."""
     kept = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
     marked = cut(with_fingerprints(kept).select("doc_id", "mark", "fp"))
     points = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     found = cut(components(links(points, most)))
     rooted = points.join(found, points["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = rooted.join(ids, "root").select("fp", "component_id")
-    return marked.join(of, "fp").select("doc_id", "mark", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of = rooted.join(ids, "root").select("fp", "component_id", "root")
+    return marked.join(of, "fp").select("doc_id", "mark", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "root")
 
 
 def keep_one(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """One row of docs for each component, of the smallest doc_id; of repeated rows with that id, one."""
-    told = classes(docs, most).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = told.groupBy(F.col("doc_id").alias("_id"), "component_id", F.when(F.col("doc_id").isNull(), F.col("fingerprint")).alias("null_kind")).agg(F.min("mark").alias("_mark"))
+    """One row of docs for each component: that of the smallest doc_id (a null one if there is no other), of its texts one; rows that repeat it count once. Rows that share an id and aren't near copies are components of their own."""
+    first = classes(docs, most).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("_m"))
+    first = first.select(F.col("_m.doc_id").alias("_id"), F.col("_m.mark").alias("_mark"))
     rows = docs.select(packed(docs), own(docs, "doc_id").alias("_doc"), F.xxhash64(own(docs, "text")).alias("_key"))
     kept = rows.join(first, rows["_doc"].eqNullSafe(first["_id"]) & (rows["_key"] == first["_mark"]), "left_semi")
     return kept.dropDuplicates(["_doc", "_key"]).select("_row.*")

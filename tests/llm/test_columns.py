@@ -55,3 +55,20 @@ def test_operators(spark, odd, at, tmp_path):
     assert license_scan.scan(odd.withColumn("path", F.concat(F.lit("d/"), "doc_id"))).count() == 26
     turns = odd.withColumnsRenamed({"doc_id": "conv_id"}).withColumns({"turn": F.lit(1), "role": F.lit("user")})
     assert chat_format.render(turns).count() == 26
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_of_an_empty_table(spark, odd, at, name, stage):
+    assert stage(spark, odd.limit(0), at).count() == 0
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES[:-1])
+def test_stages_keep_rows_that_repeat_an_id(spark, at, name, stage):
+    """Clean documents that share an id and differ in text are rows of their own: none goes because of another, and none is doubled."""
+    texts = [f"plain words of text {i} and {' '.join(f'v{i * 11 + k}' for k in range(60))}" for i in range(12)]
+    docs = documents(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") < 4, 5).otherwise(F.col("doc_id")).cast("long"))
+    out = stage(spark, docs, at)
+    kept = sorted((r["doc_id"], r["text"]) for r in out.collect())
+    assert len(kept) == len(set(kept)) and set(kept) <= {(r["doc_id"], r["text"]) for r in docs.collect()}
+    if name in ("near_dedup", "decontamination"):
+        assert len(kept) == 12

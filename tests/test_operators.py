@@ -305,3 +305,25 @@ def test_aliases_order_and_empty_documents(spark, tmp_path):
     want = {i: math.log((n - 2 + 0.5) / 2.5 + 1) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * dl / average)) for i, dl in ((1, 2), (2, 1))}
     got = {r["memory_id"]: r["bm25"] for r in retrieval.bm25(posted, terms, lengths=retrieval.doc_length(posted, docs)).collect()}
     assert got == pytest.approx(want)
+
+
+def test_bm25_from_postings_of_the_terms(spark):
+    """Postings of a query's words and lengths from texts score as all postings do, and only those postings are moved."""
+    rows = [(1, "alpha beta beta gamma"), (1, "alpha delta"), (2, "beta the cafe"), (3, None), (4, ""), (5, "omega " * 30 + "ALPHA"), (6, "deadbeef psi")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    terms = spark.createDataFrame([(1, "alpha", 1), (1, "beta", 2), (2, "beta", 1), (2, "nowhere", 1), (3, "psi", 1)], "query_id long, token string, qtf long")
+    everything = retrieval.postings(docs)
+    some, lengths = retrieval.postings(docs, terms=terms), retrieval.text_length(docs)
+    assert sorted(map(tuple, some.collect())) == sorted(tuple(r) for r in everything.collect() if r["token"] in ("alpha", "beta", "psi"))
+    assert sorted(map(tuple, lengths.collect())) == sorted(map(tuple, retrieval.doc_length(everything).collect()))
+    scores = lambda df: {(r["query_id"], r["memory_id"]): round(r["bm25"], 9) for r in df.collect()}
+    want = scores(retrieval.bm25(everything, terms))
+    assert len(want) == 6 and scores(retrieval.bm25(some, terms, lengths=lengths)) == want
+
+
+def test_texts_of_hits_are_not_shuffled(spark):
+    docs = spark.range(50).select("id", F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    hits = spark.createDataFrame([(1, 7, 2), (1, 9, 1), (2, 7, 1)], "query_id long, id long, rank int")
+    said = retrieval.texts_of(hits, docs)
+    assert "SortMergeJoin" not in said._jdf.queryExecution().toString() and said.count() == 3
+    assert {r["query_id"]: r["context"] for r in retrieval.context_block(hits, docs).collect()} == {1: "text 9\n\n---\n\ntext 7", 2: "text 7"}

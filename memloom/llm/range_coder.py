@@ -25,8 +25,8 @@ SEGMENT, LANES, SHORTEST = 1 << 22, 2048, 512
 #: Bits of a hashed order-2 context, classes of sureness, bits of the mixture's weights, how fast they move.
 SLOT_BITS, CLASS_BITS, WEIGHT_BITS, RATE = 15, 3, 12, 6
 CLASSES = 1 << CLASS_BITS
-#: What the adaptive weights count to; every so many blocks the predictions are counted in, where a segment has many ids.
-FULL, STRIDE = 65_535, 4
+#: What the adaptive weights count to.
+FULL = 65_535
 _WHOLE, _LEAST, _WORD = 2.0**48, 2.0**32, 65_536.0
 
 
@@ -94,12 +94,8 @@ class Predictions:
         freq[0] += (1 << bits) - freq.sum()
         slot_bits = max(6, min(SLOT_BITS, n.bit_length() - 7))
         before, before_that = _history(symbols, block)
-        if (stride := max(1, min(STRIDE, n >> 18))) > 1:
-            some = [x.reshape(-1, block)[::stride].reshape(-1) for x in (y[: n // block * block] for y in (symbols, before, before_that))]
-        else:
-            some = [symbols, before, before_that]
-        one = _leaders(some[1], some[0], m)
-        two = _leaders(_slot(some[1], some[2], slot_bits), some[0], 1 << slot_bits)
+        one = _leaders(before, symbols, m)
+        two = _leaders(_slot(before, before_that, slot_bits), symbols, 1 << slot_bits)
         return cls(known.astype(np.uint32), freq.astype(np.float64), np.stack(one[:2], axis=1), one[2], two[0], two[2], np.zeros((CLASSES**2, 2), np.int32)), symbols
 
     def named(self, before: np.ndarray, before_that: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,8 +114,7 @@ class Predictions:
             two, one, contexts[t] = self.named(lanes[t - 1] if t else zero, lanes[t - 2] if t > 1 else zero)
             miss = x != two
             np.add(miss, miss & (x != one), out=kinds[t], dtype=np.int8)
-            if t % STRIDE == 0:
-                seen += np.bincount(contexts[t] * np.int16(3) + kinds[t], minlength=len(seen))
+            seen += np.bincount(contexts[t] * np.int16(3) + kinds[t], minlength=len(seen))
         share = seen.reshape(-1, 3) + (0.3, 0.3, 1.0)
         self.weights[:] = np.floor(FULL * share[:, :2] / share.sum(1, keepdims=True))
         return kinds, contexts

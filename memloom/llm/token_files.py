@@ -21,9 +21,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memloom.llm import range_coder, tokens
+from memloom.llm.common import cut
 
-#: Ids that a chunk holds, before its last document; bytes of text meant for a part; rows of the sample that parts are bound by.
-CHUNK, PART, SAMPLE = 1 << 22, 32 << 20, 50_000
+#: Ids that a chunk holds, before its last document; bytes of text meant for a part.
+CHUNK, PART = 1 << 22, 32 << 20
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -35,17 +36,36 @@ def _key(doc_id, mark: int, row: int) -> tuple:
 
 
 def bounds(docs: DataFrame, part: int = PART) -> list[tuple]:
-    """The first keys of all parts but the first, from a sample of at most about SAMPLE rows, weighed by length; one part, or parts of about `part` bytes."""
-    sized = _keyed(docs).select("doc_id", "_mark", "_row", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
-    n, total = sized.agg(F.count("*"), F.sum("size")).head()
-    parts = -(-(total or 0) // part)
+    """The first keys of all parts but the first, which has the same bytes of text as each other, up to a document: from every row's key and length.
+
+    Keys and lengths, without texts, are ordered by range; each partition's total is one row, and only the keys of rows that
+    a part begins with leave their task.
+    """
+    import pyarrow as pa
+
+    keys = ("doc_id", "_mark", "_row")
+    sized = cut(_keyed(docs).select(*keys, (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size")))
+    total, n = sized.agg(F.sum("size"), F.count("*")).head()
+    parts = -(-((total or 0) - n) // part)
     if parts < 2:
         return []
-    some = sized if n <= SAMPLE else sized.where(F.pmod(F.xxhash64("_mark", "_row"), F.lit(n)) < SAMPLE)
-    rows = sorted((_key(r["doc_id"], r["_mark"], r["_row"]), r["size"]) for r in some.collect())
-    upto = np.cumsum([s + 1 for _, s in rows])
-    at = np.searchsorted(upto, upto[-1] * np.arange(1, parts) / parts) if rows else []
-    return [rows[i][0] for i in sorted(set(np.asarray(at).tolist()))]
+    ordered = cut(sized.repartitionByRange(*keys).sortWithinPartitions(*keys)).withColumn("_p", F.spark_partition_id())
+    sums = sorted(map(tuple, ordered.groupBy("_p").agg(F.sum("size")).collect()))
+    before = dict(zip([p for p, _ in sums], np.cumsum([0, *(s for _, s in sums)]).tolist(), strict=False))
+
+    def firsts(batches):
+        at = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            size = b.column("size").to_numpy()
+            end = (before[b.column("_p")[0].as_py()] if at is None else at) + np.cumsum(size)
+            at = int(end[-1])
+            begins = (end - 1) * parts // total > np.maximum(end - size - 1, 0) * parts // total
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(begins)) for c in keys], list(keys))
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return sorted(_key(*r) for r in ordered.mapInArrow(firsts, f"doc_id {kind}, _mark long, _row long").collect())
 
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, chunk: int = CHUNK, part: int = PART) -> None:

@@ -405,6 +405,22 @@ def test_token_files(spark, tmp_path):
     assert token_files.read(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_token_file_parts_from_every_row(spark):
+    """Parts are even whatever share of the rows has the text, and the coder's predictions count every id."""
+    n = 60_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10_000 == 77, F.repeat(F.lit("a"), 60_000)).otherwise("b").alias("text"))
+    first = token_files.bounds(docs, part=60_000)
+    size = np.array([60_001 if i % 10_000 == 77 else 2 for i in range(n)])
+    upto = np.cumsum(size)
+    parts = -(-int(size.sum() - n) // 60_000)
+    want = sorted({int(np.searchsorted(upto - 1, j * int(upto[-1]) / parts)) for j in range(1, parts)})
+    assert [k[1] for k in first] == want
+    at = np.arange(1 << 21)
+    ids = np.where(at % 2, np.where(at // 1024 % 4, 3, 2), 1).astype(np.uint32)  # in three blocks of four, 3 follows 1
+    known, _ = range_coder.Predictions.of(ids, 1024)
+    assert [known.ids[x] for x in known.one[0]] == [3, 2] and (range_coder.decode(range_coder.encode(ids)) == ids).all()
+
+
 def test_chat_format(spark):
     rng = random.Random(7)
     turns, said = [], {}

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memloom.functions.embedding import sliced
 from memloom.functions.text import clean_markdown, heading_level, heading_text, paragraphs
 
 MIN_CHUNK = 300
@@ -70,13 +71,15 @@ def _merged(parts: list[str], min_size: int) -> Iterator[tuple[str, str]]:
 def chunks(text: Column, min_size: int = MIN_CHUNK) -> Column:
     """array<struct<text, section>>: paragraphs merged until a chunk has min_size bytes; the section is that of the last one."""
 
-    @F.pandas_udf("text array<string>, section array<string>")
-    def merge(documents: pd.Series) -> pd.DataFrame:
-        found = [[] if d is None else list(_merged(list(d), min_size)) for d in documents]
-        return pd.DataFrame({"text": [[t for t, _ in f] for f in found], "section": [[s for _, s in f] for f in found]})
+    kind = pa.list_(pa.struct([("text", pa.string()), ("section", pa.string())]))
 
-    got = merge(paragraphs(clean_markdown(text)))
-    return F.when(text.isNotNull(), F.arrays_zip(got["text"].alias("text"), got["section"].alias("section")))
+    @F.arrow_udf("array<struct<text: string, section: string>>")
+    def merge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for documents in batches:
+            for some in sliced(documents):
+                yield pa.array([None if d is None else [{"text": t, "section": s} for t, s in _merged(d, min_size)] for d in some.to_pylist()], kind)
+
+    return merge(paragraphs(clean_markdown(text)))
 
 
 def chunk_rows(docs: DataFrame, text: str = "text", min_size: int = MIN_CHUNK, collection: str | None = None) -> DataFrame:

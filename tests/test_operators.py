@@ -327,3 +327,14 @@ def test_texts_of_hits_are_not_shuffled(spark):
     said = retrieval.texts_of(hits, docs)
     assert "SortMergeJoin" not in said._jdf.queryExecution().toString() and said.count() == 3
     assert {r["query_id"]: r["context"] for r in retrieval.context_block(hits, docs).collect()} == {1: "text 9\n\n---\n\ntext 7", 2: "text 7"}
+
+
+def test_workers_hold_slices_of_batches(spark):
+    """Models and merging see a bounded number of rows at a time, and blocks of vectors are scored a few queries at a time."""
+    seen = lambda: lambda texts: np.full((len(texts), 2), len(texts))
+    docs = spark.range(0, 1000, 1, 1).select("id", F.col("id").cast("string").alias("text"))
+    sizes = [r["e"][0] for r in docs.select(embedding.embedder(seen)(F.col("text")).alias("e")).collect()]
+    assert len(sizes) == 1000 and max(sizes) <= embedding.SLICE
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [1.0 / 3, None])], "id long, v array<float>")
+    assert [r["h"] is None for r in odd.select(embedding.half("v").alias("h")).collect()] == [True, False, False]
+    assert retrieval.TILE * retrieval.BLOCK * 8 <= 1 << 20

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memloom.operators.ledger import Ledger
-from memloom.operators.retrieval import Blend, idf, postings, top
+from memloom.operators.retrieval import Blend, idf, postings, text_length, top
 from memloom.operators.store import numbered
 
 #: Postings of a token above which it is split in parts; memories of a shard; shards of a query that give its threshold; ids that are broadcast.
@@ -127,8 +127,9 @@ class KeywordIndex:
         """Adds memories (id, text), or replaces them; returns the change's number."""
         now, epoch = self.stats(), self.ledger.claim()
         said = {"docs": 0, "length": 0, "gone": 0} if not now.epochs else self._hide(memories, epoch, now)
-        posted = postings(memories)
-        lengths = posted.groupBy("memory_id").agg(F.sum("term_freq").alias("dl")).withColumns({"shard": F.pmod(F.xxhash64("memory_id"), F.lit(1 << 30)), "epoch": F.lit(epoch).cast("long")})
+        # texts are moved once, by id: their postings are counted, and meet their lengths, where they are
+        posted = postings(memories.select("id", "text").repartition("id"))
+        lengths = text_length(memories).withColumns({"shard": F.pmod(F.xxhash64("memory_id"), F.lit(1 << 30)), "epoch": F.lit(epoch).cast("long")})
         self._append("lengths", now.generation, lengths)
         mine = self.spark.table(self._name("lengths", now.generation)).where(F.col("epoch") == epoch)
         self._append("postings", now.generation, self._part(posted.join(mine, "memory_id"), now))

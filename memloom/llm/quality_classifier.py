@@ -11,7 +11,8 @@ an empty table gives no rows; without usable labels every score is 0.5; input co
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -70,14 +71,45 @@ def features(data: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def counted(texts: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The distinct buckets of each text, and the share of each."""
+def _tallied(texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The distinct buckets of each text, ascending, and how often each comes."""
     for data, starts, ends in slices(texts):
         found = features(data)
         for a, b in zip(starts, ends, strict=True):
             ids = [buckets[slice(*np.searchsorted(at, (a, b)))] for at, buckets in found]
             ids, n = np.unique(np.concatenate(ids) if ids else np.zeros(0, int), return_counts=True)
-            yield ids.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)
+            yield ids.astype(np.int32), n
+
+
+def _shares(n: np.ndarray) -> np.ndarray:
+    return (n / max(1, n.sum())).astype(np.float32)
+
+
+def counted(texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The distinct buckets of each text, and the share of each."""
+    for ids, n in _tallied(texts):
+        yield ids, _shares(n)
+
+
+def packed(texts: Iterable[str | None]) -> Iterator[bytes]:
+    """Each text's buckets and counts in little room: the gaps between buckets, then the counts, each split by significance of bytes and deflated."""
+    for ids, n in _tallied(texts):
+        yield zlib.compress(np.concatenate([np.diff(ids, prepend=0), n]).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+@dataclass(frozen=True)
+class Rows(Sequence):
+    """(buckets, shares, label) of labelled documents, each unpacked only while it is looked at."""
+
+    rows: list[tuple[bytes, int]]
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray, int]:
+        raw, y = self.rows[i]
+        gaps, n = np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1).T).view("<u4").reshape(2, -1)
+        return np.cumsum(gaps, dtype=np.int32), _shares(n.astype(np.int64)), y
 
 
 @dataclass(frozen=True)
@@ -99,7 +131,7 @@ class Model:
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def learned(rows: list[tuple[np.ndarray, np.ndarray, int]], how: Training = Training()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def learned(rows: Sequence[tuple[np.ndarray, np.ndarray, int]], how: Training = Training()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """SGD over (buckets, shares, label) of each labelled document: a vector for each bucket, the output's weights, its biases."""
     rng = np.random.default_rng(how.seed)
     table = (rng.standard_normal((SIZE, how.dims)) * 0.1).astype(np.float32)
@@ -123,7 +155,7 @@ def learned(rows: list[tuple[np.ndarray, np.ndarray, int]], how: Training = Trai
     return table, out, bias
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], how: Training = Training()) -> Model:
+def fit(rows: Sequence[tuple[np.ndarray, np.ndarray, int]], how: Training = Training()) -> Model:
     """What was learned, folded into a logit for each bucket; scores 0.5 where only one label is known."""
     if len({y for *_, y in rows}) < 2:
         return Model(np.zeros(SIZE, np.float32), 0.0)
@@ -135,7 +167,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], how: Training = Training
 def train(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Model:
     """A model from the labelled rows of docs that aren't held out.
 
-    The driver gets the sampled rows' bucket counts, never texts: at most `sample` rows, of `most_bytes` of text at most.
+    The driver gets the sampled rows' bucket counts, packed, never texts: at most `sample` rows, of `most_bytes` of text at most.
     """
     picked = sampled(docs.withColumn("text", F.coalesce(own(docs, "text"), F.lit(""))), labels, "quality", {0: how.sample // 2, 1: how.sample // 2}, how.most_bytes)
 
@@ -143,12 +175,11 @@ def train(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Mod
         import pyarrow as pa
 
         for b in batches:
-            got = list(counted(b.column("text").to_pylist()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([i.tobytes() for i, _ in got], pa.binary()), pa.array([s.tobytes() for _, s in got], pa.binary())], ["doc_id", "y", "ids", "share"])
+            got = pa.array(packed(b.column("text").to_pylist()), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), got], ["doc_id", "y", "packed"])
 
-    rows = picked.select("doc_id", "text", "y").mapInArrow(pack, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, ids binary, share binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["ids"])))
-    return fit([(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["share"], np.float32), r["y"]) for r in rows], how)
+    rows = picked.select("doc_id", "text", "y").mapInArrow(pack, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, packed binary").collect()
+    return fit(Rows([(raw, y) for _, raw, y in sorted((r["doc_id"], bytes(r["packed"]), r["y"]) for r in rows)]), how)
 
 
 def probability(docs: DataFrame, model: Model) -> Column:

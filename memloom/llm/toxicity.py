@@ -27,7 +27,7 @@ rows score alike; an empty table gives no rows; without usable labels every scor
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -332,6 +332,19 @@ def sentences(texts: list[str | None]) -> list[list[list[bytes]]]:
     return out
 
 
+@dataclass(frozen=True)
+class Spoken:
+    """A text's sentences, as sentences() gives them, made anew whenever they are gone through: training holds no spans of all documents at once."""
+
+    text: str
+
+    def __iter__(self) -> Iterator[list[bytes]]:
+        return iter(sentences([self.text])[0])
+
+    def __len__(self) -> int:
+        return len(sentences([self.text])[0])
+
+
 def _groups(span: bytes, n: int) -> set[bytes]:
     return {span[i : i + n] for i in range(max(1, len(span) - n + 1))}
 
@@ -347,7 +360,7 @@ def _varied(span: bytes, rng: np.random.Generator) -> tuple[list[bytes], list[by
     return toxic, [mark + x + mark for x in changed if x != inner and x]
 
 
-def fit(toxic: list[list[list[bytes]]], clean: list[list[list[bytes]]], how: Training = Training()) -> Model:
+def fit(toxic: Sequence[Collection[list[bytes]]], clean: Sequence[Collection[list[bytes]]], how: Training = Training()) -> Model:
     """A machine from the sentences of each toxic and each clean document, as lists of spans; its curve is not fitted yet."""
     if not any(toxic) or not any(clean):
         return NOTHING
@@ -374,18 +387,21 @@ def fit(toxic: list[list[list[bytes]]], clean: list[list[list[bytes]]], how: Tra
     witnesses = sorted((w for w in found if w not in counts[0] and len(w) > 3), key=lambda w: (-found[w], w))[: how.witnesses]
     if not witnesses:
         return NOTHING
-    clean_spans = sorted(counts[0], key=lambda w: (-counts[0][w], w))
+    del seen, rate, best
+    clean_spans = sorted(counts[0])
+    clean_spans.sort(key=lambda w: -counts[0][w])
     # the commonest spans, and as many others
     pick = lambda n: [*clean_spans[: n // 2], *(clean_spans[n // 2 + i] for i in np.sort(rng.permutation(max(0, len(clean_spans) - n // 2))[: n - n // 2]))]
     some, pool = pick(how.clean_spans), pick(how.pool)
-    del seen, rate, best, clean_spans
+    told, met = {w: counts[1][w] for w in witnesses}, {w: counts[0][w] for w in some + pool}
+    del counts, clean_spans
     chosen: list[int] = []
     nearest = np.zeros(len(witnesses))
     for i in range(len(witnesses)):
         if len(chosen) < how.landmarks * 2 // 3 and nearest[i] < 0.7:
             chosen.append(i)
             nearest = np.maximum(nearest, kernel(witnesses, Landmarks.of([witnesses[i]]))[:, 0])
-    commonest = [w for w in sorted(witnesses, key=lambda w: (-counts[1][w], w)) if len(w) > 5][: how.varied]
+    commonest = [w for w in sorted(witnesses, key=lambda w: (-told[w], w)) if len(w) > 5][: how.varied]
     varied = [_varied(w, rng) for w in commonest]
     broken = [x for xs, _ in varied for x in xs]
     alike = [x for _, xs in varied for x in xs if x not in found]
@@ -400,7 +416,7 @@ def fit(toxic: list[list[list[bytes]]], clean: list[list[list[bytes]]], how: Tra
         x = np.concatenate([known, np.ones((len(known), 1))], axis=1)
         n = len(witnesses) + len(broken)
         goal = np.where(np.arange(len(known)) < n, how.goal, -1.0)
-        shares = [np.sqrt([counts[1][w] for w in witnesses]), np.sqrt([counts[1][w] for w in commonest for _ in range(INSERTED)]), np.array([counts[0].get(w, 1) for w in some + list(hard)], float) ** 0.5, np.ones(len(alike)), np.ones(1)]
+        shares = [np.sqrt([told[w] for w in witnesses]), np.sqrt([told[w] for w in commonest for _ in range(INSERTED)]), np.array([met[w] for w in some + list(hard)], float) ** 0.5, np.ones(len(alike)), np.ones(1)]
         share = np.concatenate([part * s / max(s.sum(), 1e-9) for part, s in zip((0.2, 0.3, 0.35, 0.1, 0.05), shares, strict=True)])
         w = _newton(x, goal, share, how.ridge)
         model = Model(marks.folded(root @ w[:-1]), float(w[-1]))
@@ -453,7 +469,7 @@ def curve(evidence: np.ndarray, y: np.ndarray, used: list[bool], ridge: float =
 
 def fitted(texts: list[str], labels: list[int], how: Training = Training()) -> Model:
     """A machine with its curve, from labelled documents."""
-    y, said = np.array(labels), sentences(texts)
+    y, said = np.array(labels), [Spoken(t) for t in texts]
     some = lambda on, label: [said[i] for i in np.flatnonzero(on & (y == label))]
     evidence = np.zeros((len(y), 4))
     half = np.arange(len(y)) % 2 == 0

@@ -1,7 +1,9 @@
 """Operators that learn: held-out accuracy, defined results of odd rows; and the pipeline's stages against brute force."""
 
 import random
+import tracemalloc
 import zlib
+from unittest import mock
 
 import numpy as np
 import pytest
@@ -361,3 +363,36 @@ def test_toxicity_takes_ids_of_any_kind(spark, labelled):
     for op in (toxicity, quality_classifier):
         got = op.score(named, op.train(named, marked))
         assert got.count() == docs.count() and got.select("score").distinct().count() > 2
+
+
+def test_packed_rows_are_the_counts():
+    """What the driver gets of the sampled rows is small, and the same counts and the same model come of it."""
+    texts = [f"word{i % 7} and word{i % 5} {'xyz ' * (i % 4)} grüße number {i * i}, and so on" * 9 for i in range(30)] + ["", None, "a"]
+    rows = [(i, s, k % 2) for k, (i, s) in enumerate(quality_classifier.counted(texts))]
+    raw = list(quality_classifier.packed(texts))
+    got = quality_classifier.Rows([(p, k % 2) for k, p in enumerate(raw)])
+    assert sum(map(len, raw)) < sum(8 * len(i) for i, _, _ in rows) / 2
+    for (i, s, y), (j, t, z) in zip(rows, got, strict=True):
+        assert i.dtype == j.dtype and s.dtype == t.dtype and i.tolist() == j.tolist() and s.tolist() == t.tolist() and y == z
+    how = quality_classifier.Training(epochs=2)
+    assert (quality_classifier.fit(rows, how).logit == quality_classifier.fit(got, how).logit).all()
+
+
+def test_training_holds_few_spans():
+    """The memory that a machine's training takes beyond what it counts; a document's spans are made anew, in the same order."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join("".join(map(chr, rng.integers(97, 123, 8))) for _ in range(1000)) + "." for _ in range(60)]
+    assert [list(d) for d in map(toxicity.Spoken, texts[:3])] == toxicity.sentences(texts[:3]) and len(toxicity.Spoken("")) == 0
+    labels = [int(i % 5 == 0) for i in range(60)]
+    held, fit = [], toxicity.fit
+
+    def counting(toxic, clean, how):
+        held.append(tracemalloc.get_traced_memory()[0] - before)
+        return fit(toxic[:1], clean[:1], toxicity.Training(witnesses=20, clean_spans=40, pool=60, worst=10, landmarks=10, varied=5, rounds=1))
+
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0]
+    with mock.patch.object(toxicity, "fit", counting):
+        toxicity.fitted(texts, labels)
+    tracemalloc.stop()
+    assert len(held) == 3 and max(held) < 2 << 20  # spans held as lists took some 12 MB

@@ -38,7 +38,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
         for b in batches:
             rows: list[tuple] = []
             held = 0
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), tokens.encoder(path, kept_words).encode(b.column("text").to_pylist()), strict=True):
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), tokens.encoder(path, kept_words).encode(b.column("text")), strict=True):
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))

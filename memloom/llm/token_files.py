@@ -81,7 +81,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, chunk: int =
             keys = zip(*(b.column(c).to_pylist() for c in ("doc_id", "_mark", "_row")), strict=True)
             parts = [bisect_right(first, _key(*k)) for k in keys]
             rows, widths, held, at = [], [], 0, 0
-            for raw in tokens.encoder(vocabulary).encode(b.column("text").to_pylist()):
+            for raw in tokens.encoder(vocabulary).encode(b.column("text")):
                 ids = np.frombuffer(raw, "<u4")
                 narrow = not int(ids.max()) >> 16
                 rows.append(ids.astype("<u2").tobytes() if narrow else raw)

@@ -9,15 +9,16 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable, Iterator
-from itertools import islice
+from collections.abc import Iterator
 from string import punctuation
 
 import numpy as np
 
 END_ID = 1
 #: Words whose ids a worker keeps, texts and new words that it takes at a time.
-KEPT_WORDS, TEXTS, NEW_WORDS = 500_000, 256, 2_000
+KEPT_WORDS, TEXTS, NEW_WORDS = 500_000, 2_048, 2_000
+#: Bytes of text that it takes at a time, for each word that it keeps: the look-up of those is made anew each time.
+TEXT_BYTES = 8
 #: Stands between words that go to the library; a token of its own.
 _BETWEEN = "\x01"
 #: What the last token of a word ends with.
@@ -25,12 +26,49 @@ _WORD_END = "</w>"
 _encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
-def _words(text: str | None) -> list[str]:
-    """Lower-cases A-Z, as the tokenizer will, to meet fewer words; but for texts in which that could make a special token."""
-    text = text or ""
-    if "<|" not in text:
-        text = text.encode("utf-8", "replace").lower().decode()
-    return text.replace("\n", " ").split(" ")
+def _words(texts):
+    """Of an Arrow array of texts: how many words each has, and all words.
+
+    Lower-cases A-Z, as the tokenizer will, to meet fewer words; but for texts in which that could make a special token.
+    """
+    import pyarrow.compute as pc
+
+    lower = pc.ascii_lower(texts)
+    if pc.any(special := pc.match_substring(texts, "<|")).as_py():
+        lower = pc.if_else(special, texts, lower)
+    words = pc.split_pattern(pc.replace_substring(lower, "\n", " "), " ")
+    return np.diff(words.offsets.to_numpy()), words.flatten()
+
+
+def _arrow(texts: list[str | None]):
+    """Texts as an Arrow array without nulls; lone surrogates, which UTF-8 lacks, are replaced."""
+    import pyarrow as pa
+
+    return pa.array([(t or "").encode("utf-8", "replace") for t in texts], pa.large_string())
+
+
+def _sliced(texts, most: int) -> Iterator:
+    """Texts, of Python or of an Arrow array, as Arrow arrays of TEXTS at most, whole texts until they reach `most` bytes."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    if isinstance(texts, pa.Array):
+        whole = pc.fill_null(texts.cast(pa.large_string()), "")
+        upto = np.cumsum(pc.binary_length(whole).to_numpy())
+        at = 0
+        while at < len(whole):
+            end = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most)) + 1
+            yield whole[at : (at := min(end, at + TEXTS, len(whole)))]
+        return
+    some, held = [], 0
+    for t in texts:
+        some.append(t)
+        held += len(t or "")
+        if len(some) == TEXTS or held >= most:
+            yield _arrow(some)
+            some, held = [], 0
+    if some:
+        yield _arrow(some)
 
 
 #: Words that neither normalizing nor pre-tokenizing changes, and the characters that stand for their bytes; signs that end words.
@@ -42,6 +80,7 @@ _BYTE = {b: b if b in _KEPT_BYTES else 256 + sum(x not in _KEPT_BYTES for x in r
 class WordEncoder:
     def __init__(self, path: str, kept: int = KEPT_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import pyarrow as pa
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -54,6 +93,8 @@ class WordEncoder:
         self._ends[[i for t, i in vocabulary.items() if t.endswith(_WORD_END)]] = True
         self._kept = kept
         self._ids: dict[str, bytes] = {"": b""}
+        # words met, with signs at their ends: the words, their ids side by side, how many each has
+        self._met, self._known, self._size = pa.array([""], pa.large_string()), np.zeros(0, "<u4"), np.zeros(1, np.int64)
         probe = "the naïve größe ñandú of zzyzx ÿ".split()
         if not all(self._merged([w]) == [self._ids_of(w)] for w in probe) or self._ids_of("größe!*") != self._ids_of("größe") + self._ids_of("!*"):
             raise ValueError("not a tokenizer of words")
@@ -68,14 +109,15 @@ class WordEncoder:
         raw, cuts = found.tobytes(), (4 * np.flatnonzero(self._ends[found]) + 4).tolist()
         return [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
-    def _learn(self, words: list[str]) -> list[str]:
-        """Takes the ids of new words, and of what is left of them without the signs at their ends; all that it has taken."""
-        ids, ended, wanted = self._ids, [], set()
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """The ids of new words, by the library or from what is left of them without the signs at their ends and those; keeps what it has asked for."""
+        ids, ended, wanted = self._ids, {}, set()
         for w in words:
             rest = w.rstrip(punctuation)
             if rest != w and rest and rest[-1].isalnum() and "<|" not in w:
-                ended.append((w, rest))
-                wanted.update((rest, w[len(rest) :]))
+                ended[w] = rest
+                wanted.add(rest)
+                wanted.add(w[len(rest) :])
             else:
                 wanted.add(w)
         new = [w for w in wanted if w not in ids]
@@ -93,34 +135,49 @@ class WordEncoder:
                 ids[w] = raw[a:b]
         for w in single:
             ids[w] = self._ids_of(w)
-        for w, rest in ended:
-            ids[w] = ids[rest] + ids[w[len(rest) :]]
-        return [*new, *(w for w, _ in ended)]
-
-    def encode(self, texts: Iterable[str | None], end_id: int = END_ID) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers, end id included."""
-        end, texts, ids = np.array([end_id], "<u4").tobytes(), iter(texts), self._ids
-        while some := [_words(t) for t in islice(texts, TEXTS)]:
-            found = [list(map(ids.get, words)) for words in some]
-            gaps = [_gaps(got) for got in found]
-            new = list({words[i] for words, at in zip(some, gaps, strict=True) for i in at})
-            new = self._learn(new)
-            for words, got, at in zip(some, found, gaps, strict=True):
-                for i in at:
-                    got[i] = ids[words[i]]
-                yield b"".join(got) + end
-            if len(ids) > self._kept:
-                for w in new:
-                    ids.pop(w, None)
-
-
-def _gaps(got: list) -> list[int]:
-    """Where None stands."""
-    at, i = [], -1
-    for _ in range(got.count(None)):
-        i = got.index(None, i + 1)
-        at.append(i)
-    return at
+        got = [ids[rest] + ids[w[len(rest) :]] if (rest := ended.get(w)) else ids[w] for w in words]
+        if len(ids) > self._kept:
+            for w in new:
+                del ids[w]
+        return got
+
+    def encode(self, texts, end_id: int = END_ID) -> Iterator[bytes]:
+        """The ids of each text, of an iterable or an Arrow array, as little-endian unsigned 32-bit integers, end id included."""
+        for some in _sliced(texts, TEXT_BYTES * self._kept):
+            ids, ends = self._flat(some, end_id)
+            raw, at = memoryview(ids).cast("B"), 0
+            for end in (4 * ends).tolist():
+                yield bytes(raw[at:end])
+                at = end
+
+    def _flat(self, texts, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of an Arrow array's texts side by side, and where each text's end."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        counts, words = _words(texts)
+        number = pc.index_in(words, value_set=self._met)
+        known, size = self._known, self._size
+        if number.null_count:
+            gaps = np.flatnonzero(number.is_null().to_numpy(zero_copy_only=False))
+            new = words.take(pa.array(gaps)).dictionary_encode()
+            got = self._learn(new.dictionary.to_pylist())
+            known, size = np.concatenate([known, np.frombuffer(b"".join(got), "<u4")]), np.concatenate([size, np.fromiter(map(len, got), np.int64, len(got)) >> 2])
+            number = number.fill_null(0).to_numpy().copy()
+            number[gaps] = len(self._met) + new.indices.to_numpy()
+            if len(size) <= self._kept:
+                self._met, self._known, self._size = pa.concat_arrays([self._met, new.dictionary]), known, size
+        else:
+            number = number.to_numpy()
+        # each word's ids go where it stands in the texts, the end id after each text's last, as one word more
+        last = np.cumsum(counts)
+        number = np.insert(number, last, len(size))
+        known, size = np.append(known, np.uint32(end_id)), np.append(size, 1)
+        first, n = np.cumsum(size) - size, size[number]
+        upto = np.cumsum(n)
+        at = np.repeat(first[number] - upto + n, n)
+        at += np.arange(len(at))
+        return known.take(at), upto[last + np.arange(len(last))]
 
 
 def encoder(path: str, kept: int = KEPT_WORDS) -> WordEncoder:

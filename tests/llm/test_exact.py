@@ -383,6 +383,24 @@ def test_mixed_steps_by_brute_force():
     assert len(out) == used[0] and low <= value << max(0, 48 + scale - 16 * len(out)) < low + size
 
 
+def test_words_are_looked_up_in_arrow():
+    """Texts as a list or an Arrow array, in one slice or in many, with words kept or not, get the ids that the library gives each."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    texts = [None, "", " ", "\n", " a", "A b\n\nC  ", "<|endoftext|> X", "<|EndOfText|>", "ÄÖ Größe!*", "\x01 q", "a\x01b", "İ K", "  b\tc\r\nd", "日本語 テキスト", "A" * 5000]
+    texts += [" ".join("".join(map(chr, rng.integers(97, 123, 4))) + str(rng.choice(["", ".", "!*", ","])) for _ in range(200)) for _ in range(20)]
+    for kept in (1, 40, 100_000):
+        e = tokens.WordEncoder(tokens.default_path(), kept)
+        for some in (texts, pa.array(texts, pa.string()), pa.array(["x", *texts])[1:], texts[::-1]):
+            got = list(e.encode(some))
+            want = texts[::-1] if some == texts[::-1] else texts
+            assert all(np.array_equal(np.frombuffer(g, "<u4"), ids_of(t)) for g, t in zip(got, want, strict=True))
+        assert len(e._met) <= max(kept, 1) and len(e._met) == len(e._size) and e._size.sum() == len(e._known)
+        assert not list(e.encode([])) and not list(e.encode(pa.array([], pa.string())))
+    assert list(e.encode(["\ud800 z"])) == list(e.encode(["? z"]))
+
+
 def test_token_files(spark, tmp_path):
     texts = ["one two", None, "", LONG[:3000], *[f"text {i} " * (i % 9) for i in range(60)]]
     docs = documents(spark, texts).orderBy(F.rand(1))

@@ -395,4 +395,4 @@ def test_training_holds_few_spans():
     with mock.patch.object(toxicity, "fit", counting):
         toxicity.fitted(texts, labels)
     tracemalloc.stop()
-    assert len(held) == 3 and max(held) < 2 << 20  # spans held as lists took some 12 MB
+    assert len(held) == 3 and max(held) < 2 << 20

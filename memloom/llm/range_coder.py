@@ -20,11 +20,13 @@ import zlib
 import numpy as np
 
 MAGIC = b"ACM2"
-#: Ids of a segment at most; lanes; ids of a block at least.
+#: Ids of a segment, up to an eighth more, so that a chunk's last document makes none of its own; lanes; ids of a block at least.
 SEGMENT, LANES, SHORTEST = 1 << 22, 2048, 512
+#: Symbols that are looked at together where no step waits for the one before it.
+ROWS_OF = 1 << 14
 #: Bits of a hashed order-2 context, classes of sureness, bits of the mixture's weights, how fast they move.
 SLOT_BITS, CLASS_BITS, WEIGHT_BITS, RATE = 15, 3, 12, 6
-CLASSES = 1 << CLASS_BITS
+CLASSES, SYMBOL_BITS = 1 << CLASS_BITS, 32 - CLASS_BITS
 #: What the adaptive weights count to.
 FULL = 65_535
 _WHOLE, _LEAST, _WORD = 2.0**48, 2.0**32, 65_536.0
@@ -34,6 +36,14 @@ def _slot(before: np.ndarray, before_that: np.ndarray, bits: int) -> np.ndarray:
     return (before * np.uint32(0x9E3779B1) + before_that * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits)
 
 
+def _turned(table: np.ndarray, tile: int = 64) -> np.ndarray:
+    """The table with rows and columns exchanged, a strip at a time, which stays in the processor's cache."""
+    out = np.empty(table.shape[::-1], table.dtype)
+    for i in range(0, len(table), tile):
+        out[:, i : i + tile] = table[i : i + tile].T
+    return out
+
+
 def _leaders(context: np.ndarray, symbol: np.ndarray, contexts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The commonest symbol after each context, the second commonest, and the class of the first's share."""
     bits = 32 - max(1, contexts - 1).bit_length()
@@ -45,16 +55,23 @@ def _leaders(context: np.ndarray, symbol: np.ndarray, contexts: int) -> tuple[np
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     n = np.diff(np.concatenate([first, [len(key)]]))
     of, what = (key[first] >> key.dtype.type(bits)).astype(np.int64), (key[first] & key.dtype.type((1 << bits) - 1)).astype(np.uint32)
-    order = np.argsort(of * np.int64(1 << 23) - n, kind="stable")
-    of, what, n = of[order], what[order], n[order]
-    head = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
     best, second, sure = np.zeros(contexts, np.uint32), np.ones(contexts, np.uint32), np.zeros(contexts, np.uint8)
-    best[of[head]] = what[head]
+    if not len(key):
+        return best, second, sure
+    head = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    total, of = np.add.reduceat(n, head), of[head]
+    # the largest count, the smallest symbol if several have it: places count down below the counts
+    places = np.int64((1 << 23) - 1)
+    n = n << 23 | places - np.arange(len(n))
+    top = np.maximum.reduceat(n, head)
+    at = places - (top & places)
+    best[of] = what[at]
     second[best == 1] = 0
-    more = head[(head + 1 < len(of)) & (of[np.minimum(head + 1, len(of) - 1)] == of[head])] if len(of) else head
-    second[of[more]] = what[more + 1]
-    total = np.add.reduceat(n, head) if len(head) else np.zeros(0, np.int64)
-    sure[of[head]] = np.minimum(CLASSES * (n[head] - 0.5) / (total + 1), CLASSES - 1).astype(np.uint8)
+    n[at] = 0
+    next_top = np.maximum.reduceat(n, head)
+    more = next_top > 0
+    second[of[more]] = what[places - (next_top[more] & places)]
+    sure[of] = np.minimum(CLASSES * ((top >> 23) - 0.5) / (total + 1), CLASSES - 1).astype(np.uint8)
     return best, second, sure
 
 
@@ -65,11 +82,11 @@ class Predictions:
         self.ids, self.freq, self.one, self.sure1, self.two, self.sure2, self.weights = ids, freq, one, sure1, two, sure2, weights
         self.bits, self.slot_bits = int(freq.sum()).bit_length() - 1, len(two).bit_length() - 1
         self.upto = np.cumsum(freq) - freq
-        # what the steps look up, side by side
+        # what the steps look up, side by side; a class stands above its symbol, which has SYMBOL_BITS at most
         self.place = self.upto + 1j * freq
-        self.of_one = one[:, 0].astype(np.uint64) | one[:, 1].astype(np.uint64) << np.uint64(32)
-        self.named_two = two.astype(np.uint32)
-        self.class1, self.class2 = sure1.astype(np.uint8), sure2.astype(np.uint8) * np.uint8(CLASSES)
+        shift = np.uint64(SYMBOL_BITS)
+        self.of_one = one[:, 0].astype(np.uint64) | sure1.astype(np.uint64) << shift | one[:, 1].astype(np.uint64) << np.uint64(32)
+        self.of_two = two.astype(np.uint32) | sure2.astype(np.uint32) << np.uint32(SYMBOL_BITS)
 
     @classmethod
     def of(cls, ids: np.ndarray, block: int) -> tuple[Predictions, np.ndarray]:
@@ -100,21 +117,32 @@ class Predictions:
 
     def named(self, before: np.ndarray, before_that: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The first symbol that is named, the second, and the pair of classes. Where order 2 is less sure than order 1, both are order 1's; elsewhere order 2's is first."""
-        slot = _slot(before, before_that, self.slot_bits)
-        two, ones = self.named_two.take(slot), self.of_one.take(before).view(np.uint32)
-        class2, class1, one = self.class2.take(slot), self.class1.take(before), ones[::2]
-        two = np.where(class2 < class1 << CLASS_BITS, one, two)
-        return two, np.where(one == two, ones[1::2], one), class2 + class1
+        two, ones = self.of_two.take(_slot(before, before_that, self.slot_bits)), self.of_one.take(before).view(np.uint32)
+        one, second = ones[::2], ones[1::2]
+        class2, class1 = two >> np.uint32(SYMBOL_BITS), one >> np.uint32(SYMBOL_BITS)
+        one = one & np.uint32((1 << SYMBOL_BITS) - 1)
+        two &= np.uint32((1 << SYMBOL_BITS) - 1)
+        two = np.where(class2 < class1, one, two)
+        class2 <<= np.uint32(CLASS_BITS)
+        class2 += class1
+        return two, np.where(one == two, second, one), class2
 
     def kinds(self, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """lanes: steps x lanes symbols. 0 where the first that is named is right, 1 where the second is, else 2; and the pair of classes. Sets the weights."""
         kinds, contexts = np.empty(lanes.shape, np.int8), np.empty(lanes.shape, np.int8)
-        zero, seen = np.zeros(lanes.shape[1], np.uint32), np.zeros(3 * CLASSES**2, np.int64)
-        for t, x in enumerate(lanes):
-            two, one, contexts[t] = self.named(lanes[t - 1] if t else zero, lanes[t - 2] if t > 1 else zero)
+        steps, width = lanes.shape
+        seen = np.zeros(3 * CLASSES**2, np.int64)
+        rows, padded = max(1, ROWS_OF // width), np.concatenate([np.zeros((2, width), np.uint32), lanes])
+        for t in range(0, steps, rows):
+            end = min(t + rows, steps)
+            before_that, before, x = (padded[t + k : end + k].reshape(-1) for k in range(3))
+            two, one, context = self.named(before, before_that)
             miss = x != two
-            np.add(miss, miss & (x != one), out=kinds[t], dtype=np.int8)
-            seen += np.bincount(contexts[t] * np.int16(3) + kinds[t], minlength=len(seen))
+            kind = np.add(miss, miss & (x != one), dtype=np.int8)
+            kinds[t:end], contexts[t:end] = kind.reshape(-1, width), context.reshape(-1, width)
+            context *= np.uint32(3)
+            context += kind.view(np.uint8)
+            seen += np.bincount(context, minlength=len(seen))
         share = seen.reshape(-1, 3) + (0.3, 0.3, 1.0)
         self.weights[:] = np.floor(FULL * share[:, :2] / share.sum(1, keepdims=True))
         return kinds, contexts
@@ -146,16 +174,17 @@ def _history(symbols: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Weights:
-    """The adaptive weights of the lanes: for each pair of classes, order 2's and order 1's share, counted to FULL."""
+    """The adaptive weights of the lanes: for each pair of classes, order 2's and order 1's share, counted to FULL. Lanes of a pair lie side by side."""
 
     def __init__(self, lanes: int, first: np.ndarray):
-        self.table = np.tile(np.ascontiguousarray(first, np.int32).view(np.int64).reshape(-1), lanes)
-        self.base = np.arange(lanes, dtype=np.int64) * CLASSES**2
+        self.table = np.repeat(np.ascontiguousarray(first, np.int32).view(np.int64).reshape(-1), lanes)
+        self.base, self.lanes = np.arange(lanes, dtype=np.int64), np.int64(lanes)
         self.goal = np.array([[FULL, 0], [0, FULL], [0, 0]], np.int32).view(np.int64).reshape(-1)
 
     def shares(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Both shares of 1 << WEIGHT_BITS: at least 1 each, and something is left for order 0."""
-        self.cell = self.base + context
+        self.cell = context * self.lanes
+        self.cell += self.base
         self.held = self.table.take(self.cell).view(np.int32)
         share = (self.held >> 4) - (self.held >> 9) + 1
         return share[::2].astype(np.float64), share[1::2].astype(np.float64)
@@ -202,7 +231,7 @@ def _encode_lanes(symbols: np.ndarray, kinds: np.ndarray, contexts: np.ndarray,
     words.append(np.ceil(low * (1 / _LEAST)).astype(np.uint32))  # a value within the range whose other words are zero
     sent.append(np.ones(lanes, bool))
     on = np.stack(sent)
-    out = np.stack(words).T[on.T]
+    out = _turned(np.stack(words))[_turned(on)]
     while len(over := np.flatnonzero(out >> np.uint32(16))):
         out[over] &= np.uint32(0xFFFF)
         out[over - 1] += np.uint32(1)
@@ -213,7 +242,7 @@ def _decode_lanes(words: np.ndarray, starts: np.ndarray, steps: int, known: Pred
     """words of all lanes side by side, where each lane's start: steps x lanes symbols."""
     lanes = len(starts)
     weights = Weights(lanes, known.weights)
-    symbol_at = np.repeat(np.arange(len(known.freq), dtype=np.uint32), known.freq.astype(np.int64))
+    symbol_at = np.repeat(np.arange(len(known.freq), dtype=np.uint16 if len(known.freq) <= 1 << 16 else np.uint32), known.freq.astype(np.int64))
     pos = starts.astype(np.int64)
     code = np.zeros(lanes)  # how far the coded value is above the range's start
     for _ in range(3):
@@ -248,8 +277,9 @@ def encode(ids: np.ndarray) -> bytes:
     """ids of up to 32 bits, of any number, as a chunk: its segments, each with predictions, and its blocks' sizes, checksums and words."""
     ids = np.ascontiguousarray(ids, "<u4")
     parts = [MAGIC, struct.pack("<Q", len(ids))]
-    for i in range(0, len(ids), SEGMENT):
-        parts += _segment(ids[i : i + SEGMENT])
+    size = -(-len(ids) // max(1, -(-len(ids) // (SEGMENT + SEGMENT // 8))))
+    for i in range(0, len(ids), size or 1):
+        parts += _segment(ids[i : i + size])
     return b"".join(parts)
 
 
@@ -261,7 +291,7 @@ def _segment(ids: np.ndarray) -> list[bytes]:
     known, symbols = Predictions.of(ids, block)
     padded = np.zeros(blocks * block, np.uint32)
     padded[:n] = symbols
-    lanes = np.ascontiguousarray(padded.reshape(blocks, block).T)
+    lanes = _turned(padded.reshape(blocks, block))
     words, used = _encode_lanes(lanes, *known.kinds(lanes), known)
     table = struct.pack("<III", n, block, blocks) + used.astype("<u4").tobytes() + np.array(sums, "<u4").tobytes() + known.dump()
     return [struct.pack("<II", len(table), zlib.crc32(table)), table, words.astype("<u2").tobytes()]
@@ -293,7 +323,7 @@ def _read_segment(data: bytes, at: int) -> tuple[np.ndarray, int]:
     known, at = Predictions.load(table, 12 + 8 * blocks), at + 8 + length
     words = _after_ends(np.frombuffer(data, "<u2", int(size.sum()), at), size)
     symbols = _decode_lanes(words, np.cumsum(size + 3) - size - 3, block, known)
-    ids = known.ids.astype("<u4").take(np.ascontiguousarray(symbols.T).reshape(-1)[:n])
+    ids = known.ids.astype("<u4").take(_turned(symbols).reshape(-1)[:n])
     for i in range(blocks):
         if zlib.crc32(ids[i * block : (i + 1) * block]) != sums[i]:
             raise ValueError(f"block {i} does not match its checksum")
@@ -302,6 +332,8 @@ def _read_segment(data: bytes, at: int) -> tuple[np.ndarray, int]:
 
 def _after_ends(words: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The words with three of zero after each lane's, which the decoder reads beyond its end."""
-    out = np.zeros(len(words) + 3 * len(size) + 4)
-    out[np.arange(len(words)) + 3 * np.repeat(np.arange(len(size)), size)] = words
+    out = np.zeros(len(words) + 3 * len(size) + 4, np.uint16)
+    ends = np.cumsum(size)
+    for i, (start, end) in enumerate(zip((ends - size).tolist(), ends.tolist(), strict=True)):
+        out[start + 3 * i : end + 3 * i] = words[start:end]
     return out

@@ -348,6 +348,21 @@ def test_coder_predicts(monkeypatch):
     assert (range_coder.decode(range_coder.encode(ids)) == ids).all()
 
 
+def test_leaders_by_counting():
+    """The commonest symbol after each context and the second, smaller symbols first, and the class of the first's share."""
+    rng = np.random.default_rng(6)
+    for contexts, n in ((1, 0), (5, 1), (40, 3000), (3000, 2000)):
+        context, symbol = rng.integers(0, contexts, n).astype(np.uint32), (rng.zipf(1.5, n) % 12).astype(np.uint32)
+        best, second, sure = range_coder._leaders(context, symbol, contexts)
+        for c in range(contexts):
+            told = sorted(collections.Counter(symbol[context == c].tolist()).items(), key=lambda x: (-x[1], x[0]))
+            first = told[0][0] if told else 0
+            assert best[c] == first and second[c] == (told[1][0] if len(told) > 1 else int(first != 1))
+            assert sure[c] == (min(int(8 * (told[0][1] - 0.5) / (sum(k for _, k in told) + 1)), 7) if told else 0)
+    table = rng.integers(0, 9, (130, 70)).astype(np.uint8)
+    assert np.array_equal(range_coder._turned(table), table.T)
+
+
 def test_mixed_steps_by_brute_force():
     """Words of one block by whole-number arithmetic without lanes or registers: the value lies in the interval of its ids."""
     rng = np.random.default_rng(5)
@@ -401,6 +416,25 @@ def test_words_are_looked_up_in_arrow():
     assert list(e.encode(["\ud800 z"])) == list(e.encode(["? z"]))
 
 
+def test_words_without_their_signs_are_asked_once():
+    """A slice's words reach the library once each, whatever signs end them and however often; ids are the library's, in any form of letters."""
+    import pyarrow as pa
+
+    e = tokens.WordEncoder(tokens.default_path())
+    asked, learn = [], e._learn
+    e._learn = lambda words, kinds: asked.extend(words) or learn(words, kinds)
+
+    def right(texts, want):
+        return all(np.frombuffer(g, "<u4").tolist() == [*e._tokenizer.encode(t, add_special_tokens=False).ids, 1] for g, t in zip(e.encode(texts), want, strict=True))
+
+    texts = ["zzyzx größenü zzyzx. größenü!* (zzyzx", "zzyzx!* größenü. ,,, zzyzx,,, größenü(", "zzyzx(! größenü?? zzyzx"] * 50
+    assert right(texts, texts)
+    assert sorted(asked) == sorted({"zzyzx", "größenü", ".", "!*", "(zzyzx", ",,,", "(", "(!", "??"}) and set(asked) < set(e._met)
+    odd = ["İ.", "\u0958.", "×.", "a÷!", "é.", "e\u0301.", "한.", "<|x|>.", "<|endoftext|>.", "\x01.", "a\x01.", "'s.", "don't.", "Ⅷ.", "²!", "..", "a..b..", "\u00c3.", "😀.", "\t.", "a\t.", "a\r\n."]
+    assert right(odd, odd) and right([" ".join(odd)], [" ".join(odd)])
+    assert right(pa.array(["ÄÖÜ ab", *odd])[1:], odd) and right(pa.array(["ÄÖÜ ab", *odd, "z"], pa.large_string())[1:-1], odd)
+
+
 def test_token_files(spark, tmp_path):
     texts = ["one two", None, "", LONG[:3000], *[f"text {i} " * (i % 9) for i in range(60)]]
     docs = documents(spark, texts).orderBy(F.rand(1))
